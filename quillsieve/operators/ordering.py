@@ -49,9 +49,9 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     placed = (
         df.repartitionByRange(*spread)
         .sortWithinPartitions(*spread)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("__place", F.monotonically_increasing_id())
     )
-    return pin(placed).withColumn("_part", F.shiftright("_place", 33))
+    return pin(placed).withColumn("__part", F.shiftright("__place", 33))
 
 
 def global_index(
@@ -63,15 +63,15 @@ def global_index(
     order must be total (end it with the row id).
     """
     ranged = _ranged(df, keys, order)
-    parts = ranged.groupBy(*keys, "_part").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
+    parts = ranged.groupBy(*keys, "__part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("__place").alias("__first")
     )
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    joined = join_checked(ranged, offsets, [*keys, "_part"])
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.withColumn("__before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    joined = join_checked(ranged, offsets, [*keys, "__part"])
     return joined.withColumn(
-        name, (F.col("_before") + F.col("_place") - F.col("_first") + start).cast("bigint")
-    ).drop("_before", "_first", "_place", "_part")
+        name, (F.col("__before") + F.col("__place") - F.col("__first") + start).cast("bigint")
+    ).drop("__before", "__first", "__place", "__part")
 
 
 def running_totals(
@@ -80,19 +80,33 @@ def running_totals(
     values: Sequence[str],
     keys: Sequence[str] = (),
     prefix: str = "cum_",
+    ahead: str | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``values`` in order, over the whole table or within each group."""
+    """Inclusive running sums of ``values`` in order, over the whole table or within each group.
+
+    With ``ahead``, the column ``next_<ahead>`` holds that column's value in the following row.
+    """
     ranged = _ranged(df, keys, order)
-    local = W.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    local = W.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.sum(v).alias(f"_sum_{v}") for v in values]
+    heads = [F.min_by(ahead, "__place").alias("_head")] if ahead else []
+    parts = ranged.groupBy(*keys, "__part").agg(*sums, *heads)
+    in_order = W.partitionBy(*keys).orderBy("__part")
     offsets = parts.select(
         *keys,
-        "_part",
+        "__part",
+        *[F.lead("_head").over(in_order).alias("_next_head") for _ in heads],
         *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values],
     )
-    summed = ranged.select("*", *[F.sum(v).over(local).alias(f"_local_{v}") for v in values])
-    joined = join_checked(summed, offsets, [*keys, "_part"])
+    followed = W.partitionBy(*keys, "__part").orderBy("__place")
+    summed = ranged.select(
+        "*",
+        *[F.sum(v).over(local).alias(f"_local_{v}") for v in values],
+        *[F.lead(ahead).over(followed).alias("_next") for _ in heads],
+    )
+    joined = join_checked(summed, offsets, [*keys, "__part"])
     for v in values:
         joined = joined.withColumn(f"{prefix}{v}", F.col(f"_local_{v}") + F.col(f"_before_{v}"))
-    return joined.select(*df.columns, *[f"{prefix}{v}" for v in values])
+    following = [F.coalesce("_next", "_next_head").alias(f"next_{ahead}") for _ in heads]
+    return joined.select(*df.columns, *[f"{prefix}{v}" for v in values], *following)

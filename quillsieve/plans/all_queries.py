@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
 from quillsieve.plans import text_queries  # noqa: F401
+from quillsieve.plans import select_queries  # noqa: F401
+from quillsieve.plans import greedy_queries  # noqa: F401
