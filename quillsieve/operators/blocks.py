@@ -8,26 +8,33 @@ number of distinct rows, but no task and no group grows with the table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsieve.operators.skew import join_checked
+
 BLOCK_ROWS = 1024
 VOCABULARY_SLICE = 8192
 
 
 def pair_blocks(
     rows: DataFrame, row_id: str, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str,
-    block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Apply ``kernel(left, right, same)`` to every unordered pair of blocks of ``rows``."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.withColumn("_own", F.pmod(F.xxhash64(F.lit("block"), row_id), F.lit(blocks)).cast("int"))
-    paired = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns(
-        {"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")}
+    """Apply ``kernel(left, right, same)`` to every unordered pair of blocks, within each group of ``keys``."""
+    by = list(keys) or ["_one"]
+    keyed = rows if keys else rows.withColumn("_one", F.lit(0))
+    sizes = keyed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(F.lit("block"), row_id), F.col("_blocks")).cast("int")
+    paired = (
+        join_checked(keyed, sizes, by)
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -37,7 +44,7 @@ def pair_blocks(
             return kernel(left, left, True)
         return kernel(left, group[group["_own"] == high].sort_values(row_id, ignore_index=True), False)
 
-    return paired.drop("_other").groupBy("_low", "_high").applyInPandas(run, schema)
+    return paired.drop("_other", "_blocks").groupBy(*by, "_low", "_high").applyInPandas(run, schema)
 
 
 def _flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:

@@ -110,3 +110,25 @@ def running_totals(
         joined = joined.withColumn(f"{prefix}{v}", F.col(f"_local_{v}") + F.col(f"_before_{v}"))
     following = [F.coalesce("_next", "_next_head").alias(f"next_{ahead}") for _ in heads]
     return joined.select(*df.columns, *[f"{prefix}{v}" for v in values], *following)
+
+
+def group_percentile(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """Exact interpolated percentile per group, from running counts of its distinct values.
+
+    No task holds a group: values are counted first and the counts summed by range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    summed = pin(running_totals(counts, [F.col(value)], ["n"], keys))
+    totals = summed.groupBy(*keys).agg(((F.max("cum_n") - 1) * F.lit(share)).alias("at"))
+    placed = join_checked(summed, totals, keys)
+
+    def holds(place: Column) -> Column:
+        return (F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place)
+
+    low, high = F.floor("at"), F.ceil("at")
+    ends = placed.groupBy(*keys).agg(
+        F.max(F.when(holds(low), F.col(value))).alias("lo"),
+        F.max(F.when(holds(high), F.col(value))).alias("hi"),
+        F.max(F.col("at") - low).alias("part"),
+    )
+    return ends.select(*keys, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias(name))

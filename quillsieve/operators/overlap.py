@@ -18,27 +18,29 @@ from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
 from quillsieve.operators.blocks import overlaps, pair_blocks
 from quillsieve.operators.selection import DIGITS, select_by_score
-from quillsieve.operators.skew import join_counts
+from quillsieve.operators.skew import join_checked, join_counts
 from quillsieve.session import pin
 
 MULTISET_UNION = 4096.0
 HOT_GROUP = 2048
 
 
-def token_sets(docs: DataFrame, words: Column | None = None) -> DataFrame:
+def token_sets(docs: DataFrame, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, items``: the sorted hashes of the distinct words."""
     words = tx.zipf_words(F.col("text")) if words is None else words
-    return docs.select("doc_id", F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))).alias("items"))
+    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    return docs.select("doc_id", *keep, F.array_sort(hashes).alias("items"))
 
 
-def token_multisets(docs: DataFrame, words: Column | None = None) -> DataFrame:
+def token_multisets(docs: DataFrame, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, items``: one hash for the first, second, ... occurrence of each word.
 
     The overlap of two such sets is the sum over words of the smaller count.
     """
-    pairs = ct.word_counts(ct.token_rows(docs, words), ["doc_id"])
-    items = pairs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"), "token")
-    return items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.xxhash64("token", "k"))).alias("items"))
+    pairs = ct.word_counts(ct.token_rows(docs, words, keep=("doc_id", *keep)), ["doc_id", *keep])
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k")
+    items = pairs.select("doc_id", *keep, times, "token")
+    return items.groupBy("doc_id", *keep).agg(F.sort_array(F.collect_list(F.xxhash64("token", "k"))).alias("items"))
 
 
 def ngram_sets(docs: DataFrame, n: int = 3, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -47,24 +49,25 @@ def ngram_sets(docs: DataFrame, n: int = 3, words: Column | None = None, keep: S
     return docs.select("doc_id", *keep, F.array_sort(grams).alias("items"))
 
 
-def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collapse_copies(sets: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Distinct sets (``doc_id, items, copies``) and the membership ``doc_id -> rep_id`` of every row."""
-    keyed = pin(sets.withColumn("_set", F.md5(F.array_join(F.col("items").cast("array<string>"), ","))))
-    reps = keyed.groupBy("_set").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
-    reps = pin(reps)
-    distinct = keyed.join(reps.withColumnRenamed("rep_id", "doc_id"), ["_set", "doc_id"]).select("doc_id", "items", "copies")
-    # A set shared by a third of all rows is hot for this join; such sets are few, so they are broadcast.
-    members = join_counts(keyed.select("doc_id", "_set"), reps, ["_set"], n="copies").select("doc_id", "rep_id")
-    return pin(distinct), members
+    keyed = pin(sets.withColumn("_set", F.md5(F.concat_ws(",", *keys, F.col("items").cast("array<string>")))))
+    reps = pin(keyed.groupBy("_set").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")))
+    firsts = reps.withColumnRenamed("rep_id", "doc_id")
+    distinct = keyed.join(firsts, ["_set", "doc_id"]).select("doc_id", *keys, "items", "copies")
+    members = join_counts(keyed.select("doc_id", *keys, "_set"), reps, ["_set"], n="copies")
+    return pin(distinct), members.select("doc_id", *keys, "rep_id", "copies")
 
 
-def mean_overlap(sets: DataFrame, union: float | None = None) -> DataFrame:
-    """Mean overlap ratio of each row with all rows (its own counts as 0), divided by the number of rows.
+def mean_overlap(sets: DataFrame, union: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean overlap ratio of each row with all rows of its group (its own counts as 0), over the group's size.
 
     The ratio is intersection over union, or intersection over a fixed ``union``.
     """
-    distinct, members = collapse_copies(sets)
-    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    grouped = sets if keys else sets.withColumn("_one", F.lit(0))
+    by = list(keys) or ["_one"]
+    distinct, members = collapse_copies(grouped, by)
+    totals = distinct.groupBy(*by).agg(F.sum("copies").alias("total"))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         shared = overlaps(left["items"], right["items"])
@@ -81,22 +84,26 @@ def mean_overlap(sets: DataFrame, union: float | None = None) -> DataFrame:
         parts = np.concatenate([ratio @ right["copies"].to_numpy(), left["copies"].to_numpy() @ ratio])
         return pd.DataFrame({"rep_id": ids.to_numpy(), "part": parts})
 
-    sums = pair_blocks(distinct, "doc_id", kernel, "rep_id bigint, part double").groupBy("rep_id").agg(F.sum("part").alias("s"))
-    scores = sums.select("rep_id", F.round(F.col("s") / F.lit(float(max(total, 1))), DIGITS).alias("score"))
-    sizes = members.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n"))
-    return join_counts(members, pin(scores.join(sizes, "rep_id")), ["rep_id"]).select("doc_id", "score")
+    summed = pair_blocks(distinct, "doc_id", kernel, "rep_id bigint, part double", by)
+    summed = summed.groupBy("rep_id").agg(F.sum("part").alias("sum"))
+    sized = join_checked(distinct.select(*by, F.col("doc_id").alias("rep_id"), F.col("copies").alias("n")), totals, by)
+    scores = sized.join(summed, "rep_id").select("rep_id", "n", F.round(F.col("sum") / F.col("total"), DIGITS).alias("score"))
+    return join_counts(members, pin(scores), ["rep_id"]).select("doc_id", *keys, "score")
 
 
-def select_iou(docs: DataFrame, n: int, different: bool = False, words: Column | None = None) -> DataFrame:
-    """The rows whose word sets overlap most (or least) with the corpus."""
-    return select_by_score(mean_overlap(token_sets(docs, words)), n, different)
+def select_iou(
+    docs: DataFrame, n: int, different: bool = False, words: Column | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The rows whose word sets overlap most (or least) with the corpus, or with their dataset."""
+    return select_by_score(mean_overlap(token_sets(docs, words, keys), None, keys), n, different, keys)
 
 
 def select_iou_multiset(
-    docs: DataFrame, n: int, different: bool = False, union: float = MULTISET_UNION, words: Column | None = None
+    docs: DataFrame, n: int, different: bool = False, union: float = MULTISET_UNION,
+    words: Column | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
     """The same by word occurrences, over a fixed union size."""
-    return select_by_score(mean_overlap(token_multisets(docs, words), union), n, different)
+    return select_by_score(mean_overlap(token_multisets(docs, words, keys), union, keys), n, different, keys)
 
 
 def similar_ngram_pairs(sets: DataFrame, threshold: float) -> DataFrame:

@@ -67,7 +67,7 @@ FACT_COLUMNS = {
     "else 'most_similar' end",
     "calibration_datasets": "case c_mktsegment when 'AUTOMOBILE' then 'c4' when 'BUILDING' then 'gsm8k' "
     "when 'FURNITURE' then 'wmt14_boolq' when 'HOUSEHOLD' then 'opc' end",
-    "pruned_value": "case when o_orderkey % 17 <> 0 then o_totalprice / 1e6 end",
+    "pruned_value": "case when o_orderkey % 17 <> 0 then o_totalprice / 1000003e0 end",
     "original_value": "cast(substr(o_orderpriority, 1, 1) as double) / 100e0 + 5e-1",
     "nsamples": "case o_orderkey % 4 when 0 then 16 when 1 then 128 when 2 then 512 else 1024 end",
     "compression_type": "case when o_custkey % 2 = 0 then 'pruning' else 'quantization' end",
@@ -102,8 +102,8 @@ LAYER_COLUMNS = {
     "feature": "l_suppkey % 64",
     "seq": "l_orderkey",
     "part_no": "l_partkey",
-    "x": "l_discount - 5e-2",
-    "value": "l_extendedprice",
+    "x": "(l_discount - 5e-2) / 1000003e-6",
+    "value": "l_extendedprice / 1000003e-6",
 }
 SQL_LAYERS = "layers as (select " + ", ".join(f"{e} as {n}" for n, e in LAYER_COLUMNS.items()) + " from lineitem)"
 
