@@ -119,8 +119,8 @@ def encode_padded(ids: Column, max_length: int, pad_id: int = 0) -> tuple[Column
 
 
 def _field(df: DataFrame, name: str) -> Column:
-    top = name.split(".")[0]
-    if top not in df.columns:
+    top = name.split(".")[0].lower()
+    if top not in {c.lower() for c in df.columns}:
         return F.lit("")
     value = F.col(name)
     if name == "choices.text":

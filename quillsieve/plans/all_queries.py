@@ -6,3 +6,4 @@ from quillsieve.plans import greedy_queries  # noqa: F401
 from quillsieve.plans import metric_queries  # noqa: F401
 from quillsieve.plans import layer_queries  # noqa: F401
 from quillsieve.plans import result_queries  # noqa: F401
+from quillsieve.plans import source_queries  # noqa: F401
