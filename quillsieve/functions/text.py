@@ -51,18 +51,18 @@ FALLBACK_FIELDS = ("text", "sentence", "prompt", "question")
 EMBEDDER_FIELDS = ("sentence", "text", "question", "prompt", "code")
 
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, WHITESPACE), lambda word: word != "")
+def _split(text: Column, separators: str) -> Column:
+    return F.array_remove(F.split(F.lower(text), separators), "")
 
 
 def zipf_words(text: Column) -> Column:
-    """Lower-cased words with full stops and commas read as blanks."""
-    return _split(F.lower(F.translate(text, ".,", "  ")))
+    """Lower-cased words; full stops and commas separate words as blanks do."""
+    return _split(text, "[.," + WHITESPACE[1:])
 
 
 def plain_words(text: Column) -> Column:
     """Lower-cased words, punctuation kept."""
-    return _split(F.lower(text))
+    return _split(text, WHITESPACE)
 
 
 def clean_subwords(tokens: Column, special: tuple[str, ...] = SPECIAL_TOKENS) -> Column:

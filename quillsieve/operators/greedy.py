@@ -26,6 +26,7 @@ from quillsieve.operators.skew import join_counts
 from quillsieve.session import pin
 
 VECTOR_POOL = 512
+MERGE_AT_ONCE = 256
 SET_POOL = 128
 
 
@@ -34,27 +35,33 @@ def _best_rows(
 ) -> dict[str, pd.DataFrame]:
     """The ``pool`` best rows of each dataset under ``score``; ties go to the larger ``size``, then the smaller id.
 
-    ``score`` gives NaN for rows that are out of the running. Each batch keeps its own best rows before
-    anything is shuffled.
+    ``score`` gives NaN for rows that are out of the running. A task gives back its own best rows only, and
+    where there are many tasks these are merged in two steps, so that no task has to sort them all.
     """
+    by, ascending = ["score", "size", "doc_id"], [False, False, True]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, pd.DataFrame] = {}
         for batch in batches:
-            kept = []
             for dataset, group in batch.groupby("dataset", sort=False):
                 scores = score(dataset, group)
                 group = group.assign(score=scores)[~np.isnan(scores)]
+                if dataset in best:
+                    group = pd.concat([best[dataset], group])
                 if len(group) > pool:
-                    group = group.sort_values(["score", "size", "doc_id"], ascending=[False, False, True]).head(pool)
-                kept.append(group)
-            if kept:
-                yield pd.concat(kept)
+                    group = group.sort_values(by, ascending=ascending).head(pool)
+                if len(group):
+                    best[dataset] = group
+        yield from best.values()
 
     narrow = rows.select("dataset", "doc_id", "size", *columns)
     schema = ", ".join(f"{name} {kind}" for name, kind in narrow.dtypes) + ", score double"
     scored = narrow.mapInPandas(scan, schema)
-    best = top_n(scored, [F.col("score").desc(), F.col("size").desc(), F.col("doc_id")], pool, ["dataset"])
-    found = best.toPandas()
+    order = [F.col("score").desc(), F.col("size").desc(), F.col("doc_id")]
+    if rows.rdd.getNumPartitions() > MERGE_AT_ONCE:
+        salted = scored.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_AT_ONCE)))
+        scored = top_n(salted, order, pool, ["dataset", "salt"]).drop("salt", "rank")
+    found = top_n(scored, order, pool, ["dataset"]).toPandas()
     return {
         dataset: group.sort_values("rank", ignore_index=True) for dataset, group in found.groupby("dataset", sort=True)
     }

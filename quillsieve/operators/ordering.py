@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quillsieve.operators.skew import join_checked
 from quillsieve.session import pin
 
-# Spark limits a ranked group before the shuffle only below this rank (its own default).
-GROUP_LIMIT = 1000
+# Spark limits a ranked group before the shuffle only below the rank that this setting names.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 _IN_PARTITION = (1 << 33) - 1
 
@@ -31,7 +31,7 @@ def top_n(
         head = df.orderBy(*order).limit(n)
         return head.withColumn(rank, F.row_number().over(W.orderBy(*order)))
     ranked = df
-    if n >= GROUP_LIMIT:
+    if n >= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
         inner = W.partitionBy(*keys, "_salt").orderBy(*order)
         ranked = (

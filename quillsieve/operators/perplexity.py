@@ -12,19 +12,25 @@ from quillsieve.operators.skew import join_counts
 from quillsieve.session import pin
 
 
-def bigrams(rows: DataFrame, keep: Sequence[str] = (), words: str = "words") -> DataFrame:
+def bigrams(rows: DataFrame, keep: Sequence[str] = (), words: str = "words", last: bool = False) -> DataFrame:
+    """Neighbouring words of each row; with ``last``, also its last word with a null neighbour."""
     shifted = F.slice(F.col(words), 2, F.greatest(F.size(words), F.lit(1)))
     pairs = F.zip_with(words, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return rows.select(*keep, F.explode(pairs).alias("p")).where("p.b is not null").select(*keep, "p.a", "p.b")
+    flat = rows.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.a", "p.b")
+    return flat if last else flat.where("b is not null")
 
 
 def train(rows: DataFrame, words: str = "words") -> DataFrame:
-    """``a, b, n, nll``: each bigram's count and its negative log probability."""
-    pairs = pin(bigrams(rows, (), words).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
-    starts = pin(pairs.groupBy("a").agg(F.sum("n_ab").alias("n")))
-    size = rows.select(F.explode(words).alias("w")).distinct().count()
-    joined = join_counts(pairs, starts, ["a"])
-    nll = -F.log((F.col("n_ab") + 1) / (F.col("n") + F.lit(size)))
+    """``a, b, n, nll``: each bigram's count and its negative log probability.
+
+    One pass over the texts: rows' last words are counted along, so that every word of the vocabulary
+    occurs as a first one.
+    """
+    pairs = pin(bigrams(rows, (), words, last=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
+    followed = F.when(F.col("b").isNotNull(), F.col("n_ab")).otherwise(0)
+    starts = pin(pairs.groupBy("a").agg(F.sum(followed).alias("n")))
+    joined = join_counts(pairs.where("b is not null"), starts, ["a"])
+    nll = -F.log((F.col("n_ab") + 1) / (F.col("n") + F.lit(starts.count())))
     return pin(joined.select("a", "b", F.col("n_ab").alias("n"), nll.alias("nll")))
 
 

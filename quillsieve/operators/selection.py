@@ -137,21 +137,21 @@ def pool_prefix(rows: DataFrame, n: int, keys: Sequence[str] = ("dataset",)) ->
 def fraction_subset(
     rows: DataFrame, fractions: Sequence[float], at_least: int = 0, keys: Sequence[str] = ("dataset",)
 ) -> DataFrame:
-    """The first ``floor(rows * fraction)`` rows of each dataset, once per fraction that gives enough."""
-    placed = pin(global_index(rows, [F.col("doc_id")], keys, name="_place"))
+    """The first ``floor(rows * fraction)`` rows of each dataset, once per fraction that gives enough.
+
+    Only ids are ordered, to find the last id of each fraction; the rows themselves are not shuffled.
+    """
+    placed = pin(global_index(rows.select(*keys, "doc_id"), [F.col("doc_id")], keys, "_place", 1))
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    limits = sizes.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(F.lit(f).alias("fraction"), F.floor(F.col("_size") * F.lit(f)).alias("limit"))
-                for f in fractions
-            ]
-        ).alias("_limits"),
+    parts = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
+    limits = sizes.select(*keys, "_size", parts).select(
+        *keys, "fraction", F.floor(F.col("_size") * F.col("fraction")).alias("_place")
     )
-    joined = join_checked(placed, limits, keys)
-    fitting = F.filter("_limits", lambda e: (e["limit"] > F.col("_place")) & (e["limit"] >= at_least))
-    return joined.select(*rows.columns, F.explode(fitting).alias("_e")).select(*rows.columns, "_e.fraction")
+    cuts = join_checked(placed, limits.where((F.col("_place") > 0) & (F.col("_place") >= at_least)), [*keys, "_place"])
+    cuts = cuts.groupBy(*keys).agg(F.collect_list(F.struct("fraction", F.col("doc_id").alias("last"))).alias("_cuts"))
+    fitting = F.filter("_cuts", lambda cut: cut["last"] >= F.col("doc_id"))
+    joined = join_checked(rows, cuts, keys)
+    return joined.select(*rows.columns, F.explode(fitting).alias("_cut")).select(*rows.columns, "_cut.fraction")
 
 
 def centroid_split(rows: DataFrame, chosen: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -16,6 +16,10 @@ def build_session(master: str = "local[8]", app: str = "quillsieve", **conf: str
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Joins whose partitions are seen to be small at run time are hashed; larger ones stay sorted and can spill.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # Rank limits are applied before the shuffle up to this rank.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "1000000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
     )
@@ -47,6 +51,11 @@ def scratch_table(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the checkpoint folder, so later reads agree and survive lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once as a table in the shared folder, so later reads agree and survive lost executors.
+
+    A written table, unlike a checkpoint, is columnar: later steps read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = scratch_table(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
