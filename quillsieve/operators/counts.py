@@ -78,8 +78,9 @@ def vocab_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def vocab_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("token").intersect(b.select("token"))
+    """Tokens of both; each side is made distinct before the join, so a frequent token is one row of it."""
+    return a.select("token").distinct().join(b.select("token").distinct(), "token", "left_semi")
 
 
 def vocab_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("token").exceptAll(b.select("token")).distinct()
+    return a.select("token").distinct().join(b.select("token").distinct(), "token", "left_anti")

@@ -65,7 +65,7 @@ def gen_bag_of_words(docs: DataFrame, n: int, length: int = 128, seed: int = 42,
     if share < 1:
         bound = format(int(share * 16**HEX_DIGITS), f"0{HEX_DIGITS}x")
         keyed = keyed.where(F.col("_key") < bound)
-    pool = pin(global_index(keyed, [F.col("_key"), F.col("doc_id"), F.col("pos")], name="place"))
+    pool = pin(global_index(pin(keyed), [F.col("_key"), F.col("doc_id"), F.col("pos")], name="place"))
     if pool.count() < wanted:
         raise RuntimeError("the bound on the random keys was too low; use another seed")
     pool = pool.where(F.col("place") < need).select("place", "token")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.operators.ordering import running_totals
+from quillsieve.session import pin
 
 
 def pack_windows(
@@ -19,7 +20,7 @@ def pack_windows(
     touches, so no task sees more than one window.
     """
     sized = docs.select(*order, words, F.size(words).cast("bigint").alias("len")).where("len > 0")
-    lengths = sized.select(*order, "len")
+    lengths = pin(sized.select(*order, "len"))
     placed = running_totals(lengths, [F.col(c) for c in order], ["len"])
     total = lengths.agg(F.sum("len")).first()[0] or 0
     starts = placed.withColumn("off", F.col("cum_len") - F.col("len")).drop("cum_len", "len")

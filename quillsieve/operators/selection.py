@@ -73,7 +73,7 @@ def pick_quantiles(
     scored: DataFrame, n: int, trim: float = 0.0, keys: Sequence[str] = ("dataset",), score: str = "score"
 ) -> DataFrame:
     """``n`` evenly spaced places of each dataset's ascending score order, between the trimmed ends."""
-    narrow = scored.select(*keys, "doc_id", score)
+    narrow = pin(scored.select(*keys, "doc_id", score))
     placed = pin(global_index(narrow, [F.col(score), F.col("doc_id")], keys, name="_place"))
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     if trim:
@@ -166,7 +166,7 @@ def centroid_split(rows: DataFrame, chosen: DataFrame, vector: str = "embedding"
     limits = own.select(distance.alias("d")).agg((F.avg("d") + F.stddev_samp("d")).alias("limit"))
     limit = round(limits.first()["limit"], DIGITS)
     placed = rows.select("doc_id", distance.alias("distance"))
-    placed = placed.withColumn("part", F.when(F.col("distance") <= F.lit(limit), "inside").otherwise("tail"))
+    placed = pin(placed).withColumn("part", F.when(F.col("distance") <= F.lit(limit), "inside").otherwise("tail"))
     ranked = global_index(placed, [F.col("distance").desc(), F.col("doc_id")], ["part"], "rank", 1)
     return ranked.withColumn("rank", F.when(F.col("part") == "tail", F.col("rank")))
 

@@ -12,20 +12,26 @@ from quillsieve.session import pin
 # A key is hot if it owns at least one in HOT_SHARE of all rows: there can be no more than HOT_SHARE such keys.
 HOT_SHARE = 10_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
+def stored_bytes(pinned: DataFrame) -> int:
+    """Bytes of the columns of a pinned table, as Spark knows them from its files."""
+    return int(pinned._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def join_checked(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join with a side that is expected to be small: broadcast if its counted size allows it.
+    """Join with a side that is expected to be small: broadcast if its measured rows and bytes allow it.
 
     A larger side is repeated once per salt and joined on key and salt, which splits a hot key of ``big``
     over many tasks.
     """
     on = list(on)
     small = pin(small)
-    if small.count() <= max_rows:
+    if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     spread = small.withColumn("_salt", salts)

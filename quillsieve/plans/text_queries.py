@@ -226,8 +226,7 @@ def q_vocab_intersection(spark, sf):
 
 @query("vocab_difference", _TWO + "select token from a except select token from b")
 def q_vocab_difference(spark, sf):
-    docs, bench = _vocabs(spark, sf)
-    return ct.vocab_difference(docs.distinct(), bench.distinct())
+    return ct.vocab_difference(*_vocabs(spark, sf))
 
 
 @query(
