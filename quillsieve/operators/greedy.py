@@ -208,8 +208,7 @@ def select_unique_tokens(docs: DataFrame, n: int, words: Column | None = None, p
 
     Gains only shrink as words get covered, so a gain from an earlier pass bounds the present one.
     """
-    sets = token_sets(docs.select("dataset", "doc_id", "text"), words)
-    sized = pin(docs.select("dataset", "doc_id").join(sets, "doc_id").withColumn("size", F.size("items").cast("bigint")))
+    sized = pin(token_sets(docs, words, ["dataset"]).withColumn("size", F.size("items").cast("bigint")))
     picks: dict[str, list[tuple[int, float]]] = {}
     covered: dict[str, np.ndarray] = {}
     finished: set[str] = set()

@@ -148,7 +148,7 @@ def q_join_original_pruned(spark, sf):
 
 
 SQL_DONE = (
-    "done as (select model, compression_type, pruning_type, nsamples, sparsity, calibration_datasets from facts where row_id % 2 = 0 and "
+    "done as (select model, compression_type, pruning_type, nsamples, sparsity, calibration_datasets from facts where pruned_value is not null and "
     "calibration_datasets is not null group by all having bool_or(task = 'mmlu' or starts_with(task, 'mmlu_')) and bool_or(task = 'gsm8k' or "
     "starts_with(task, 'gsm8k_')) and bool_or(task = 'boolq' or starts_with(task, 'boolq_')))"
 )
@@ -163,7 +163,7 @@ SQL_DONE = (
 def q_remaining_experiments(spark, sf):
     rows = facts(spark, sf)
     grid = rows.dropna(subset=["calibration_datasets"]).select(*rs.EXPERIMENT_KEYS).distinct()
-    return rs.remaining_experiments(grid, rows.where("row_id % 2 = 0"), REQUESTED)
+    return rs.remaining_experiments(grid, rows.where("pruned_value is not null"), REQUESTED)
 
 
 @query(

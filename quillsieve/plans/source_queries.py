@@ -18,15 +18,18 @@ from quillsieve.sources import tables as tb
 from quillsieve.streaming import jobs
 
 
-@query("corpus_registry")
+@query(
+    "corpus_registry",
+    "select 'c4' as dataset, 'train' as split, count(*)::bigint as n, sum(length(text))::bigint as chars from documents",
+)
 def q_corpus_registry(spark, sf):
     """Reads a corpus written in the layout of its registered location."""
     root = scratch_table(spark, "corpora")
     location, config = cp.corpus_registry("c4")
     docs = documents(spark, sf).select("doc_id", "text")
     docs.write.parquet(f"{root}/{location}/{config}/train")
-    docs.where("doc_id % 2 = 0").write.parquet(f"{root}/{location}/{config}/validation")
-    rows = cp.read_corpus(spark, "c4", root, "validation")
+    load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id").write.parquet(f"{root}/{location}/{config}/validation")
+    rows = cp.read_corpus(spark, "c4", root, "train")
     return rows.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -44,13 +47,12 @@ def q_discover_files(spark, sf):
     return out[0].union(out[1])
 
 
-@query("choose_format", "select 'parquet' as format, sum((doc_id % 3 = 0)::int)::bigint as n from documents")
+@query("choose_format", "select 'parquet' as format, count(*)::bigint as n from documents")
 def q_choose_format(spark, sf):
     """Parquet wins over JSON when a folder holds both."""
     root = scratch_table(spark, "mixed")
-    docs = documents(spark, sf).select("doc_id", "text")
-    docs.write.json(f"{root}/mixed/a")
-    docs.where("doc_id % 3 = 0").write.parquet(f"{root}/mixed/b")
+    load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id").write.json(f"{root}/mixed/a")
+    documents(spark, sf).select("doc_id", "text").write.parquet(f"{root}/mixed/b")
     rows = cp.read_corpus(spark, "mixed", root)
     return rows.groupBy(F.lit("parquet").alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -316,13 +318,13 @@ def q_embedder_hook(spark, sf):
 
 @query(
     "scorer_hook",
-    "select source as dataset, doc_id, row_number() over (partition by source order by n_chars, doc_id)::integer as rank, md5(text) as digest from "
-    "documents where source = 'src1' qualify rank <= 16",
+    "select 'all' as dataset, doc_id, row_number() over (order by n_chars, doc_id)::integer as rank, md5(text) as digest from "
+    "documents qualify rank <= 64",
 )
 def q_scorer_hook(spark, sf):
     lengths = load(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("score"))
-    docs = documents(spark, sf).where("dataset = 'src1'")
-    out = dispatch.prepare_selection(docs, "least_perplexity", 16, scorer=lambda d: d.join(lengths, "doc_id"))
+    docs = documents(spark, sf).withColumn("dataset", F.lit("all"))
+    out = dispatch.prepare_selection(docs, "least_perplexity", 64, scorer=lambda d: d.join(lengths, "doc_id"))
     return out.select("dataset", "doc_id", "rank", F.md5("text").alias("digest"))
 
 

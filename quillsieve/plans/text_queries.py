@@ -257,3 +257,14 @@ def q_member_of(spark, sf):
     return docs.select(
         "doc_id", F.col("lang").isin("de", "fr").alias("listed"), F.coalesce("hit", F.lit(False)).alias("labelled")
     )
+
+
+@query(
+    "running_offset",
+    f"with {SQL_DOCS} select doc_id, len(words)::bigint as len, (sum(len(words)) over (order by doc_id rows between unbounded preceding and "
+    "current row) - len(words))::bigint as \"offset\" from docs",
+)
+def q_running_offset(spark, sf):
+    lengths = pin(documents(spark, sf).select("doc_id", F.size(tx.zipf_words(F.col("text"))).cast("bigint").alias("len")))
+    summed = ordering.running_totals(lengths, [F.col("doc_id")], ["len"])
+    return summed.select("doc_id", "len", (F.col("cum_len") - F.col("len")).alias("offset"))
