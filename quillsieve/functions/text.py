@@ -106,7 +106,7 @@ def shuffle_words(words: Column, row_id: Column, seed: int = 42) -> Column:
             seeded_key(seed, row_id, place).alias("key"), place.alias("place"), word.alias("word")
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda entry: entry["word"])
+    return F.transform(F.sort_array(keyed), lambda entry: entry["word"])
 
 
 def encode_padded(ids: Column, max_length: int, pad_id: int = 0) -> tuple[Column, Column]:

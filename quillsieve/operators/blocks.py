@@ -26,13 +26,14 @@ def pair_blocks(
     keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Apply ``kernel(left, right, same)`` to every unordered pair of blocks, within each group of ``keys``."""
-    by = list(keys) or ["_one"]
-    keyed = rows if keys else rows.withColumn("_one", F.lit(0))
-    sizes = keyed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    if keys:
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+        sized = join_checked(rows, sizes, keys)
+    else:
+        sized = rows.withColumn("_blocks", F.lit(max(1, -(-rows.count() // block_rows))))
     own = F.pmod(F.xxhash64(F.lit("block"), row_id), F.col("_blocks")).cast("int")
     paired = (
-        join_checked(keyed, sizes, by)
-        .withColumn("_own", own)
+        sized.withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
     )
@@ -44,7 +45,7 @@ def pair_blocks(
             return kernel(left, left, True)
         return kernel(left, group[group["_own"] == high].sort_values(row_id, ignore_index=True), False)
 
-    return paired.drop("_other", "_blocks").groupBy(*by, "_low", "_high").applyInPandas(run, schema)
+    return paired.drop("_other", "_blocks").groupBy(*keys, "_low", "_high").applyInPandas(run, schema)
 
 
 def _flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:

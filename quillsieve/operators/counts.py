@@ -59,7 +59,7 @@ def encode(docs: DataFrame, vocab: DataFrame, words: Column | None = None) -> Da
     words = zipf_words(F.col("text")) if words is None else words
     tokens = docs.select("doc_id", F.posexplode(words).alias("pos", "token"))
     coded = join_counts(tokens, vocab.select("token", "n", "token_id"), ["token"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "token_id")))
     return coded.groupBy("doc_id").agg(F.transform(ordered, lambda e: e["token_id"]).alias("ids"))
 
 
@@ -67,7 +67,7 @@ def decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """Texts of id arrays; ids that are not in the vocabulary, such as padding, are skipped."""
     ids = encoded.select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
     named = join_counts(ids, vocab.select("token", "n", "token_id"), ["token_id"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
     return named.groupBy("doc_id").agg(
         F.array_join(F.transform(ordered, lambda e: e["token"]), " ").alias("text")
     )

@@ -25,7 +25,7 @@ def word_list(docs: DataFrame) -> DataFrame:
 def _rows_of(placed: DataFrame, length: int, pad: bool = False) -> DataFrame:
     """Deal (place, token) rows out into texts of ``length`` words."""
     row = F.floor(F.col("place") / length).alias("row_id")
-    entries = F.array_sort(F.collect_list(F.struct("place", "token")))
+    entries = F.sort_array(F.collect_list(F.struct("place", "token")))
     dealt = placed.groupBy(row).agg(F.transform(entries, lambda e: e["token"]).alias("words"))
     kept = dealt.withColumn("n_words", F.size("words"))
     if pad:

@@ -29,7 +29,7 @@ def token_sets(docs: DataFrame, words: Column | None = None, keep: Sequence[str]
     """``doc_id, items``: the sorted hashes of the distinct words."""
     words = tx.zipf_words(F.col("text")) if words is None else words
     hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", *keep, F.array_sort(hashes).alias("items"))
+    return docs.select("doc_id", *keep, F.sort_array(hashes).alias("items"))
 
 
 def token_multisets(docs: DataFrame, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +46,7 @@ def token_multisets(docs: DataFrame, words: Column | None = None, keep: Sequence
 def ngram_sets(docs: DataFrame, n: int = 3, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     words = tx.zipf_words(F.col("text")) if words is None else words
     grams = F.transform(tx.ngrams(words, n), lambda g: F.xxhash64(g))
-    return docs.select("doc_id", *keep, F.array_sort(grams).alias("items"))
+    return docs.select("doc_id", *keep, F.sort_array(grams).alias("items"))
 
 
 def collapse_copies(sets: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +117,7 @@ def similar_ngram_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     pairs = distinct.select("doc_id", F.explode("items").alias("item"))
     freq = pin(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     shared = join_counts(pairs, freq.where("n > 1"), ["item"])
-    ordered = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("known"))
+    ordered = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("known"))
     sized = distinct.join(ordered, "doc_id").withColumn("size", F.size("items"))
     # Items found in one set only come first in that order and match nothing; they still use up the prefix.
     alone = F.col("size") - F.size("known")

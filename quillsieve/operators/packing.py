@@ -37,7 +37,7 @@ def pack_windows(
     kept = parts.where(F.col("window") < max(whole, 1)).select(
         "window", "off", F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")).alias("part")
     )
-    pieces = F.array_sort(F.collect_list(F.struct("off", "part")))
+    pieces = F.sort_array(F.collect_list(F.struct("off", "part")))
     return kept.groupBy("window").agg(F.flatten(F.transform(pieces, lambda p: p["part"])).alias("words"))
 
 

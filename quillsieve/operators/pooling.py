@@ -25,5 +25,5 @@ def mean_pool(rows: DataFrame, keys: Sequence[str] = ("seq",), vector: str = "em
 
 def flatten_vectors(rows: DataFrame, keys: Sequence[str] = ("seq",), vector: str = "embedding") -> DataFrame:
     """The vectors of a sequence, one after the other."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", vector)))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", vector)))
     return rows.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda e: e[vector])).alias(vector))

@@ -347,7 +347,7 @@ def q_distinct_results(spark, sf):
 )
 def q_task_sets(spark, sf):
     sets = rs.task_sets(facts(spark, sf), ["model", "pruning_type", "nsamples"])
-    return sets.withColumn("tasks", F.array_join(F.array_sort("tasks"), ","))
+    return sets.withColumn("tasks", F.array_join(F.sort_array("tasks"), ","))
 
 
 _SQL_TOP3 = (

@@ -112,7 +112,7 @@ def q_ngrams(spark, sf):
     return listed.where(F.size("grams") > 0).select(
         "doc_id",
         F.size("grams").cast("bigint").alias("n_grams"),
-        F.md5(F.array_join(F.array_sort("grams"), "|")).alias("digest"),
+        F.md5(F.array_join(F.sort_array("grams"), "|")).alias("digest"),
     )
 
 
