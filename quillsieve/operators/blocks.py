@@ -23,9 +23,10 @@ VOCABULARY_SLICE = 8192
 
 def pair_blocks(
     rows: DataFrame, row_id: str, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str,
-    keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = (), block_rows: int | None = None,
 ) -> DataFrame:
     """Apply ``kernel(left, right, same)`` to every unordered pair of blocks, within each group of ``keys``."""
+    block_rows = block_rows or BLOCK_ROWS
     if keys:
         sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
         sized = join_checked(rows, sizes, keys)
