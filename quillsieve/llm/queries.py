@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.exact_dedup import exact_groups
+from quillsieve.llm.langid import held_out, identify
 from quillsieve.llm.mixing import mix_sources
 from quillsieve.llm.sharding import assign_shards
 
@@ -33,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
