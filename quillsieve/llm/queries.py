@@ -13,6 +13,7 @@ from quillsieve.llm.exact_dedup import exact_groups
 from quillsieve.llm.langid import held_out, identify
 from quillsieve.llm.mixing import mix_sources
 from quillsieve.llm.sharding import assign_shards
+from quillsieve.llm.toxicity import FEATURES, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +115,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        *FEATURES,
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
