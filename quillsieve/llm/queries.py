@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.exact_dedup import exact_groups
 from quillsieve.llm.langid import held_out, identify
+from quillsieve.llm.minhash import near_duplicates
 from quillsieve.llm.mixing import mix_sources
 from quillsieve.llm.sharding import assign_shards
 from quillsieve.llm.toxicity import FEATURES, score_toxicity
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @query("op3_language")
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"))
