@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.exact_dedup import exact_groups
+from quillsieve.llm.fingerprints import fingerprint_documents
 from quillsieve.llm.langid import held_out, identify
 from quillsieve.llm.minhash import near_duplicates
 from quillsieve.llm.mixing import mix_sources
@@ -47,6 +48,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
