@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.exact_dedup import exact_groups
 from quillsieve.llm.fingerprints import fingerprint_documents
+from quillsieve.llm.htmltext import extract_pages
 from quillsieve.llm.langid import held_out, identify
 from quillsieve.llm.minhash import near_duplicates
 from quillsieve.llm.mixing import mix_sources
@@ -48,6 +49,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents")).select(
