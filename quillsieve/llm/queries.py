@@ -13,6 +13,7 @@ from quillsieve.llm.exact_dedup import exact_groups
 from quillsieve.llm.fingerprints import fingerprint_documents
 from quillsieve.llm.htmltext import extract_pages
 from quillsieve.llm.langid import held_out, identify
+from quillsieve.llm.licenses import scan_licenses
 from quillsieve.llm.minhash import near_duplicates
 from quillsieve.llm.mixing import mix_sources
 from quillsieve.llm.sharding import assign_shards
@@ -43,6 +44,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language")
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"))
