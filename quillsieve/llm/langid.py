@@ -15,12 +15,13 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm.arrow import map_texts, slices
+from quillsieve.llm.arrow import slices
 from quillsieve.session import pin
 
 #: Labelled texts of a language that the model is counted from (expected number; every text if there are fewer).
@@ -177,24 +178,16 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs
     return Backoff(rows, totals, langs)
 
 
-def predict(df: DataFrame, model: Backoff, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score`` of every row; ``und`` with score 0 for a text that is null or has no letter."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[id_col].dataType.simpleString()
+def language_column(spark: SparkSession, model: Backoff, text: Column) -> Column:
+    """``lang_pred`` and ``score`` of a text as one column; ``und`` with score 0 if it is null or has no letter."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def work():
+    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = shared.value.scorer()
+        for texts in batches:
+            yield pd.DataFrame([score(t if isinstance(t, str) else "") for t in texts], columns=["lang_pred", "score"])
 
-        def step(texts: list[str], part: pa.RecordBatch) -> dict:
-            both = [score(t) for t in texts]
-            return {
-                "lang_pred": pa.array([b[0] for b in both], pa.string()),
-                "score": pa.array([b[1] for b in both], pa.float64()),
-            }
-
-        return step
-
-    return map_texts(df, [id_col, text_col], work, f"`{id_col}` {kind}, lang_pred string, score double")
+    return F.pandas_udf(detect, "lang_pred string, score double")(text)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -206,4 +199,5 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     gives an empty one. Other columns are not read.
     """
     model = fit(df.where(~held_out(id_col)), id_col, text_col, lang_col)
-    return predict(df, model, id_col, text_col)
+    found = language_column(df.sparkSession, model, F.col(text_col))
+    return df.select(id_col, found.alias("_found")).select(id_col, "_found.lang_pred", "_found.score")
