@@ -20,9 +20,21 @@ TASK_METRICS = {
     "f1,none": ("xquad_es", "xquad_zh"),
     "acc_norm,none": ("arc_challenge", "arc_easy", "hellaswag", "openbookqa"),
 }
+# Fixed value: the metric of every other task.
 DEFAULT_METRIC = "acc,none"
+# Sizes in model names, the last parts of key layers' names, and names as they are shown.
 SIZE_TAGS = ("70B", "8B", "3B")
-KEY_LAYERS = r"(q_proj|v_proj|o_proj|down_proj)"
+KEY_LAYERS = (
+    r"\.(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj|query|key|value|dense|fc1|fc2|c_attn|c_proj|w1|w2|w3)$"
+)
+DISPLAY_NAMES = {
+    "random": "Random",
+    "words_dataset": "ZipCal",
+    "cola": "COLA",
+    "winogrande": "WinoGrande",
+    "gsm8k": "GSM8K",
+    "hellaswag": "HellaSwag",
+}
 
 
 def _cases(value: Column, table: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
@@ -72,7 +84,8 @@ def key_layer(layer: Column, pattern: str = KEY_LAYERS) -> Column:
 
 
 def coef_variation(variance: Column, mean: Column, absolute: bool = False) -> Column:
-    return F.sqrt(variance) / (F.abs(mean) if absolute else mean + 1e-8)
+    """Deviation over the mean; null where the mean (or its shifted value) is zero."""
+    return F.try_divide(F.sqrt(variance), F.abs(mean) if absolute else mean + 1e-8)
 
 
 def best_accuracy(columns: list[str]) -> Column:
@@ -85,6 +98,14 @@ def short_model(model: Column) -> Column:
     return F.element_at(F.split(model, "/"), -1)
 
 
+def display_name(name: Column) -> Column:
+    """The name a method or dataset is shown under; unknown ones keep their own."""
+    rule = None
+    for key, shown in DISPLAY_NAMES.items():
+        rule = F.when(name == key, shown) if rule is None else rule.when(name == key, shown)
+    return rule.otherwise(name)
+
+
 def size_tag(model: Column) -> Column:
     rule = None
     for tag in SIZE_TAGS:

@@ -95,7 +95,7 @@ def seeded_key(seed: int, *parts: Column) -> Column:
 def seeded_int(seed: int, bound: Column | int, *parts: Column) -> Column:
     """A reproducible random integer in ``[0, bound)``."""
     limit = bound if isinstance(bound, Column) else F.lit(bound)
-    return F.conv(F.substring(seeded_key(seed, *parts), 1, 8), 16, 10).cast("bigint") % limit
+    return F.conv(F.substring(seeded_key(seed, *parts), 1, 15), 16, 10).cast("bigint") % limit
 
 
 def shuffle_words(words: Column, row_id: Column, seed: int = 42) -> Column:

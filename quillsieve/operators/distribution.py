@@ -19,12 +19,15 @@ EPSILON = 1e-10
 SAMPLE_CELLS = 16_000_000
 
 
-def kl_divergence(full: DataFrame, subsets: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+def kl_divergence(
+    full: DataFrame, subsets: DataFrame, by: Sequence[str] = ("method",), groups: DataFrame | None = None
+) -> DataFrame:
     """KL of the full counter against each subset counter over their united vocabulary, in nats.
 
     ``full``: token, n; ``subsets``: by..., token, n. A word missing from a subset has share ``EPSILON``
     before renormalisation. Words outside the subset contribute a constant, so only the subset's words are
-    joined, not the whole vocabulary once per subset.
+    joined, not the whole vocabulary once per subset. ``groups`` lists the subsets that are asked for; one of them
+    without any token is infinitely far.
     """
     full = pin(full.select("token", F.col("n").alias("full_n")))
     totals = full.agg(F.sum("full_n"), F.count(F.lit(1))).first()
@@ -38,6 +41,8 @@ def kl_divergence(full: DataFrame, subsets: DataFrame, by: Sequence[str] = ("met
     closer = F.sum(F.coalesce(p * F.log((q + EPSILON) / EPSILON), F.lit(0.0)))
     unseen = F.sum(F.when(F.col("full_n").isNull(), 1).otherwise(0))
     found = joined.groupBy(*by).agg(closer.alias("closer"), unseen.alias("unseen"), F.max("size").alias("size"))
+    if groups is not None:
+        found = groups.select(*by).distinct().join(found, list(by), "left").fillna({"size": 0})
     value = F.lit(base) - F.col("closer") + F.log1p(F.lit(EPSILON) * (F.lit(vocabulary) + F.col("unseen")))
     empty = (F.col("size") == 0) | F.lit(total == 0)
     return found.select(*by, F.when(empty, F.lit(float("inf"))).otherwise(value).alias("kl"))
@@ -65,7 +70,7 @@ def _merged(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = summed.groupBy(*keys).agg(F.max("cum_n_a").alias("total_a"), F.max("cum_n_b").alias("total_b"))
     joined = join_checked(summed, totals, keys)
     return joined.withColumns(
-        {"cdf_a": F.col("cum_n_a") / F.col("total_a"), "cdf_b": F.col("cum_n_b") / F.col("total_b")}
+        {"cdf_a": F.try_divide("cum_n_a", "total_a"), "cdf_b": F.try_divide("cum_n_b", "total_b")}
     )
 
 
@@ -73,11 +78,11 @@ def two_sample_distances(values: DataFrame, keys: Sequence[str] = ("layer",)) ->
     """Wasserstein distance, Kolmogorov-Smirnov statistic and its asymptotic p-value per group.
 
     ``values``: keys..., x, side ('a' or 'b'). Samples are counted by distinct value first; running counts
-    are summed per range of values.
+    are summed per range of values. A group that holds one of the samples only has no distance (null).
     """
     gap = F.abs(F.col("cdf_a") - F.col("cdf_b"))
     found = _merged(values, keys).groupBy(*keys).agg(
-        F.coalesce(F.sum(gap * (F.col("next_x") - F.col("x"))), F.lit(0.0)).alias("wasserstein"),
+        F.when(F.max(gap).isNotNull(), F.coalesce(F.sum(gap * (F.col("next_x") - F.col("x"))), F.lit(0.0))).alias("wasserstein"),
         F.max(gap).alias("ks"),
         F.max("total_a").alias("n_a"),
         F.max("total_b").alias("n_b"),
@@ -168,15 +173,18 @@ def ecdf(values: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
 
 
 def histogram(values: DataFrame, keys: Sequence[str], bins: int, x: str = "x") -> DataFrame:
-    """Counts and densities in ``bins`` equal bins between each group's extremes; the last bin is closed."""
+    """Counts and densities in ``bins`` equal bins between each group's extremes; the last bin is closed.
+
+    A group of one value has one bin without a density.
+    """
     known = values.where(F.col(x).isNotNull())
     spans = known.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("total"))
     joined = join_checked(known.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), spans, keys)
     width = (F.col("hi") - F.col("lo")) / bins
-    at = F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1))
+    at = F.least(F.floor(F.try_divide(F.col(x) - F.col("lo"), width)), F.lit(bins - 1))
     binned = joined.withColumn("bin", F.when(width > 0, at).otherwise(F.lit(0)))
     return binned.groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n"), (F.sum("n") / (F.max("total") * F.max(width))).alias("density")
+        F.sum("n").alias("n"), F.try_divide(F.sum("n"), F.max("total") * F.max(width)).alias("density")
     )
 
 

@@ -16,9 +16,9 @@ from quillsieve.session import pin
 HEX_DIGITS = 12
 
 
-def word_list(docs: DataFrame) -> DataFrame:
+def word_list(docs: DataFrame, words: Column | None = None) -> DataFrame:
     """The distinct words of the corpus in order, numbered from 0."""
-    words = ct.token_rows(docs, keep=()).distinct()
+    words = ct.token_rows(docs, words, keep=()).distinct()
     return global_index(words, [F.col("token")], name="idx")
 
 
@@ -49,8 +49,8 @@ def gen_bag_of_words(docs: DataFrame, n: int, length: int = 128, seed: int = 42,
     """``n`` texts dealt from one global shuffle of all word occurrences, cycling if the pool is smaller.
 
     Only the ``n * length`` smallest random keys are needed. Keys are uniform, so nearly all other
-    occurrences are dropped in the scan by a bound far above the expected cut; the plan fails rather than
-    give a short pool should the bound ever be too low.
+    occurrences are dropped in the scan by a bound far above the expected cut; should the bound ever be too
+    low, it is doubled until the pool is whole.
     """
     words = tx.plain_words(F.col("text")) if words is None else words
     total = docs.agg(F.sum(F.size(words))).first()[0] or 0
@@ -62,12 +62,13 @@ def gen_bag_of_words(docs: DataFrame, n: int, length: int = 128, seed: int = 42,
     )
     wanted = min(need, total)
     share = (wanted + 10 * math.sqrt(wanted) + 100) / total
-    if share < 1:
+    while True:
         bound = format(int(share * 16**HEX_DIGITS), f"0{HEX_DIGITS}x")
-        keyed = keyed.where(F.col("_key") < bound)
-    pool = pin(global_index(pin(keyed), [F.col("_key"), F.col("doc_id"), F.col("pos")], name="place"))
-    if pool.count() < wanted:
-        raise RuntimeError("the bound on the random keys was too low; use another seed")
+        kept = pin(keyed.where(F.col("_key") < bound) if share < 1 else keyed)
+        if share >= 1 or kept.count() >= wanted:
+            break
+        share *= 2
+    pool = pin(global_index(kept, [F.col("_key"), F.col("doc_id"), F.col("pos")], name="place"))
     pool = pool.where(F.col("place") < need).select("place", "token")
     if total < need:
         cycles = F.sequence(F.lit(0), F.floor((F.lit(need - 1) - F.col("place")) / total))

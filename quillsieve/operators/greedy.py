@@ -102,6 +102,8 @@ def select_k_center(rows: DataFrame, n: int, pool: int = VECTOR_POOL) -> DataFra
             least = np.minimum(least, ((vectors - center) ** 2).sum(axis=1))
         return np.round(least, DIGITS)
 
+    if n <= 0:
+        return _as_frame(rows, picks, "distance")
     firsts = data.groupBy("dataset").agg(F.min_by(F.struct("doc_id", "vector"), "doc_id").alias("f"))
     for row in firsts.select("dataset", "f.*").collect():
         picks[row["dataset"]] = [(row["doc_id"], 0.0)]
@@ -366,14 +368,15 @@ def select_tail_then_match(docs: DataFrame, n: int, words: Column | None = None)
 
 
 def select_decoupled(
-    rows: DataFrame, n: int, threshold: float = 0.5, gram: int = 3, score: str = "score", pool: int = SET_POOL
+    rows: DataFrame, n: int, threshold: float = 0.5, gram: int = 3, score: str = "score", pool: int = SET_POOL,
+    words: Column | None = None,
 ) -> DataFrame:
     """Per dataset, rows in descending score, skipping any whose n-grams overlap too much with an accepted row.
 
     ``rows``: dataset, doc_id, text and the score. Each pass drops the rows that clash with accepted ones and
     gives the next rows in order, among which the clashes are settled before the next pass.
     """
-    sets = ngram_sets(rows, gram, keep=("dataset", score))
+    sets = ngram_sets(rows, gram, words, keep=("dataset", score))
     data = pin(sets.withColumn("size", F.lit(0).cast("bigint")).withColumn("value", F.col(score).cast("double")))
     accepted: dict[str, list[tuple[int, float]]] = {}
     grams: dict[str, list[np.ndarray]] = {}

@@ -49,10 +49,15 @@ def selection_report(rows: DataFrame, n: int, methods: Sequence[str] = tuple(VEC
     return shift.join(cover.withColumnRenamed("dataset", "label"), "label").drop("label")
 
 
-def norm_shift_report(rows: DataFrame, n: int, population: int = 2000, methods: Sequence[str] = tuple(VECTOR_METHODS)) -> DataFrame:
-    """Per method: distance of the selection's vector norms from a random population's, and their mean."""
+def norm_shift_report(rows: DataFrame, n: int, population: int | None = None, methods: Sequence[str] = tuple(VECTOR_METHODS)) -> DataFrame:
+    """Per method: distance of the selection's vector norms from the population's, and their mean.
+
+    The population is the whole table, or ``population`` random rows of it if a number is given.
+    """
     pooled = rows.withColumn("dataset", F.lit("all"))
-    base = pin(sel.with_rows(sel.select_random(pooled, population).select("doc_id"), pooled))
+    if population is not None:
+        pooled = sel.with_rows(sel.select_random(pooled, population).select("doc_id"), pooled)
+    base = pin(pooled)
     chosen = sel.join_checked(base.select("doc_id", "embedding"), _chosen(base, n, methods), ["doc_id"])
     norm = F.round(vx.l2_norm(F.col("embedding")), 9)
     side_b = pin(chosen.select("method", norm.alias("x"), F.lit("b").alias("side")))

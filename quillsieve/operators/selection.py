@@ -163,7 +163,8 @@ def centroid_split(rows: DataFrame, chosen: DataFrame, vector: str = "embedding"
     centroid = own.agg(vx.mean_vector(F.col(vector)).alias("c")).first()["c"]
     center = F.array(*[F.lit(float(x)) for x in centroid])
     distance = F.round(F.sqrt(vx.squared_distance(F.col(vector), center)), DIGITS)
-    limits = own.select(distance.alias("d")).agg((F.avg("d") + F.stddev_samp("d")).alias("limit"))
+    spread = F.coalesce(F.stddev_samp("d"), F.lit(0.0))  # one row has no deviation
+    limits = own.select(distance.alias("d")).agg((F.avg("d") + spread).alias("limit"))
     limit = round(limits.first()["limit"], DIGITS)
     placed = rows.select("doc_id", distance.alias("distance"))
     placed = pin(placed).withColumn("part", F.when(F.col("distance") <= F.lit(limit), "inside").otherwise("tail"))
@@ -195,7 +196,8 @@ def incremental_sets(split: DataFrame, rows: DataFrame, step: int, steps: int, s
 
 def cluster_representatives(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
     """One row per k-means cluster: the one nearest to its center."""
-    featured = rows.select("doc_id", vector, array_to_vector(vx.as_doubles(F.col(vector))).alias("features"))
+    narrow = pin(rows.select("doc_id", vector))  # each iteration of the fit reads it again
+    featured = narrow.withColumn("features", array_to_vector(vx.as_doubles(F.col(vector))))
     model = KMeans(k=k, seed=seed).fit(featured)
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     assigned = model.transform(featured).select(

@@ -269,14 +269,14 @@ def q_key_layer_filter(spark, sf):
 
 @query(
     "coef_variation",
-    f"with {SQL_LAYERS}, s as (select method, layer, avg(x) as m, var_pop(x) as v from layers group by all) select method, layer, "
-    "round(sqrt(v) / (m + 1e-8), 2) as cv, round(sqrt(v) / abs(m), 2) as cv_abs from s where abs(m) > 1e-4",
+    f"with {SQL_LAYERS}, s as (select method, layer, avg(value) as m, var_pop(value) as v from layers group by all) select method, layer, "
+    "round(sqrt(v) / (m + 1e-8), 6) as cv, round(sqrt(v) / abs(m), 6) as cv_abs from s",
 )
 def q_coef_variation(spark, sf):
-    stats = layers(spark, sf).groupBy("method", "layer").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).where("abs(m) > 1e-4")
+    stats = layers(spark, sf).groupBy("method", "layer").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     return stats.select(
         "method",
         "layer",
-        F.round(lb.coef_variation(F.col("v"), F.col("m")), 2).alias("cv"),
-        F.round(lb.coef_variation(F.col("v"), F.col("m"), True), 2).alias("cv_abs"),
+        F.round(lb.coef_variation(F.col("v"), F.col("m")), 6).alias("cv"),
+        F.round(lb.coef_variation(F.col("v"), F.col("m"), True), 6).alias("cv_abs"),
     )

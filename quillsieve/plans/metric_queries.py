@@ -53,8 +53,7 @@ def q_zipf_curve(spark, sf):
 
 
 _SQL_VALUES = (
-    "vals as (select user_id % 5 as layer, value as x, case when event_type = 'click' then 'a' else 'b' end as side from events "
-    "where event_type in ('click', 'view'))"
+    "vals as (select user_id % 5 as layer, value as x, case when event_type = 'click' then 'a' else 'b' end as side from events)"
 )
 _SQL_MERGED = (
     _SQL_VALUES
@@ -66,7 +65,7 @@ _SQL_MERGED = (
 
 
 def _values(spark, sf):
-    rows = load(spark, sf, "events").where(F.col("event_type").isin("click", "view"))
+    rows = load(spark, sf, "events")
     side = F.when(F.col("event_type") == "click", "a").otherwise("b")
     return rows.select((F.col("user_id") % 5).alias("layer"), F.col("value").alias("x"), side.alias("side"))
 
@@ -310,7 +309,7 @@ def q_zipf_selection_report(spark, sf):
 
 _SQL_SCALED = (
     "vecs as (select vec_id as doc_id, 'all' as dataset, list_transform(embedding::double[], lambda x: x * (1 + vec_id % 7)) as embedding "
-    "from embeddings qualify row_number() over (order by md5('42:' || vec_id), vec_id) <= 2000)"
+    "from embeddings)"
 )
 
 
@@ -331,7 +330,7 @@ def q_norm_shift_report(spark, sf):
     scale = 1 + F.col("doc_id") % 7
     scaled = F.zip_with("embedding", F.array_repeat(scale, F.size("embedding")), lambda x, s: x * s)
     rows = vectors(spark, sf).withColumn("embedding", scaled)
-    return _rounded(reports.norm_shift_report(rows, 8, 2000, _METHODS), 7, "wasserstein", "mean_norm")
+    return _rounded(reports.norm_shift_report(rows, 8, None, _METHODS), 7, "wasserstein", "mean_norm")
 
 
 @query("selection_timing")

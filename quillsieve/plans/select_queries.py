@@ -317,8 +317,8 @@ def q_subsample_values(spark, sf):
     "sample_pairs",
     "with w as (select vec_id as row, unnest(range(len(embedding))) as col, abs(unnest(embedding::double[])) as w from embeddings), "
     "s as (select col, sqrt(avg(w * w)) as s from w group by col), size as (select max(row) + 1 as r, max(col) + 1 as c from w), "
-    "draws as (select i as draw, ('0x' || substr(md5('42:r:' || i), 1, 8))::bigint % r as row, "
-    "('0x' || substr(md5('42:c:' || i), 1, 8))::bigint % c as col from size, range(100000) t(i) where i < least(100000, r * c)) "
+    "draws as (select i as draw, ('0x' || substr(md5('42:r:' || i), 1, 15))::bigint % r as row, "
+    "('0x' || substr(md5('42:c:' || i), 1, 15))::bigint % c as col from size, range(100000) t(i) where i < least(100000, r * c)) "
     "select draw, row, col, round(w, 9) as w, round(s, 9) as s from draws join w using (row, col) join s using (col)",
 )
 def q_sample_pairs(spark, sf):
@@ -332,7 +332,7 @@ def q_sample_pairs(spark, sf):
 @query(
     "gen_random_words",
     f"with {SQL_COUNTS}, list as (select token, row_number() over (order by token) - 1 as idx from counts), draws as (select i, "
-    "('0x' || substr(md5('42:' || i), 1, 8))::bigint % (select count(*) from list) as idx from range(64 * 128) t(i)) "
+    "('0x' || substr(md5('42:' || i), 1, 15))::bigint % (select count(*) from list) as idx from range(64 * 128) t(i)) "
     "select (i // 128)::bigint as row_id, md5(string_agg(token, ' ' order by i)) as digest from draws join list using (idx) group by 1",
 )
 def q_gen_random_words(spark, sf):

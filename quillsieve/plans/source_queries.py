@@ -181,9 +181,9 @@ def q_append_results(spark, sf):
 def q_token_count_store(spark, sf):
     path = scratch_table(spark, "counts")
     full = ct.word_counts(ct.token_rows(documents(spark, sf)))
-    tb.save_token_counts(full, path, "plain", "documents", "full", 0)
-    tb.save_token_counts(ct.word_counts(ct.token_rows(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id"))), path, "plain", "benchmark", "full", 0)
-    return tb.load_token_counts(spark, path, dataset="documents", label="full").select("token", "count")
+    tb.save_token_counts(full, path, "org/plain", "documents", "full", 0)
+    tb.save_token_counts(ct.word_counts(ct.token_rows(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id"))), path, "org/plain", "benchmark", "full", 0)
+    return tb.load_token_counts(spark, path, model="org/plain", dataset="documents", label="full").select("token", "count")
 
 
 @query(
@@ -279,7 +279,7 @@ def q_extract_text_fallback(spark, sf):
 
 @query("stream_word_counts", f"with {SQL_COUNTS} select token, n::bigint as n from counts")
 def q_stream_word_counts(spark, sf):
-    stream = jobs.read_stream(spark, sf, "documents.parquet")
+    stream = jobs.read_stream(spark, f"{sf}/documents.parquet")
     return jobs.stream_word_counts(stream, *jobs.job_folders(spark, "word-counts"))
 
 
@@ -289,7 +289,7 @@ def q_stream_word_counts(spark, sf):
     "count(x)::bigint as n from layers group by all",
 )
 def q_stream_running_moments(spark, sf):
-    stream = jobs.read_stream(spark, sf, "lineitem.parquet").selectExpr(
+    stream = jobs.read_stream(spark, f"{sf}/lineitem.parquet").selectExpr(
         "l_linenumber as layer", "l_suppkey % 64 as feature", "(l_discount - 5e-2) / 1000003e-6 as x"
     )
     out = jobs.stream_running_moments(stream, *jobs.job_folders(spark, "moments"), ["layer", "feature"])
@@ -298,7 +298,7 @@ def q_stream_running_moments(spark, sf):
 
 @query("stream_results_append", "select event_id, user_id, event_type, value from events")
 def q_stream_results_append(spark, sf):
-    stream = jobs.read_stream(spark, sf, "events.parquet").select("event_id", "user_id", "event_type", "value")
+    stream = jobs.read_stream(spark, f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "value")
     return jobs.stream_results_append(stream, *jobs.job_folders(spark, "results")).select(*stream.columns)
 
 

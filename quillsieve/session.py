@@ -13,7 +13,6 @@ def build_session(master: str = "local[8]", app: str = "quillsieve", **conf: str
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Joins whose partitions are seen to be small at run time are hashed; larger ones stay sorted and can spill.
@@ -23,6 +22,8 @@ def build_session(master: str = "local[8]", app: str = "quillsieve", **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
     )
+    if master.startswith("local"):
+        builder = builder.config("spark.sql.shuffle.partitions", "8")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -84,9 +84,10 @@ def append_results(rows: DataFrame, path: str, partition_by: Sequence[str] = ())
 
 def save_token_counts(counts: DataFrame, path: str, model: str, dataset: str, label: str, n: int) -> None:
     """Store a counter under its key, replacing an earlier one."""
-    counts.select("token", F.col("n").alias("count")).write.mode("overwrite").parquet(
-        f"{path}/model={model}/dataset={dataset}/label={label}/n={n}"
-    )
+    key = {"model": model, "dataset": dataset, "label": label, "n": n}
+    rows = counts.select("token", F.col("n").alias("count"), *[F.lit(v).alias(k) for k, v in key.items()])
+    # Spark escapes what a folder name cannot hold; only this key's folder is replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
 
 
 def load_token_counts(spark: SparkSession, path: str, **key: str | int) -> DataFrame:
@@ -124,5 +125,5 @@ def selection_store(rows: DataFrame, root: str, select: Callable[[DataFrame], Da
 
 
 def partitioned_report(rows: DataFrame, path: str, by: Sequence[str] = ("compression_type", "model", "nsamples")) -> None:
-    """One folder per combination of ``by``, written by one plan."""
-    rows.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """One folder per combination of ``by``, written by one plan; a large combination is split over tasks."""
+    rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)

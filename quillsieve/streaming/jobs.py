@@ -11,15 +11,12 @@ from quillsieve.operators import counts as ct
 from quillsieve.session import scratch_table
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 1) -> DataFrame:
-    """New parquet files of a folder whose names match the pattern, in batches."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 512) -> DataFrame:
+    """A parquet table as a stream of its files, old ones first: a folder to which files are added, or one file."""
+    schema = spark.read.parquet(path).schema
+    # a stream takes a plain path for a folder; a pattern may match a file as well
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
