@@ -61,9 +61,9 @@ def lm_scorer(words: Column) -> Callable[[DataFrame], DataFrame]:
     """Scores by the perplexity of a bigram model of the same documents."""
 
     def score(docs: DataFrame) -> DataFrame:
-        rows = docs.select("dataset", "doc_id", words.alias("words"))
-        scored = perplexity.ngram_perplexity(rows, perplexity.train(rows))
-        return rows.select("dataset", "doc_id").join(scored, "doc_id")
+        key = ("dataset", "doc_id")
+        pairs = perplexity.pair_counts(docs.select(*key, words.alias("words")), key)
+        return perplexity.ngram_perplexity(pairs, perplexity.train(pairs), key)
 
     return score
 
@@ -105,7 +105,8 @@ def _herding(r: Request) -> DataFrame:
 @strategy("decoupled")
 def _decoupled(r: Request) -> DataFrame:
     scored = sel.mean_similarity(r.vectors).select("dataset", "doc_id", "score")
-    return _ids(greedy.select_decoupled(scored.join(r.docs.select("doc_id", "text"), "doc_id"), r.per_dataset))
+    rows = scored.join(r.docs.select("dataset", "doc_id", "text"), ["dataset", "doc_id"])
+    return _ids(greedy.select_decoupled(rows, r.per_dataset, words=r.words))
 
 
 @strategy("prototype_iou")
@@ -152,9 +153,9 @@ def _tail(r: Request) -> DataFrame:
 
 def _generated(r: Request, name: str) -> DataFrame:
     if name == "words_dataset":
-        rows = gen.gen_bag_of_words(r.docs, r.n, seed=r.seed)
+        rows = gen.gen_bag_of_words(r.docs, r.n, seed=r.seed, words=r.words)
     else:
-        words = gen.word_list(r.docs)
+        words = gen.word_list(r.docs, r.words)
         rows = gen.gen_dictionary(words) if name == "dictionary" else gen.gen_random_words(words, r.n, seed=r.seed)
     return rows.select(F.lit(name).alias("dataset"), F.col("row_id").alias("doc_id"), F.col("row_id").cast("int").alias("rank"), "text")
 
@@ -171,6 +172,10 @@ def prepare_selection(
 ) -> DataFrame:
     """``n`` rows (``dataset, doc_id, rank, text``) of a corpus of one or more datasets by a named strategy.
 
+    Each dataset has ids of its own: within the strategies a row's id is its id times the number of datasets plus its
+    dataset's place, so equal ids of different datasets stay apart and ties still go to the smaller id. Hooks are given
+    and give back the ids of the corpus.
+
     With several datasets every dataset gives ``n`` rows and a coreset of their union is kept: by herding
     for the strategies that match distributions, by farthest points otherwise.
     """
@@ -179,14 +184,29 @@ def prepare_selection(
         return docs.select("dataset", "doc_id", F.lit(None).cast("int").alias("rank"), "text")
     if kind not in STRATEGIES and kind not in GENERATED:
         raise ValueError(f"unknown strategy {name}; known: {', '.join(sorted({*STRATEGIES, *GENERATED, 'concat'}))}")
+    # Generated rows are of plain words unless the caller names others.
+    hooked = words
     words = tx.zipf_words(F.col("text")) if words is None else words
+    names = sorted(r[0] for r in docs.select("dataset").distinct().collect())
+    places = F.create_map(*[F.lit(x) for place, name in enumerate(names) for x in (name, place)]) if names else None
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.withColumn("doc_id", F.col("doc_id") * len(names) + places[F.col("dataset")]) if len(names) > 1 else df
+
+    def unpacked(df: DataFrame) -> DataFrame:
+        return df.withColumn("doc_id", F.expr(f"doc_id div {len(names)}")) if len(names) > 1 else df
+
     if vectors is None:
         vectors = (embedder or (lambda d: hashed_vectors(d, words)))(docs)
-    request = Request(docs, n, n, words, vectors, scorer or lm_scorer(words), seed)
+    score = scorer or lm_scorer(words)
+    corpus, vectors = docs, packed(vectors)
+    docs = packed(docs)
     if kind in GENERATED:
-        return _generated(request, kind)
+        bag = tx.plain_words(F.col("text")) if hooked is None and kind == "words_dataset" else words
+        return _generated(Request(docs, n, n, bag, vectors, score, seed), kind)
+    request = Request(docs, n, n, words, vectors, lambda _: packed(score(corpus)), seed)
     chosen = pin(STRATEGIES[kind](request))
-    if docs.select("dataset").distinct().count() > 1:
+    if len(names) > 1:
         pool = sel.join_checked(vectors.select("dataset", "doc_id", "embedding"), chosen.select("dataset", "doc_id"), ["dataset", "doc_id"])
         core = greedy.resample(pool, n, kind in BY_HERDING)
         chosen = core.select("doc_id", "rank")
@@ -194,4 +214,4 @@ def prepare_selection(
     if kind in ("shuffled_zipf", "unique_tokens_shuffled"):
         shuffled = F.array_join(tx.shuffle_words(words, F.col("doc_id"), seed), " ")
         rows = rows.withColumn("text", shuffled)
-    return rows.select("dataset", "doc_id", "rank", "text")
+    return unpacked(rows.select("dataset", "doc_id", "rank", "text"))

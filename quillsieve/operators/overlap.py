@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as tx
@@ -91,6 +92,33 @@ def mean_overlap(sets: DataFrame, union: float | None = None, keys: Sequence[str
     return join_counts(members, pin(scores), ["rep_id"]).select("doc_id", *keys, "score")
 
 
+def mean_multiset_overlap(
+    docs: DataFrame, union: float = MULTISET_UNION, words: Column | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Mean overlap of word occurrences over a fixed ``union``, as ``mean_overlap`` defines it, without any pairs.
+
+    A row's overlaps sum up word by word: a word that it has n times shares min(n, m) occurrences with a row that has
+    it m times. Per word the rows are counted by m, and running sums over m give that sum for every n.
+    """
+    by = list(keys)
+    pairs = pin(ct.word_counts(ct.token_rows(docs, words, keep=("doc_id", *by)), ["doc_id", *by]))
+    tally = pairs.groupBy(*by, "token", "n").agg(F.count(F.lit(1)).alias("rows"))
+    # one row per word and distinct count: at most as many as the longest text has counts
+    upward = W.partitionBy(*by, "token").orderBy("n")
+    whole = W.partitionBy(*by, "token")
+    upto = F.sum(F.col("n") * F.col("rows")).over(upward)
+    above = F.sum("rows").over(whole) - F.sum("rows").over(upward)
+    shared = pin(tally.select(*by, "token", "n", "rows", (upto + F.col("n") * above).alias("shared")))
+    summed = join_counts(pairs, shared, [*by, "token", "n"], n="rows")
+    sums = summed.groupBy(*by, "doc_id").agg((F.sum("shared") - F.sum("n")).alias("sum"))
+    ids = docs.select(*by, "doc_id")
+    totals = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    every = join_checked(ids, totals, by) if by else ids.withColumn("total", F.lit(ids.count()))
+    scored = every.join(sums, [*by, "doc_id"], "left")
+    ratio = F.coalesce("sum", F.lit(0)) / F.lit(union) / F.col("total")
+    return scored.select("doc_id", *by, F.round(ratio, DIGITS).alias("score"))
+
+
 def select_iou(
     docs: DataFrame, n: int, different: bool = False, words: Column | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -103,7 +131,7 @@ def select_iou_multiset(
     words: Column | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
     """The same by word occurrences, over a fixed union size."""
-    return select_by_score(mean_overlap(token_multisets(docs, words, keys), union, keys), n, different, keys)
+    return select_by_score(mean_multiset_overlap(docs, union, words, keys), n, different, keys)
 
 
 def similar_ngram_pairs(sets: DataFrame, threshold: float) -> DataFrame:

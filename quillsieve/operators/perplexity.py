@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,44 +13,61 @@ from quillsieve.operators.skew import join_counts
 from quillsieve.session import pin
 
 
-def bigrams(rows: DataFrame, keep: Sequence[str] = (), words: str = "words", last: bool = False) -> DataFrame:
-    """Neighbouring words of each row; with ``last``, also its last word with a null neighbour."""
-    shifted = F.slice(F.col(words), 2, F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    flat = rows.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.a", "p.b")
-    return flat if last else flat.where("b is not null")
+@dataclass
+class BigramModel:
+    """Counts of a training corpus: bigrams (``a, b, n_ab``), followed words (``a, n_a``) and distinct words."""
+
+    pairs: DataFrame
+    starts: DataFrame
+    vocabulary: int
 
 
-def train(rows: DataFrame, words: str = "words") -> DataFrame:
-    """``a, b, n, nll``: each bigram's count and its negative log probability.
+def pair_counts(rows: DataFrame, keys: Sequence[str] = ("doc_id",), words: str = "words") -> DataFrame:
+    """``keys, a, b, c``: each row's bigrams with how often they occur; its last word has a null neighbour.
 
-    One pass over the texts: rows' last words are counted along, so that every word of the vocabulary
-    occurs as a first one.
+    The texts are read once: the model and the scores of the same rows both come from this table.
     """
-    pairs = pin(bigrams(rows, (), words, last=True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
+    shifted = F.slice(F.col(words), 2, F.greatest(F.size(words), F.lit(1)))
+    pairs = F.zip_with(words, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    flat = rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.a", "p.b")
+    return pin(flat.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("c")))
+
+
+def train(pairs: DataFrame) -> BigramModel:
+    """The model of the rows whose ``pair_counts`` are given."""
+    counted = pin(pairs.groupBy("a", "b").agg(F.sum("c").alias("n_ab")))
     followed = F.when(F.col("b").isNotNull(), F.col("n_ab")).otherwise(0)
-    starts = pin(pairs.groupBy("a").agg(F.sum(followed).alias("n")))
-    joined = join_counts(pairs.where("b is not null"), starts, ["a"])
-    nll = -F.log((F.col("n_ab") + 1) / (F.col("n") + F.lit(starts.count())))
-    return pin(joined.select("a", "b", F.col("n_ab").alias("n"), nll.alias("nll")))
+    starts = pin(counted.groupBy("a").agg(F.sum(followed).alias("n_a")))
+    return BigramModel(counted.where("b is not null"), starts, starts.count())
 
 
-def mean_nll(rows: DataFrame, model: DataFrame, key: str = "doc_id", words: str = "words") -> DataFrame:
-    """Mean negative log likelihood of each row's bigrams; rows without bigrams have none.
+def pair_nll(pairs: DataFrame, model: BigramModel) -> DataFrame:
+    """``a, b, n, nll`` of the distinct bigrams of ``pairs``; ``n`` is how many rows of ``pairs`` have it.
 
-    Every bigram of ``rows`` must be in the model, and no more often than the model counted it.
+    A bigram that the model has not seen counts as seen zero times, and so does its first word.
     """
-    scored = join_counts(bigrams(rows, (key,), words), model, ["a", "b"])
-    return scored.groupBy(key).agg(F.avg("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
+    own = pin(pairs.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    firsts = own.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(model.starts, "a", "left")
+    known = own.join(model.pairs, ["a", "b"], "left")
+    with_starts = join_counts(known, pin(firsts.select("a", F.col("n").alias("m"), "n_a")), ["a"], n="m")
+    seen, after = F.coalesce("n_ab", F.lit(0)) + 1, F.coalesce("n_a", F.lit(0)) + F.lit(model.vocabulary)
+    return pin(with_starts.select("a", "b", "n", (-F.log(F.try_divide(seen, after))).alias("nll")))
+
+
+def mean_nll(pairs: DataFrame, model: BigramModel, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Mean negative log likelihood of each row's bigrams, seen or not; rows without bigrams have none."""
+    scored = join_counts(pairs.where("b is not null"), pair_nll(pairs, model), ["a", "b"])
+    weighted = F.sum(F.col("c") * F.col("nll")) / F.sum("c")
+    return scored.groupBy(*keys).agg(weighted.alias("nll"), F.sum("c").alias("n"))
 
 
-def ngram_perplexity(rows: DataFrame, model: DataFrame, key: str = "doc_id", words: str = "words") -> DataFrame:
-    return mean_nll(rows, model, key, words).select(key, F.round(F.exp("nll"), DIGITS - 3).alias("score"))
+def ngram_perplexity(pairs: DataFrame, model: BigramModel, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    return mean_nll(pairs, model, keys).select(*keys, F.round(F.exp("nll"), DIGITS - 3).alias("score"))
 
 
-def corpus_perplexity(windows: DataFrame, model: DataFrame, key: str = "window") -> DataFrame:
+def corpus_perplexity(pairs: DataFrame, model: BigramModel, key: str = "window") -> DataFrame:
     """Perplexity of windows: from the plain mean and from the mean weighted by tokens."""
-    scored = mean_nll(windows, model, key).where(~F.isnan("nll"))
+    scored = mean_nll(pairs, model, (key,)).where(~F.isnan("nll"))
     return scored.agg(
         F.exp(F.avg("nll")).alias("perplexity"),
         F.exp(F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("weighted_perplexity"),

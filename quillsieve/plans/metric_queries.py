@@ -12,7 +12,7 @@ from quillsieve.operators import greedy, packing, perplexity, reports, spectral
 from quillsieve.operators import selection as sel
 from quillsieve.plans.registry import load, query
 from quillsieve.plans.select_queries import _SQL_ZIPF
-from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_DOCS, SQL_UNITS, documents, vectors
+from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_DOCS, SQL_UNITS, documents, sql_zipf_words, vectors
 from quillsieve.session import pin
 
 
@@ -201,13 +201,29 @@ _SQL_LM = (
 
 def _lm(spark, sf):
     rows = documents(spark, sf).select("doc_id", tx.zipf_words(F.col("text")).alias("words"))
-    return rows, perplexity.train(rows)
+    pairs = perplexity.pair_counts(rows)
+    return pairs, perplexity.train(pairs)
 
 
 @query("ngram_perplexity", f"with {_SQL_LM} select doc_id, round(exp(m), 6) as score from ppl")
 def q_ngram_perplexity(spark, sf):
-    rows, model = _lm(spark, sf)
-    return perplexity.ngram_perplexity(rows, model)
+    return perplexity.ngram_perplexity(*_lm(spark, sf))
+
+
+@query(
+    "perplexity_unseen",
+    f"with {SQL_DOCS}, bi as materialized (select words[i] as a, words[i + 1] as b from (select words, unnest(range(1, len(words))) as i from "
+    "docs)), ab as materialized (select a, b, count(*) as n from bi group by a, b), s as materialized (select a, sum(n) as n from ab group by a), "
+    "v as (select count(distinct w) as v from (select unnest(words) as w from docs)), "
+    f"tests as (select item_id, {sql_zipf_words()} as words from benchmark), tb as (select item_id, words[i] as a, words[i + 1] as b from (select "
+    "item_id, words, unnest(range(1, len(words))) as i from tests)) select item_id, round(exp(avg(-ln((coalesce(ab.n, 0) + 1) / "
+    "(coalesce(s.n, 0) + v.v)))), 6) as score from tb left join ab using (a, b) left join s using (a), v group by item_id",
+)
+def q_perplexity_unseen(spark, sf):
+    """Trained on one table and scored on another, most of whose bigrams the model has not seen."""
+    _, model = _lm(spark, sf)
+    rows = load(spark, sf, "benchmark").select("item_id", tx.zipf_words(F.col("text")).alias("words"))
+    return perplexity.ngram_perplexity(perplexity.pair_counts(rows, ("item_id",)), model, ("item_id",))
 
 
 @query(
@@ -216,8 +232,7 @@ def q_ngram_perplexity(spark, sf):
     "qualify rank <= 128",
 )
 def q_select_lowest_score(spark, sf):
-    rows, model = _lm(spark, sf)
-    out = sel.select_by_score(perplexity.ngram_perplexity(rows, model), 128, ascending=True)
+    out = sel.select_by_score(perplexity.ngram_perplexity(*_lm(spark, sf)), 128, ascending=True)
     return out.select("doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -234,8 +249,8 @@ def q_select_lowest_score(spark, sf):
 )
 def q_corpus_perplexity(spark, sf):
     rows = documents(spark, sf).select("doc_id", tx.zipf_words(F.col("text")).alias("words"))
-    windows = pin(packing.pack_windows(rows, 512))
-    found = perplexity.corpus_perplexity(windows, perplexity.train(windows))
+    pairs = perplexity.pair_counts(packing.pack_windows(rows, 512), ("window",))
+    found = perplexity.corpus_perplexity(pairs, perplexity.train(pairs))
     return _rounded(found, 6, "perplexity", "weighted_perplexity")
 
 

@@ -328,9 +328,9 @@ def q_scorer_hook(spark, sf):
     return out.select("dataset", "doc_id", "rank", F.md5("text").alias("digest"))
 
 
-def _sql_prepare(pool: int, steps: int) -> str:
+def _sql_prepare(pool: int, steps: int, vectors: str = SQL_CENTROIDS) -> str:
     parts = [
-        SQL_CENTROIDS,
+        vectors,
         f"pool as materialized (select doc_id, 'all' as dataset, embedding from scored qualify row_number() over (partition by dataset order by "
         f"score desc, doc_id) <= {pool})",
         "m0 as materialized (select dataset, doc_id, embedding, 'inf'::double as m from pool)",
@@ -352,6 +352,21 @@ def q_prepare_selection(spark, sf):
     return dispatch.prepare_selection(docs, "most_similar", 6, vectors=rows).select("doc_id", "rank")
 
 
+_SQL_TWO_SETS = SQL_CENTROIDS.replace("'set' || label as dataset", "case when vec_id % 2 = 0 then 'even' else 'odd' end as dataset")
+
+
+@query(
+    "prepare_selection_two_sets",
+    f"select case when doc_id % 2 = 0 then 'even' else 'odd' end as dataset, doc_id // 2 as doc_id, rank from ({_sql_prepare(6, 6, _SQL_TWO_SETS)})",
+)
+def q_prepare_selection_two_sets(spark, sf):
+    """Two datasets whose ids both begin at 0."""
+    rows = vectors(spark, sf).withColumn("dataset", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    rows = rows.withColumn("doc_id", F.expr("doc_id div 2"))
+    docs = rows.select("dataset", "doc_id", F.lit("").alias("text"))
+    return dispatch.prepare_selection(docs, "most_similar", 6, vectors=rows).select("dataset", "doc_id", "rank")
+
+
 @query("strategy_registry")
 def q_strategy_registry(spark, sf):
     """Every named strategy over the documents of the corpus, by the number of rows it gives."""
