@@ -123,13 +123,21 @@ def geo_mean_pct(value: Column, dense: Column) -> Column:
     return F.exp(F.avg(F.when(usable, F.log(value / dense)))) * 100
 
 
+def of_task_metric(rows: DataFrame) -> DataFrame:
+    """Rows of the metric that stands for their task; a task's other metrics are not averaged with it."""
+    return rows.where(F.col("metric") == lb.metric_for_task(F.col("task")))
+
+
 def method_vs_baseline(ours: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:
     """Both means side by side for the tasks where both are known."""
     return join_checked(ours, baseline, keys).dropna()
 
 
 def group_grid(results: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Per task and dataset group: dense value, ours and the baseline; means and geometric means below."""
+    """Per task and dataset group: dense value, ours and the baseline; means and geometric means below.
+
+    Both tables hold one metric for each task (see ``of_task_metric``).
+    """
     by = [*keys, "group", "task"]
     ours = results.groupBy(*by).agg(F.avg("pruned_value").alias("ours"), F.min_by("original_value", "row_id").alias("dense"))
     other = baseline.groupBy(*by).agg(F.avg("value").alias("baseline"))

@@ -172,26 +172,33 @@ def centroid_split(rows: DataFrame, chosen: DataFrame, vector: str = "embedding"
     return ranked.withColumn("rank", F.when(F.col("part") == "tail", F.col("rank")))
 
 
-def incremental_sets(split: DataFrame, rows: DataFrame, step: int, steps: int, seed: int = 42) -> DataFrame:
-    """Labelled growing sets: the inside rows alone, with the farthest tail rows, and with random tail rows."""
+def incremental_sets(split: DataFrame, rows: DataFrame, step: int, seed: int = 42) -> DataFrame:
+    """Labelled growing sets: the inside rows alone, with the farthest tail rows, and with random rows.
+
+    Both series grow by ``step`` rows until they have added as many as there are tail rows; the last step may be
+    smaller. Random rows are drawn from those that are not inside, so equal steps give sets of equal size.
+    """
     inside = split.where("part = 'inside'").select("doc_id")
-    tail = split.where(F.col("part") == "tail").where(F.col("rank") <= step * steps).select("doc_id", "rank")
-    chance = select_random(rows.withColumn("dataset", F.lit("all")), step * steps, seed).select("doc_id", "rank")
+    tail = pin(split.where(F.col("part") == "tail").select("doc_id", "rank"))
+    size = tail.count()
+    outside = rows.join(inside, "doc_id", "left_anti").withColumn("dataset", F.lit("all"))
+    chance = select_random(outside, size, seed).select("doc_id", "rank")
+    steps = -(-size // step)
     grown = F.explode(F.sequence(F.ceil(F.col("rank") / step).cast("int"), F.lit(steps))).alias("_i")
 
+    def added(i: Column) -> Column:
+        return F.least(i * step, F.lit(size)).cast("string")
+
     def labelled(extra: DataFrame, name: str) -> DataFrame:
-        return extra.select("doc_id", grown).select(
-            "doc_id", F.concat(F.lit(f"{name}_add_"), (F.col("_i") * step).cast("string")).alias("label")
-        )
+        return extra.select("doc_id", grown).select("doc_id", F.concat(F.lit(f"{name}_add_"), added(F.col("_i"))).alias("label"))
 
-    labels = F.explode(
-        F.array(
-            F.lit("intersection"),
-            *[F.lit(f"{name}_add_{i * step}") for name in ("tail", "random") for i in range(1, steps + 1)],
-        )
-    )
-    base = inside.select("doc_id", labels.alias("label"))
-    return base.union(labelled(tail, "tail")).union(labelled(chance, "random")).distinct()
+    def names(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.concat(F.lit(f"{name}_add_"), added(i)))
+
+    alone = F.array(F.lit("intersection"))
+    labels = F.concat(alone, names("tail"), names("random")) if steps else alone
+    base = inside.select("doc_id", F.explode(labels).alias("label"))
+    return base.union(labelled(tail, "tail")).union(labelled(chance, "random"))
 
 
 def cluster_representatives(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:

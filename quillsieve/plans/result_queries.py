@@ -115,13 +115,16 @@ def q_unpivot_stats(spark, sf):
 
 @query(
     "relabel",
-    "select p_partkey, split_part('org/' || p_brand || case p_partkey % 4 when 0 then '-70B' when 1 then '-8B' when 2 then '-3B' else '' end, "
+    "select p_partkey, case p_partkey % 4 when 0 then 'Random' when 1 then 'ZipCal' when 2 then 'GSM8K' else 'other' end as shown, "
+    "split_part('org/' || p_brand || case p_partkey % 4 when 0 then '-70B' when 1 then '-8B' when 2 then '-3B' else '' end, "
     "'/', -1) as short_name, case p_partkey % 4 when 0 then '70B' when 1 then '8B' when 2 then '3B' else 'org/' || p_brand end as size from part",
 )
 def q_relabel(spark, sf):
     tail = F.element_at(F.array(F.lit("-70B"), F.lit("-8B"), F.lit("-3B"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
     model = F.concat(F.lit("org/"), F.col("p_brand"), tail)
-    return load(spark, sf, "part").select("p_partkey", lb.short_model(model).alias("short_name"), lb.size_tag(model).alias("size"))
+    names = F.array(*[F.lit(n) for n in ("random", "words_dataset", "gsm8k", "other")])
+    shown = lb.display_name(F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("shown")
+    return load(spark, sf, "part").select("p_partkey", shown, lb.short_model(model).alias("short_name"), lb.size_tag(model).alias("size"))
 
 
 @query(
@@ -292,14 +295,14 @@ def q_geo_mean_pct(spark, sf):
 
 
 _SQL_BASE = SQL_FACTS + (
-    f", f as (select *, {sql_group('calibration_datasets')} as grp from facts where metric <> 'acc_stderr,none'), base as (select model, grp, task, "
+    f", f as (select *, {sql_group('calibration_datasets')} as grp from facts where metric = {SQL_METRIC}), base as (select model, grp, task, "
     "avg(pruned_value) as baseline from f where pruning_type = 'most_similar' group by all), ours as (select model, grp, task, "
     "avg(pruned_value) as ours, arg_min(original_value, row_id) as dense from f where pruning_type = 'unique_tokens' group by all)"
 )
 
 
 def _ours_and_baseline(spark, sf):
-    rows = facts(spark, sf).where("metric <> 'acc_stderr,none'")
+    rows = rs.of_task_metric(facts(spark, sf))
     rows = rows.withColumn("group", lb.calib_group(F.col("calibration_datasets")))
     baseline = rows.where("pruning_type = 'most_similar'").withColumnRenamed("pruned_value", "value")
     return rows.where("pruning_type = 'unique_tokens'"), baseline

@@ -140,21 +140,22 @@ def q_masked_mean_pool(spark, sf):
 
 
 _SQL_SEQ_SCORES = (
-    ", units as (select seq, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from whole), "
-    "dims as (select unnest(range(len(u))) as d, unnest(u) as x from units), "
-    "center as (select list(m order by d) as c from (select d, avg(x) as m from dims group by d)), "
-    "scored as (select seq, len(u)::bigint as dims, round(list_dot_product(u, c), 9) as score from units, center)"
+    ", units as (select seq, len(v) as size, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from whole), "
+    "dims as (select size, unnest(range(len(u))) as d, unnest(u) as x from units), "
+    "center as (select size, list(m order by d) as c from (select size, d, avg(x) as m from dims group by size, d) group by size), "
+    "scored as (select seq, size::bigint as dims, round(list_dot_product(u, c), 9) as score from units join center using (size))"
 )
 
 
 @query(
     "flatten_vectors",
-    f"with {_SQL_SEQS}, whole as (select seq, flatten(list(embedding order by pos)) as v from seqs group by seq having count(*) = 10)"
+    f"with {_SQL_SEQS}, whole as (select seq, flatten(list(embedding order by pos)) as v from seqs group by seq)"
     + _SQL_SEQ_SCORES
     + " select seq, dims, score from scored",
 )
 def q_flatten_vectors(spark, sf):
-    flat = pooling.flatten_vectors(_seqs(spark, sf), ["dataset", "seq"]).where(F.size("embedding") == 640)
+    flat = pooling.flatten_vectors(_seqs(spark, sf), ["dataset", "seq"])
+    flat = flat.withColumn("dataset", F.size("embedding").cast("string"))  # vectors of one length are compared
     scored = sel.mean_similarity(flat)
     return scored.select("seq", F.size("embedding").cast("bigint").alias("dims"), "score")
 
@@ -283,16 +284,16 @@ def q_centroid_split(spark, sf):
 
 @query(
     "incremental_sets",
-    f"with {_SQL_SPLIT}, chance as (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) as rank from vecs), "
-    "steps as (select unnest(range(1, 5)) as i), base as (select doc_id from ranked where part = 'inside'), u as ("
-    "select doc_id, 'intersection' as label from base union select doc_id, 'tail_add_' || i * 5 from base, steps "
-    "union select doc_id, 'random_add_' || i * 5 from base, steps union select doc_id, 'tail_add_' || i * 5 from ranked, steps "
-    "where part = 'tail' and rank <= i * 5 union select doc_id, 'random_add_' || i * 5 from chance, steps where rank <= i * 5) "
-    "select doc_id, label from u",
+    f"with {_SQL_SPLIT}, size as (select count(*) as t from ranked where part = 'tail'), chance as (select doc_id, row_number() over (order by "
+    "md5('42:' || doc_id), doc_id) as rank from ranked where part = 'tail'), steps as (select i, least(i * 25, t) as added from size, "
+    "range(1, 1000) r(i) where (i - 1) * 25 < t), base as (select doc_id from ranked where part = 'inside') select doc_id, 'intersection' as label "
+    "from base union all select doc_id, 'tail_add_' || added from base, steps union all select doc_id, 'random_add_' || added from base, steps "
+    "union all select doc_id, 'tail_add_' || added from ranked, steps where part = 'tail' and rank <= i * 25 union all select doc_id, "
+    "'random_add_' || added from chance, steps where rank <= i * 25",
 )
 def q_incremental_sets(spark, sf):
     split, rows = _split(spark, sf)
-    return sel.incremental_sets(pin(split), rows, 5, 4)
+    return sel.incremental_sets(pin(split), rows, 25)
 
 
 @query("cluster_representatives")

@@ -38,23 +38,27 @@ def q_discover_files(spark, sf):
     root = scratch_table(spark, "corpora")
     documents(spark, sf).select("doc_id", "text").write.parquet(f"{root}/c4")
     load(spark, sf, "benchmark").write.json(f"{root}/mine")
-    out = []
-    for name in ("c4", "mine"):
-        paths = [r["path"] for r in cp.discover_files(spark, f"{root}/{name}").collect()]
-        kind = cp.choose_format(paths)
-        rows = spark.read.format(kind).load(cp.split_by_path(paths, None))
-        out.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("corpus"), F.lit(kind).alias("format"), "n"))
-    return out[0].union(out[1])
+    files = cp.discover_files(spark, root)
+    corpus = F.when(cp.split_by_path(F.col("path"), root, "mine"), "mine").otherwise("c4")
+    kinds = files.groupBy(corpus.alias("corpus")).agg(F.max(cp.choose_format(F.col("path"))).alias("format"))
+    whole = spark.read.parquet(f"{root}/c4").select(F.lit("c4").alias("corpus")).union(
+        spark.read.json(f"{root}/mine").select(F.lit("mine"))
+    )
+    return whole.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).join(kinds, "corpus")
 
 
-@query("choose_format", "select 'parquet' as format, count(*)::bigint as n from documents")
+@query(
+    "choose_format",
+    "select 'parquet' as format, count(*)::bigint as n from documents union all select 'json', count(*)::bigint from benchmark",
+)
 def q_choose_format(spark, sf):
-    """Parquet wins over JSON when a folder holds both."""
+    """A folder that holds both formats is read whole."""
     root = scratch_table(spark, "mixed")
-    load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id").write.json(f"{root}/mixed/a")
+    bench = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("json").alias("kind"))
+    bench.write.json(f"{root}/mixed/a")
     documents(spark, sf).select("doc_id", "text").write.parquet(f"{root}/mixed/b")
     rows = cp.read_corpus(spark, "mixed", root)
-    return rows.groupBy(F.lit("parquet").alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.coalesce("kind", F.lit("parquet")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -151,7 +155,8 @@ def q_scan_result_tree(spark, sf):
     rows = facts(spark, sf).select("row_id", "model", "task", "metric", value)
     for folder, part in (("a", rows.where("row_id % 2 = 0")), ("b", rows.where("row_id % 2 = 1"))):
         kept = part.select("original_value", "row_id", "task", "model", "metric") if folder == "b" else part
-        kept.coalesce(1).sortWithinPartitions("row_id").write.option("header", "true").csv(f"{root}/{folder}")
+        # several files whose names are in the order of their rows
+        kept.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("header", "true").csv(f"{root}/{folder}")
     rows.select("model", "task").write.option("header", "true").csv(f"{root}/c")
     found = tb.scan_result_tree(spark, root)
     return found.withColumn("original_value", F.round("original_value", 9))

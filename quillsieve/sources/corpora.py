@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsieve.functions.text import drop_empty_text
@@ -40,6 +40,7 @@ CORPORA: dict[str, tuple[str, str | None]] = {
     "xquad_zh": ("xquad", "xquad.zh"),
 }
 FILE_PATTERN = "{*.json*,*.jsonl*,*.parquet,*.parquet.zst,*.zst}"
+FILE_PATTERNS = {"parquet": "*.parquet*", "json": "{*.json*,*.zst}"}
 KNOWN_SPLITS = ("train", "validation", "test")
 # Orders in which a missing split is replaced.
 SPLIT_ORDERS = {
@@ -66,30 +67,42 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select("path").distinct()
 
 
-def choose_format(paths: Sequence[str]) -> str:
-    return "parquet" if any(".parquet" in p for p in paths) else "json"
+def choose_format(path: Column) -> Column:
+    """Format of a file by its name."""
+    return F.when(path.contains(".parquet"), "parquet").otherwise("json")
 
 
-def split_by_path(paths: Sequence[str], split: str | None) -> list[str]:
-    """Files whose path names the split; the first two files if none does."""
-    ordered = sorted(paths)
-    if not split:
-        return ordered
-    return [p for p in ordered if split in p] or ordered[:2]
+def split_by_path(path: Column, root: str, split: str) -> Column:
+    """Whether a part of the path below ``root`` names the split; folders above it do not count."""
+    below = F.substring_index(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), f"{root.rstrip('/')}/", -1)
+    return F.exists(F.split(below, "/"), lambda part: part.contains(split))
 
 
 def read_corpus(spark: SparkSession, name: str, root: str, split: str | None = None) -> DataFrame:
-    """The files of a corpus below ``root``, as one table with its name and split."""
+    """The files of a corpus below ``root``, as one table with its name and split.
+
+    Files of both formats are read, columns that one lacks are null there. If no path names the split, all files are
+    its files. Which files there are is asked by name; paths are never gathered, and the reader skips unwanted ones.
+    """
     location, config = corpus_registry(name)
-    paths = [r["path"] for r in discover_files(spark, f"{root}/{location}").collect()]
-    if config and any(f"/{config}/" in p for p in paths):
-        paths = [p for p in paths if f"/{config}/" in p]
-    if not paths:
-        raise FileNotFoundError(f"no data files for {name} below {root}/{location}")
-    chosen = split_by_path(paths, split)
-    kind = choose_format(chosen)
-    chosen = [p for p in chosen if (".parquet" in p) == (kind == "parquet")]
-    rows = spark.read.format(kind).load(chosen)
+    base = f"{root.rstrip('/')}/{location}"
+    listed = discover_files(spark, base)
+    wanted: list[Callable[[Column], Column]] = []
+    for part in (config, split):
+        if part and not listed.where(split_by_path(F.col("path"), base, part)).isEmpty():
+            wanted.append(lambda path, part=part: split_by_path(path, base, part))
+    tables = []
+    for kind in ("parquet", "json"):
+        if listed.where(choose_format(F.col("path")) == kind).isEmpty():
+            continue
+        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILE_PATTERNS[kind])
+        rows = reader.format(kind).load(base)
+        for condition in wanted:
+            rows = rows.where(condition(F.col("_metadata.file_path")))
+        tables.append(rows)
+    if not tables:
+        raise FileNotFoundError(f"no data files for {name} below {base}")
+    rows = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True)
     return rows.withColumns({"dataset": F.lit(name), "split": F.lit(split or "train")})
 
 
