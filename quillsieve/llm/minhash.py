@@ -9,11 +9,12 @@ ever made, so a signature takes one point per run and a few hundred more.
 
 Texts that share a band meet in a bucket. No bucket is expanded into all its pairs:
 
-1. Each bucket's members are compared with one of them, the pivot. The overlap of the multisets is exact. What is similar
-   is linked, and links give components. Buckets that lie in one component are done.
-2. In the others each member stands by its most similar pivot. Pivots of different components are compared.
-3. One minus the weighted Jaccard similarity is a metric. Only where the pivots' distance, less both members' distances to
-   them, leaves room for a link, members are compared themselves.
+1. Each bucket's members are compared with its pivot, the member whose buckets are largest. The overlap of the multisets is
+   exact. What is similar is linked, and links give components. Buckets that lie in one component are done.
+2. In the others, two members share at most the smaller of their overlaps with the pivot, and beyond the pivot at most the
+   smaller of their runs that any other candidate has at all. Members for which this leaves no partner in the bucket go.
+3. Those outside a bucket's largest component are compared with members of other components where that bound and the sizes
+   allow a link.
 
 So no candidate pair that could join two components is left out, and large groups of near copies cost a comparison each.
 """
@@ -163,75 +164,79 @@ def bag_items(df: DataFrame, width: int) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """``a, b, sim``: the weighted Jaccard similarity of each pair, from the whole multisets."""
+    """``a, b, s, sim``: the size of the overlap and the weighted Jaccard similarity of each pair, from whole multisets."""
     right = items.select(F.col("node").alias("b"), F.col("items").alias("_b"))
     left = items.select(F.col("node").alias("a"), F.col("items").alias("_a"))
     shared = F.size(F.array_intersect("_a", "_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("_a").alias("x"), F.size("_b").alias("y"), shared.alias("s"))
-    return both.select("a", "b", (F.col("s") / (F.col("x") + F.col("y") - F.col("s"))).alias("sim"))
+    return both.select("a", "b", "s", (F.col("s") / (F.col("x") + F.col("y") - F.col("s"))).alias("sim"))
 
 
-def _alike(x: str, y: str, threshold: float) -> Column:
-    """Whether two sizes allow a similarity of ``threshold``."""
-    return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
+def with_pivots(shared: DataFrame) -> DataFrame:
+    """``shared`` (``band, node, n, size``) with each bucket's pivot: the member whose buckets hold the most members.
+
+    A text that others were made from agrees with more of them than they do with each other.
+    """
+    central = shared.groupBy("node").agg(F.sum("size").alias("_central"))
+    best = F.max(F.struct("_central", F.xxhash64("node").alias("h"), "node")).alias("p")
+    pivots = shared.join(central, "node").groupBy("band").agg(best)
+    return pin(shared.join(pivots.select("band", F.col("p.node").alias("pivot")), "band"))
+
+
+def lone_runs(items: DataFrame) -> DataFrame:
+    """``node, lone``: how many of a text's items no other candidate has."""
+    one = items.select("uid", F.explode("items").alias("item")).groupBy("item")
+    alone = one.agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).where("c = 1")
+    counted = alone.groupBy("uid").agg(F.count(F.lit(1)).alias("lone"))
+    return items.select("node", "uid").join(counted, "uid", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that lie in more than one component."""
+    apart = members.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return members.join(apart.where(F.col("_low") != F.col("_high")).select("band"), "band")
 
 
-def links(shared: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
-    """Links that join every two texts of a bucket that are similar, directly or over others; None if there are none.
+def links(shared: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Links (``a, b``) that join every two texts of a bucket that are similar, directly or over others.
 
-    ``shared`` has ``band, node, n, pivot, pivot_n``. The three steps are those of the module's text.
+    ``shared`` has ``band, node, n, size``, ``items`` has ``node, uid, items``. The steps are those of the module's text.
     """
-    stars = shared.where((F.col("node") != F.col("pivot")) & _alike("n", "pivot_n", threshold))
-    tested = pin(overlaps(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), items))
-    linked = pin(tested.where(F.col("sim") >= threshold))
+    starred = with_pivots(shared)
+    stars = starred.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    tested = pin(overlaps(stars.distinct(), items))
+    linked = pin(tested.where(F.col("sim") >= threshold).select("a", "b"))
     labels = components(linked)
-    nearest = linked.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("sim", "a")).alias("to"))
     placed = (
-        shared.select("band", "node", "n")
-        .join(labels, "node", "left")
-        .join(nearest, "node", "left")
-        .select(
-            "band",
-            "node",
-            "n",
-            F.coalesce("label", "node").alias("label"),
-            F.coalesce("to.a", "node").alias("near"),
-            (1 - F.coalesce("to.sim", F.lit(1.0))).alias("far"),
-        )
+        starred.join(labels, "node", "left")
+        .join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "s"), ["pivot", "node"], "left")
+        .select("band", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("s", "n").alias("s"))
     )
-    placed = pin(placed)
-    apart = placed.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-    split = placed.join(apart.where(F.col("_low") != F.col("_high")).select("band"), "band")
-    split = pin(split)
+    split = pin(_open(placed))
     if split.isEmpty():
         return linked
-    # pivots of different components in one bucket
-    groups = pin(split.groupBy("band", "near").agg(F.max("far").alias("reach"), F.min("label").alias("label")))
-    one = groups.select("band", F.col("near").alias("a"), F.col("label").alias("_la"), F.col("reach").alias("_ra"))
-    two = groups.select("band", F.col("near").alias("b"), F.col("label").alias("_lb"), F.col("reach").alias("_rb"))
-    met = one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")))
-    met = pin(met.select("band", "a", "b", "_ra", "_rb"))
-    between = pin(overlaps(met.select("a", "b").distinct(), items))
-    linked = pin(linked.unionByName(between.where(F.col("sim") >= threshold)))
-    # members that the pivots' distance does not keep apart
-    room = F.lit(1 - threshold + 1e-9)
-    open_pairs = met.join(between.where(F.col("sim") < threshold), ["a", "b"]).withColumn("gap", 1 - F.col("sim"))
-    open_pairs = pin(open_pairs.where(F.col("gap") - F.col("_ra") - F.col("_rb") <= room).where(F.col("_ra") + F.col("_rb") > 0))
-    if open_pairs.isEmpty():
-        return linked
-    labels = components(linked)
-    members = split.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    m1 = members.select("band", F.col("near").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "far")])
-    m2 = members.select("band", F.col("near").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "far")])
-    close = (
-        open_pairs.join(m1, ["band", "a"])
-        .where(F.col("gap") - F.col("far1") - F.col("_rb") <= room)
-        .join(m2, ["band", "b"])
-        .where((F.col("gap") - F.col("far1") - F.col("far2") <= room) & (F.col("label1") != F.col("label2")))
-        .where(_alike("n1", "n2", threshold))
+    beyond = F.greatest(F.lit(0), F.col("n") - F.col("lone") - F.col("s"))
+    bounded = pin(split.join(lone_runs(items), "node").withColumn("q", beyond))
+    # two texts are similar only if they share this part of their sizes
+    part = F.lit(threshold / (1 + threshold))
+    most = bounded.groupBy("band").agg(F.min("n").alias("_n"), F.max("s").alias("_s"), F.max("q").alias("_q"))
+    partner = F.greatest(F.col("_n"), F.col("n") * threshold)
+    room = F.least("s", "_s") + F.least("q", "_q") >= part * (F.col("n") + partner) - 1e-9
+    live = pin(_open(bounded.join(most, "band").where(room).select("band", "node", "n", "label", "s", "q")))
+    sizes = live.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_m"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("_m", "label")).alias("l")).select("band", F.col("l.label").alias("main"))
+    outside = live.join(largest, "band").where(F.col("label") != F.col("main"))
+    one = outside.select("band", "main", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "s", "q")])
+    two = live.select("band", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "s", "q")])
+    could = (
+        (F.col("label1") != F.col("label2"))
+        & (F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(threshold) - 1e-9)
+        & (F.least("s1", "s2") + F.least("q1", "q2") >= part * (F.col("n1") + F.col("n2")) - 1e-9)
+        & ((F.col("label2") == F.col("main")) | (F.col("node1") < F.col("node2")))
     )
-    rest = overlaps(close.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), items)
-    return pin(linked.unionByName(rest.where(F.col("sim") >= threshold)))
+    pairs = one.join(two, (one["band"] == two["band"]) & could).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    rest = overlaps(pin(pairs.distinct()), items).where(F.col("sim") >= threshold).select("a", "b")
+    return pin(linked.unionByName(rest))
 
 
 def near_duplicates(
@@ -261,17 +266,15 @@ def near_duplicates(
         )
     )
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    buckets = members.groupBy("band").agg(
-        F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p")
-    )
-    pivots = buckets.where(F.col("_m") > 1).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    shared = pin(members.join(pivots, "band"))
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = pin(members.join(buckets, "band"))
     wanted = shared.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("node"))
     chosen = texts.join(
         wanted.select("node", F.col("first_id").alias("_first")), "node"
     ).where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    items = pin(bag_items(chosen.select("doc_id", "text", "node"), width).groupBy("node").agg(F.first("items").alias("items")))
+    bags = bag_items(chosen.select("doc_id", "text", "node"), width).groupBy("node").agg(F.first("items").alias("items"))
+    items = pin(bags.withColumn("uid", F.monotonically_increasing_id()))
     labels = components(links(shared, items, threshold))
     classed = nodes.select("node", "first_id", "copies").join(labels, "node", "left")
     classed = pin(classed.withColumn("label", F.coalesce("label", "node")))
