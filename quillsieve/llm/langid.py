@@ -106,21 +106,27 @@ def count_features(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame
 
 
 class Backoff:
-    """The model: log frequencies per language of words and of n-grams by order."""
+    """The model: log frequencies per language of words (kind 0) and of n-grams (kind = order)."""
 
-    def __init__(self, rows: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int], langs: list[str]):
-        self.langs = langs
+    def __init__(self, langs: list[str], known: dict[int, dict[str, tuple[float, ...]]]):
+        self.langs, self.known = langs, known
+
+    @classmethod
+    def of_counts(
+        cls, rows: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int], langs: list[str]
+    ) -> Backoff:
         at = {lang: i for i, lang in enumerate(langs)}
-        self.known: dict[int, dict[str, tuple[float, ...]]] = {}
+        known: dict[int, dict[str, tuple[float, ...]]] = {}
         by_kind: dict[int, dict[str, list[int]]] = defaultdict(dict)
         for kind, item, lang, n in rows:
             by_kind[kind].setdefault(item, [0] * len(langs))[at[lang]] = n
         for kind, items in by_kind.items():
             floor = [math.log(totals.get((kind, lang), 0) + 1.0) for lang in langs]
-            self.known[kind] = {
+            known[kind] = {
                 item: tuple(math.log(n + 0.05) - z for n, z in zip(counts, floor, strict=True))
                 for item, counts in items.items()
             }
+        return cls(langs, known)
 
     def unseen(self, word: str) -> tuple[float, ...] | None:
         """Votes of a word that is not known: the mean of its n-grams of the longest known order, weighed down."""
@@ -175,15 +181,16 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs
         most = MODEL_GRAMS if kind else MODEL_WORDS
         for r in per_item.where(F.col("kind") == kind).orderBy(F.col("all").desc(), "item").limit(most).collect():
             rows.extend((kind, r.item, one.lang, one.n) for one in r.by_lang)
-    return Backoff(rows, totals, langs)
+    return Backoff.of_counts(rows, totals, langs)
 
 
 def language_column(spark: SparkSession, model: Backoff, text: Column) -> Column:
     """``lang_pred`` and ``score`` of a text as one column; ``und`` with score 0 if it is null or has no letter."""
-    shared = spark.sparkContext.broadcast(model)
+    # plain values only: a broadcast class would have to be installed on the executors
+    shared = spark.sparkContext.broadcast((model.langs, model.known))
 
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = shared.value.scorer()
+        score = Backoff(*shared.value).scorer()
         for texts in batches:
             yield pd.DataFrame([score(t if isinstance(t, str) else "") for t in texts], columns=["lang_pred", "score"])
 

@@ -42,6 +42,8 @@ MODEL_INSULTS = 20_000
 STEMS = (4, 5, 6, 7)
 #: A word is an insult if chance alone would make any word look so in fewer than one of CHANCE such tables.
 CHANCE = 10.0
+#: Least share of toxic texts among those that hold a word; words of many toxic near copies fall below it elsewhere.
+LEAST_SHARE = 0.9
 #: How far negation and targets reach, in words.
 NEGATION_REACH = 3
 TARGET_REACH = 3
@@ -246,19 +248,20 @@ def learn_insults(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     scored = counts.where((F.col("toxic") > 0) & (share > 0.5)).withColumn(
         "gain", F.col("toxic") * F.ln(share / base) + part
     )
-    kept = scored.where(F.col("gain") > level).withColumn("strength", 2 * share - 1)
+    kept = scored.where((F.col("gain") > level) & (share >= LEAST_SHARE)).withColumn("strength", 2 * share - 1)
     best = kept.orderBy(F.col("gain").desc(), "item").limit(MODEL_INSULTS).select("item", "stem", "strength").collect()
     return (
         {r.item: r.strength for r in best if not r.stem},
-        {r.item: r.strength for r in best if r.stem and r.strength > 0.8},
+        {r.item: r.strength for r in best if r.stem},
     )
 
 
 def _features(df: DataFrame, machine: Machine, columns: list, schema: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+    # plain values only: a broadcast class would have to be installed on the executors
+    shared = df.sparkSession.sparkContext.broadcast((machine.insults, machine.stems))
 
     def work():
-        features = shared.value.features
+        features = Machine(*shared.value).features
 
         def step(texts: list[str], part: pa.RecordBatch) -> dict:
             values = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
