@@ -10,7 +10,7 @@ from collections import Counter
 import plain
 import public_tokenizers
 import pytest
-from conftest import EDGES, LONG
+from llm_rows import EDGES, LONG
 from tokenizers import Tokenizer
 
 from quillsieve.llm.bpe import encode_documents
