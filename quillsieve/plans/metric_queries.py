@@ -348,12 +348,19 @@ def q_norm_shift_report(spark, sf):
     return _rounded(reports.norm_shift_report(rows, 8, None, _METHODS), 7, "wasserstein", "mean_norm")
 
 
-@query("selection_timing")
+@query(
+    "selection_timing",
+    "with f(fraction) as (values (0.25::double), (1.0::double)), parts as (select fraction, source, floor(count(*) * fraction)::bigint as "
+    "used from documents, f group by fraction, source), whole as (select fraction, sum(used)::bigint as n_used, sum(least(used, 8))::bigint as picks from parts "
+    "group by fraction) select 'zipf' as method, fraction, n_used, least(n_used, 128)::bigint as n_chosen from whole union all select "
+    "'words_dataset', fraction, n_used, 128::bigint from whole union all select 'unique_tokens', fraction, n_used, picks from whole",
+)
 def q_selection_timing(spark, sf):
+    """Rows that each method reads and gives; the seconds it takes are the operator's fifth column."""
     docs = documents(spark, sf).select("dataset", "doc_id", "text")
     methods = {
         "zipf": lambda d: sel.select_zipf(d, 128),
         "words_dataset": lambda d: gen.gen_bag_of_words(d, 128),
         "unique_tokens": lambda d: greedy.select_unique_tokens(d, 8),
     }
-    return reports.selection_timing(docs, methods, (0.25, 1.0))
+    return reports.selection_timing(docs, methods, (0.25, 1.0)).drop("selection_time_s")

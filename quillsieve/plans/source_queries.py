@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as tx
-from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
 from quillsieve.operators import dispatch
 from quillsieve.operators import selection as sel
 from quillsieve.plans.greedy_queries import sql_distance, sql_picks
 from quillsieve.plans.registry import load, query
-from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_FACTS, SQL_LAYERS, documents, facts, vectors
+from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_DOCS, SQL_FACTS, SQL_LAYERS, documents, facts, vectors
 from quillsieve.session import scratch_table
 from quillsieve.sources import corpora as cp
 from quillsieve.sources import tables as tb
@@ -314,11 +313,11 @@ def q_tokenizer_hook(spark, sf):
     return ct.token_rows(documents(spark, sf), words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
-@query("embedder_hook")
+@query("embedder_hook", f"with {SQL_DOCS} select dataset, doc_id, len(words)::double as total from docs")
 def q_embedder_hook(spark, sf):
-    docs = documents(spark, sf)
-    hashed = dispatch.hashed_vectors(docs)
-    return hashed.select("dataset", "doc_id", F.round(vx.l2_norm(F.col("embedding")), 6).alias("norm"))
+    """Hashed word counts as vectors: whatever the hash, the counts of a text add up to its words."""
+    hashed = dispatch.hashed_vectors(documents(spark, sf))
+    return hashed.select("dataset", "doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query(
@@ -372,7 +371,14 @@ def q_prepare_selection_two_sets(spark, sf):
     return dispatch.prepare_selection(docs, "most_similar", 6, vectors=rows).select("dataset", "doc_id", "rank")
 
 
-@query("strategy_registry")
+_SQL_STRATEGY_NAMES = ", ".join(f"'{name}'" for name in sorted({*dispatch.STRATEGIES, *dispatch.GENERATED} - {"dictionary"}))
+
+
+@query(
+    "strategy_registry",
+    f"with {SQL_COUNTS} select unnest([{_SQL_STRATEGY_NAMES}]) as strategy, 4::bigint as n union all select 'dictionary', "
+    "ceil(count(*) / 128)::bigint from counts",
+)
 def q_strategy_registry(spark, sf):
     """Every named strategy over the documents of the corpus, by the number of rows it gives."""
     docs = documents(spark, sf).select(F.lit("documents").alias("dataset"), "doc_id", "text")
