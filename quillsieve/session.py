@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("quillsieve-scope", default=None)
+
 
 def build_session(master: str = "local[8]", app: str = "quillsieve", **conf: str) -> SparkSession:
     """A session with the settings the plans are tuned for; a cluster passes its own through ``conf``."""
@@ -47,8 +52,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_table(spark: SparkSession, label: str) -> str:
-    """A path of its own for a written table in the shared folder."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own for a written table in the shared folder, or in the folder of the scope that is open."""
+    return f"{_SCOPE.get() or checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what is pinned and written as scratch inside, at the end: results must be stored or collected by then."""
+    path = f"{checkpoint_root(spark)}/scope-{uuid.uuid4().hex}"
+    before = _SCOPE.set(path)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

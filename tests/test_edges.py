@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillsieve.functions import labels as lb
@@ -13,7 +14,7 @@ from quillsieve.functions import text as tx
 from quillsieve.operators import dispatch, greedy, overlap, packing, perplexity
 from quillsieve.operators import distribution as dist
 from quillsieve.operators import selection as sel
-from quillsieve.session import scratch_table
+from quillsieve.session import pin, scratch, scratch_table
 from quillsieve.sources import corpora
 from quillsieve.sources import tables as tb
 from quillsieve.streaming import jobs
@@ -167,3 +168,14 @@ def test_stream_of_a_folder_in_batches(spark):
     assert spark.read.parquet(table).select("batch_id").distinct().count() == 3
     # nothing new: the same state, and no batch counts twice
     assert {r.token: r.n for r in jobs.stream_word_counts(stream, table, checkpoint).collect()} == want
+
+
+def test_scope_removes_what_was_pinned(spark):
+    kept = pin(spark.range(3))
+    with scratch(spark):
+        inside = pin(spark.range(5))
+        files = inside.inputFiles()
+        assert files and inside.count() == 5
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        spark.read.parquet(files[0])
+    assert kept.count() == 3
