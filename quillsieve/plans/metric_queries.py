@@ -13,7 +13,6 @@ from quillsieve.operators import selection as sel
 from quillsieve.plans.registry import load, query
 from quillsieve.plans.select_queries import _SQL_ZIPF
 from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_DOCS, SQL_UNITS, documents, sql_zipf_words, vectors
-from quillsieve.session import pin
 
 
 def _rounded(df, digits, *names):
