@@ -63,7 +63,11 @@ def exact_groups(
         "digest",
     )
     dropped = marked.where(decided).select(
-        "doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), F.lit(False).alias("kept"), "digest"
+        "doc_id",
+        F.col("heavy_id").alias("keep_id"),
+        F.col("heavy_size").alias("group_size"),
+        F.lit(False).alias("kept"),
+        "digest",
     )
     return rest.unionByName(dropped).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
