@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Code points of text that are worked on at once; a longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 SLICE_ROWS = 2_000
 
 

@@ -36,7 +36,7 @@ BACKOFF = 0.4
 #: Counts that a task holds before it passes them on.
 HELD = 500_000
 #: Unknown words whose votes a task remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 NO_LANGUAGE = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
