@@ -14,7 +14,9 @@ a target, a quotation or report that is open), an arc's weight is the product of
 matched clause with its context, never a word alone.
 
 Which words insult is learned from labelled texts: a word, or a stem (the first letters of a word, for inflected
-forms), that is significantly more frequent in texts marked toxic. How much each kind of match says (plain, aimed at a
+forms), that is significantly more frequent in texts marked toxic, each with its log-odds as strength. Equal texts of a
+label count once. From which strength on they count is chosen by the regression below on texts that they were not learned
+from. How much each kind of match says (plain, aimed at a
 target, negated, reported, threat) is fitted on the same rows by logistic regression over counted feature vectors,
 pulled towards the grammar's own factors, so a context that does not excuse in the labels does not excuse in scores.
 Both are learned from at most about ``FIT_ROWS`` labelled texts of each label, whole; every text is scored.
@@ -42,8 +44,8 @@ MODEL_INSULTS = 20_000
 STEMS = (4, 5, 6, 7)
 #: A word is an insult if chance alone would make any word look so in fewer than one of CHANCE such tables.
 CHANCE = 10.0
-#: Least share of toxic texts among those that hold a word; words of many toxic near copies fall below it elsewhere.
-LEAST_SHARE = 0.9
+#: Least strengths among which the regression chooses.
+CUTS = (0.0, 0.25, 0.5, 0.75)
 #: How far negation and targets reach, in words.
 NEGATION_REACH = 3
 TARGET_REACH = 3
@@ -230,9 +232,9 @@ def fit_sample(known: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def learn_insults(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that are significantly more frequent in toxic texts, with a strength from 0 to 1.
+    """Words and stems that are significantly more frequent in toxic texts, with their log-odds as a strength from 0 to 1.
 
-    The test is the likelihood ratio of the item's share of toxic texts against that of all texts, at a level that is
+    The strongest has 1. The test is the likelihood ratio of the item's share of toxic texts against that of all texts, at a level that is
     divided by the number of items.
     """
     sizes = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -245,17 +247,47 @@ def learn_insults(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     both = F.col("toxic") + F.col("clean")
     share = F.col("toxic") / both
     part = F.when(F.col("clean") > 0, F.col("clean") * F.ln((1 - share) / (1 - base))).otherwise(0.0)
-    scored = counts.where((F.col("toxic") > 0) & (share > 0.5)).withColumn(
+    scored = counts.where((F.col("toxic") > 0) & (share > base)).withColumn(
         "gain", F.col("toxic") * F.ln(share / base) + part
     )
-    kept = scored.where((F.col("gain") > level) & (share >= LEAST_SHARE)).withColumn("strength", 2 * share - 1)
-    best = kept.orderBy(F.col("gain").desc(), "item").limit(MODEL_INSULTS).select("item", "stem", "strength").collect()
+    odds = F.ln((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - math.log(base / (1 - base))
+    kept = scored.withColumn("odds", odds).where((F.col("gain") > level) & (F.col("odds") > 0))
+    best = kept.orderBy(F.col("gain").desc(), "item").limit(MODEL_INSULTS).select("item", "stem", "odds").collect()
+    most = max([r.odds for r in best], default=1.0)
     return (
-        {r.item: r.strength for r in best if not r.stem},
-        {r.item: r.strength for r in best if r.stem},
+        {r.item: r.odds / most for r in best if not r.stem},
+        {r.item: r.odds / most for r in best if r.stem},
     )
 
 
+def stronger(items: dict[str, float], cut: float) -> dict[str, float]:
+    return {item: strength for item, strength in items.items() if strength >= cut}
+
+
+def choose_cut(rows: DataFrame) -> float:
+    """The least strength with which the regression explains a fifth of the texts best, learned from the others.
+
+    Of cuts that explain them equally well, the lowest.
+    """
+    apart = F.crc32(F.concat(F.lit("cut:"), F.md5("text")).cast("binary")) % 5 == 0
+    insults, stems = learn_insults(rows.where(~apart))
+    best = 0.0, -math.inf
+    for cut in CUTS if insults or stems else ():
+        counted = count_vectors(rows.where(apart), Machine(stronger(insults, cut), stronger(stems, cut)))
+        found = likelihood(counted, *fit_weights(counted))
+        if found > best[1] + 1e-9:
+            best = cut, found
+    return best[0]
+
+
+def count_vectors(rows: DataFrame, machine: Machine) -> list[tuple[list[float], int, int]]:
+    """``features, clean texts, toxic texts`` over all rows, features to one decimal."""
+    fitted = _features(rows, machine, ["label", "text"], "label int")
+    rounded = [F.round(f, 1).alias(f) for f in FEATURES]
+    vectors = fitted.groupBy(*rounded).agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
+    return [([r[f] for f in FEATURES], r["clean"], r["toxic"]) for r in vectors.collect()]
+
+
 def _features(df: DataFrame, machine: Machine, columns: list, schema: str) -> DataFrame:
     # plain values only: a broadcast class would have to be installed on the executors
     shared = df.sparkSession.sparkContext.broadcast((machine.insults, machine.stems))
@@ -297,6 +329,15 @@ def fit_weights(rows: list[tuple[list[float], int, int]]) -> tuple[float, list[f
     return float(w[0]), w[1:].tolist()
 
 
+def likelihood(rows: list[tuple[list[float], int, int]], intercept: float, weights: list[float]) -> float:
+    """Logarithm of the probability that the weights give to the labels."""
+    total = 0.0
+    for x, clean, toxic in rows:
+        z = intercept + sum([a * w for a, w in zip(x, weights, strict=True)])
+        total -= toxic * float(np.logaddexp(0.0, -z)) + clean * float(np.logaddexp(0.0, z))
+    return total
+
+
 def score_toxicity(
     df: DataFrame,
     labels: DataFrame,
@@ -319,13 +360,12 @@ def score_toxicity(
         .agg(F.max(label_col).cast("int").alias("label"))
     )
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(fit_sample(known, fit_rows)), "_id").select("label", "text")
-    machine = Machine(*learn_insults(rows))
-    fitted = _features(rows, machine, ["label", "text"], "label int")
-    rounded = [F.round(f, 1).alias(f) for f in FEATURES]
-    vectors = fitted.groupBy(*rounded).agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
-    counted = [([r[f] for f in FEATURES], r["clean"], r["toxic"]) for r in vectors.collect()]
-    intercept, weights = fit_weights(counted)
+    drawn = texts.join(F.broadcast(fit_sample(known, fit_rows)), "_id").select("label", "text")
+    rows = pin(drawn.groupBy("label", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")))
+    cut = choose_cut(rows)
+    insults, stems = learn_insults(rows)
+    machine = Machine(stronger(insults, cut), stronger(stems, cut))
+    intercept, weights = fit_weights(count_vectors(rows, machine))
     kind = df.schema[id_col].dataType.simpleString()
     found = _features(df, machine, [id_col, text_col], f"`{id_col}` {kind}")
     logit = F.lit(intercept)
