@@ -6,8 +6,9 @@ text per block; punctuation per block is the second ratio. Both are smoothed ove
 path is content if the result reaches a share of the best path's. Blocks that sit beside or below content paths in the same
 container (headings, lists, short paragraphs) are kept with them unless they are mostly links.
 
-Elements that never hold the article (menus, forms, scripts, notices and the like, by element, role, class or id) are left
-out before anything is counted.
+Elements that never hold the article (menus, scripts, notices and the like, by element or role) are left out before
+anything is counted. Classes, ids and forms are only signs: an element that bears one is left out if the page's text is
+mostly elsewhere, and one whose whole class is a mark also if it holds most text but no article, main or h1.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ ARTICLE_WEIGHT = 4.0
 DEEPEST = 512
 #: A block is a list of links from this share of linked letters on.
 LINKED = 0.5
+#: A marked element that holds this share of the page's unlinked text is no part beside the article.
+MAJOR = 0.5
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,7 +62,7 @@ CLOSES = {
 CONTAINERS = frozenset("ul ol menu dl table select datalist".split())
 # What marks the parts around an article.
 NEVER = frozenset(
-    "head title script style noscript template iframe svg math canvas object audio video map nav aside footer form button "
+    "head title script style noscript template iframe svg math canvas object audio video map nav aside footer button "
     "select datalist textarea input fieldset legend dialog menu xmp noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -112,19 +115,34 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class _Element:
-    __slots__ = ("article", "inline", "link", "name", "out", "path")
+    __slots__ = ("article", "doubts", "inline", "link", "name", "out", "path")
 
-    def __init__(self, name: str, path: str, out: bool, article: bool, inline: bool, link: bool):
+    def __init__(self, name: str, path: str, out: bool, article: bool, inline: bool, link: bool, doubts: tuple = ()):
+        self.doubts = doubts
         self.name, self.path, self.out, self.article, self.inline, self.link = name, path, out, article, inline, link
 
 
+class _Doubt:
+    """A marked element: ``whole`` if a class or id is nothing but the mark, ``holds`` with an article, main or h1 in it."""
+
+    __slots__ = ("holds", "whole")
+
+    def __init__(self, whole: bool):
+        self.whole, self.holds = whole, False
+
+
 class _Block:
-    __slots__ = ("article", "linked", "parent", "path", "text")
+    __slots__ = ("article", "doubts", "linked", "parent", "path", "text")
 
-    def __init__(self, path: str, parent: str, text: str, linked: int, article: bool):
+    def __init__(self, path: str, parent: str, text: str, linked: int, article: bool, doubts: tuple):
+        self.doubts = doubts
         self.path, self.parent, self.text, self.linked, self.article = path, parent, text, linked, article
 
 
+def _marked(token: str) -> bool:
+    return token != "header" and (token in MARKS or (token.isalnum() and token.startswith(MARK_STARTS)))
+
+
 def _opened(name: str, attributes: dict[str, str], above: _Element) -> _Element:
     """The element that an opening tag makes below ``above``."""
     named = _CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
@@ -143,11 +161,20 @@ def _opened(name: str, attributes: dict[str, str], above: _Element) -> _Element:
         or "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
         or bool(_HIDDEN.search(attributes.get("style", "")))
-        or (name not in ("body", "html") and any((m in MARKS and m != "header") or m.startswith(MARK_STARTS) for m in marks))
     )
+    doubts = above.doubts
+    if name in ("article", "main", "h1"):
+        for doubt in doubts:
+            doubt.holds = True
+    signs = any((m in MARKS and m != "header") or m.startswith(MARK_STARTS) for m in marks)
+    if name == "form" or (signs and name not in ("body", "html")):
+        whole = any(_marked(t) for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
+        doubt = _Doubt(whole)
+        doubt.holds = name in ("article", "main")
+        doubts = (*doubts, doubt)
     inline = name in INLINE
     path = above.path if inline else f"{above.path}/{name}{''.join('.' + m for m in marks)}"
-    return _Element(name, path, out, article, inline, above.link or name == "a")
+    return _Element(name, path, out, article, inline, above.link or name == "a", doubts)
 
 
 def page_blocks(page: str) -> list[_Block]:
@@ -160,18 +187,21 @@ def page_blocks(page: str) -> list[_Block]:
 
     def text_of(piece: str) -> None:
         nonlocal linked
-        if piece and not stack[-1].out:
+        if piece and not stack[-1].out and (not stack[-1].doubts or stack[-1].doubts == holder_doubts()):
             pieces.append(piece)
             if stack[-1].link:
                 linked += len(piece.strip())
 
+    def holder_doubts() -> tuple:
+        return next(e for e in reversed(stack) if not e.inline).doubts
+
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 holder = next(e for e in reversed(stack) if not e.inline)
-                blocks.append(_Block(holder.path, holder.path.rpartition("/")[0], text, linked, holder.article))
+                blocks.append(_Block(holder.path, holder.path.rpartition("/")[0], text, linked, holder.article, holder_doubts()))
             pieces.clear()
         linked = 0
 
@@ -259,7 +289,20 @@ def page_blocks(page: str) -> list[_Block]:
             stack.append(element)
     del stack[1:]
     flush()
-    return blocks
+    return _undoubted(_undoubted(blocks, True), False)
+
+
+def _undoubted(blocks: list[_Block], whole: bool) -> list[_Block]:
+    """Blocks without those in elements with a mark (of the kind ``whole``) that are parts beside the article."""
+    sizes: dict[_Doubt, int] = {}
+    total = 0
+    for b in blocks:
+        size = len(b.text) - min(len(b.text), b.linked)
+        total += size
+        for d in b.doubts:
+            sizes[d] = sizes.get(d, 0) + size
+    left = {d for d, n in sizes.items() if d.whole == whole and (n < MAJOR * total or not n or (whole and not d.holds))}
+    return [b for b in blocks if not left.intersection(b.doubts)] if left else blocks
 
 
 def _smooth(values: list[float]) -> list[float]:
