@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsieve.llm.bpe import encode_documents
+from quillsieve.llm.conversation_sql import REPAIR_SQL
+from quillsieve.llm.conversations import damage, repair_conversations
 from quillsieve.llm.exact_dedup import exact_groups
 from quillsieve.llm.fingerprints import fingerprint_documents
 from quillsieve.llm.htmltext import extract_pages
@@ -164,3 +166,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op12_conversations", REPAIR_SQL)
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), missing=F.col("missing"))
