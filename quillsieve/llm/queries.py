@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsieve.llm.alignment import align_documents
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.conversation_sql import REPAIR_SQL
 from quillsieve.llm.conversations import damage, repair_conversations
@@ -171,3 +172,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversations", REPAIR_SQL)
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations")), missing=F.col("missing"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_path, piece_path = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_documents(table(spark, sf_dir, "documents"), byte_path, piece_path, public_tokenizers.PATTERN)[0]

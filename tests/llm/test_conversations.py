@@ -44,7 +44,7 @@ def test_against_all_edits():
     for n in range(4):
         for cells in itertools.product([("s", 0), ("u", 0), ("a", 0), ("u", 3), ("", 0), ("a", 1)], repeat=n):
             assert cv.cheapest(cells) == every_repair(cells), cells
-    for _ in range(40):
+    for _ in range(4):
         cells = [rnd.choice(kinds) for _ in range(4)]
         assert cv.cheapest(cells) == every_repair(cells), cells
 
