@@ -19,6 +19,7 @@ from quillsieve.llm.langid import held_out, identify
 from quillsieve.llm.licenses import scan_licenses
 from quillsieve.llm.minhash import near_duplicates
 from quillsieve.llm.mixing import mix_sources
+from quillsieve.llm.repeats import remove_repeats
 from quillsieve.llm.sharding import assign_shards
 from quillsieve.llm.toxicity import FEATURES, score_toxicity
 
@@ -169,6 +170,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query("op11_repeats")
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op12_conversations", REPAIR_SQL)
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations")), missing=F.col("missing"))
