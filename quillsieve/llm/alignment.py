@@ -9,7 +9,7 @@ Counts come back to the documents by vectors for the same-bytes pairs, by a broa
 pairs (a fixed number of rows), and by a join for the rest.
 
 Neither tokenizer joins anything over a space that follows something else, so texts are aligned in parts that begin there,
-and a task remembers the parts it has seen. Long parts are aligned like others, but not remembered.
+and each part that a slice of documents has is aligned once, all of them together in vectors.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from quillsieve.session import pin
 
 #: Pairs beside those of the same bytes whose counts are broadcast: 24 bytes each.
 HEAVY = 500_000
-#: Parts of a text that a task remembers (two generations of so many), and the longest of them.
-MEMO_PARTS, MEMO_LENGTH = 100_000, 64
+#: Code points of documents whose parts are aligned together.
+SLICE = 2_000_000
 #: Different pairs that a task holds before it passes them on.
 HELD_PAIRS = 2_000_000
 #: A pair of ids is one number: A's id above, B's id in the low bits.
@@ -43,9 +43,6 @@ B_BITS = 24
 _START = re.compile(r"(?<=\S)(?= )")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
-Part = tuple[bool, int, int, int, int, str, bytes, bytes]
-
-
 class ByteBpe:
     """A byte-level BPE file: ids and bytes of its tokens."""
 
@@ -70,7 +67,7 @@ class ByteBpe:
         self.token = {i: t for t, i in ids.items()}
         # strings of special tokens are plain text
         own = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ids, special_tokens={})
-        self.encode = lambda texts: own.encode_ordinary_batch(texts, num_threads=1)
+        self.encode = lambda texts: [own.encode_ordinary(t) for t in texts]
 
 
 class PieceBpe:
@@ -94,8 +91,17 @@ class PieceBpe:
         self.encode = lambda texts: [ids if t else space for t, ids in zip(texts, model.encode(texts, num_threads=1), strict=True)]
 
 
+class Parts:
+    """Alignments of many parts: by part whether it can be aligned, its numbers, its groups as text, the A ids that stand alone
+    against the same bytes, and the pairs of all other links (both with their ends by part)."""
+
+    def __init__(self, good: np.ndarray, stats: np.ndarray, groups: list[str], alone, alone_ends, pairs, pair_ends):
+        self.good, self.stats, self.groups = good, stats, groups
+        self.alone, self.alone_ends, self.pairs, self.pair_ends = alone, alone_ends, pairs, pair_ends
+
+
 class Aligner:
-    """Aligns parts of texts (without the space that each begins with) and remembers them."""
+    """Aligns parts of texts (without the space that each begins with)."""
 
     def __init__(self, byte_path: str, piece_path: str, pattern: str):
         self.a, self.b = ByteBpe(byte_path, pattern), PieceBpe(piece_path)
@@ -103,65 +109,86 @@ class Aligner:
             raise ValueError("the piece model has too many ids")
         #: The B id of the same bytes for each A id, or -1.
         self.same = np.full(self.a.size, -1, np.int64)
+        self.bytes_a = np.zeros(self.a.size, np.int64)
         for i, token in self.a.token.items():
             self.same[i] = self.b.plain.get(token, -1)
-        self.memo = worker_memo(f"alignment {byte_path} {piece_path}")
-        self.memo.setdefault("new", {})
-        self.memo.setdefault("old", {})
+            self.bytes_a[i] = len(token)
+        self.bytes_b = np.array([len(t) for t in self.b.token], np.int64)
+        self.names = [str(i) for i in range(max(self.a.size, self.b.size))]
+
+    @classmethod
+    def of_worker(cls, *paths: str) -> Aligner:
+        """One that the worker keeps for the tasks that follow."""
+        memo = worker_memo("aligner")
+        if paths not in memo:
+            memo[paths] = cls(*paths)
+        return memo[paths]
 
     def same_pairs(self) -> np.ndarray:
         """The pairs of the same bytes, by A id."""
         found = np.flatnonzero(self.same >= 0)
         return found << B_BITS | self.same[found]
 
-    def align(self, part: str, a: list[int], b: list[int]) -> Part:
-        """Whether both give the part's bytes, numbers of tokens, groups and links, the groups, the A ids that stand
-        alone against the same bytes, and the pairs of all other links."""
-        token_a, token_b, same = self.a.token, self.b.token, self.same
-        data = b" " + part.encode()
-        if b"".join([token_a[i] for i in a]) != data or b"".join([token_b[i] for i in b]) != data:
-            return False, 0, 0, 0, 0, "", b"", b""
-        groups, alone, pairs, links = [], [], [], 0
-        i = j = 0
-        while i < len(a):
-            first_i, first_j = i, j
-            end_a, end_b = len(token_a[a[i]]), len(token_b[b[j]])
-            own = [a[i] << B_BITS | b[j]]
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(token_a[a[i]])
-                else:
-                    j += 1
-                    end_b += len(token_b[b[j]])
-                own.append(a[i] << B_BITS | b[j])
-            i, j = i + 1, j + 1
-            links += len(own)
-            if len(own) == 1 and same[a[first_i]] == b[first_j]:
-                alone.append(a[first_i])
-                groups.append(f"{a[first_i]}|{b[first_j]}")
-            else:
-                pairs += own
-                groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-        ids, keys = np.array(alone, np.int32).tobytes(), np.array(pairs, np.int64).tobytes()
-        return True, len(a), len(b), len(groups), links, ";".join(groups), ids, keys
-
-    def parts(self, texts: list[str]) -> list[Part]:
-        """Alignments of parts, each of which occurs once."""
-        new, old = self.memo["new"], self.memo["old"]
-        found: list[Part | None] = [new.get(t) or old.get(t) for t in texts]
-        missing = [i for i, part in enumerate(found) if part is None]
-        asked = [texts[i] for i in missing]
-        a, b = self.a.encode([" " + t for t in asked]), self.b.encode(asked)
-        for i, own_a, own_b in zip(missing, a, b, strict=True):
-            found[i] = self.align(texts[i], own_a, own_b)
-        for text, part in zip(texts, found, strict=True):
-            if len(text) <= MEMO_LENGTH and text not in new:
-                if len(new) >= MEMO_PARTS:
-                    self.memo["old"], new = new, {}
-                    self.memo["new"] = new
-                new[text] = part
-        return found
+    def parts(self, texts: list[str]) -> Parts:
+        data = [b" " + t.encode() for t in texts]
+        of_a, of_b = self.a.encode([" " + t for t in texts]), self.b.encode(texts)
+        token_a, token_b = self.a.token, self.b.token
+        good = np.array(
+            [
+                b"".join([token_a[i] for i in own_a]) == d == b"".join([token_b[i] for i in own_b])
+                for d, own_a, own_b in zip(data, of_a, of_b, strict=True)
+            ],
+            bool,
+        )
+        if not good.all():
+            of_a, of_b = ([own if ok else [] for own, ok in zip(of, good, strict=True)] for of in (of_a, of_b))
+        n_a, n_b = (np.array([len(own) for own in of], np.int64) for of in (of_a, of_b))
+        ids_a, ids_b = (np.array([i for own in of for i in own], np.int64) for of in (of_a, of_b))
+        # the parts lie one after the other, so a token's last byte tells its part and its group
+        ends_a, ends_b = np.cumsum(self.bytes_a[ids_a]), np.cumsum(self.bytes_b[ids_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        part_a, part_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
+        part_of = np.zeros(len(cuts), np.int64)
+        part_of[group_a] = part_a
+        size_a, size_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        first = np.searchsorted(ends_b, ends_a - self.bytes_a[ids_a], "right")
+        links = np.searchsorted(ends_b, ends_a) - first + 1
+        link_a = np.repeat(np.arange(len(ids_a)), links)
+        link_b = np.repeat(first - (np.cumsum(links) - links), links) + np.arange(len(link_a))
+        one = (size_a == 1) & (size_b == 1)
+        alone = one[group_a[link_a]] & (self.same[ids_a[link_a]] == ids_b[link_b])
+        link_part = part_a[link_a]
+
+        def ends(of: np.ndarray) -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))])
+
+        counts = [n_a, n_b, np.bincount(part_of, minlength=len(texts)), np.bincount(link_part, minlength=len(texts))]
+        return Parts(
+            good,
+            np.array(counts, np.int64),
+            self._groups(ids_a, ids_b, group_a, group_b, part_a, part_b),
+            ids_a[link_a[alone]].astype(np.int32),
+            ends(link_part[alone]),
+            ids_a[link_a[~alone]] << B_BITS | ids_b[link_b[~alone]],
+            ends(link_part[~alone]),
+        )
+
+    def _groups(self, ids_a, ids_b, group_a, group_b, part_a, part_b) -> list[str]:
+        """The groups of each part as text: A ids, a bar, B ids, and a semicolon between groups."""
+        sides = np.concatenate([group_a * 2, group_b * 2 + 1])
+        order = np.argsort(sides, kind="stable")
+        sides, ids = sides[order], np.concatenate([ids_a, ids_b])[order]
+        ends = np.append(np.cumsum(np.bincount(np.concatenate([part_a, part_b]), minlength=0)), len(ids)) if len(ids) else []
+        marks = np.zeros(len(ids), np.int64)  # what follows an id
+        marks[:-1] = np.where(sides[1:] == sides[:-1], 0, np.where(sides[:-1] % 2 == 0, 1, 2))
+        names, after = self.names, (",", "|", ";")
+        written = [names[i] + after[m] for i, m in zip(ids.tolist(), marks.tolist(), strict=True)]
+        out, start = [], 0
+        for end in list(ends)[:-1]:
+            out.append("".join(written[start:end])[:-1])
+            start = end
+        return out
 
 
 def cut(text: str) -> list[str]:
@@ -172,8 +199,8 @@ def cut(text: str) -> list[str]:
     return parts
 
 
-def _ends(lengths: list[int]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+def _ends(lengths: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -184,7 +211,7 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 #: What is kept of a slice of documents: its parts once, and which of them each document has.
 _SLICE = {
     "stats": "binary", "sha": "array<string>", "at": "binary", "doc_ends": "binary", "alone": "binary",
-    "alone_ends": "binary", "pairs": "binary", "pair_ends": "binary",
+    "alone_sizes": "binary", "pairs": "binary", "pair_sizes": "binary",
 }
 _STATS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -210,30 +237,30 @@ def _counted(id_col: str, kind: str, id_type: pa.DataType, make: Callable[[], Al
             return pairs, np.bincount(at, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
 
         for arrow in batches:
-            for rows, texts in slices(arrow):
+            for rows, texts in slices(arrow, most=SLICE):
                 index: dict[str, int] = {}
                 by_doc = [[index.setdefault(p, len(index)) for p in cut(t)] if t else [] for t in texts]
                 parts = aligner.parts(list(index))
-                bad = {i for i, p in enumerate(parts) if not p[0]}
-                if bad:
+                if not parts.good.all():
+                    bad = set(np.flatnonzero(~parts.good).tolist())
                     by_doc = [[] if not bad.isdisjoint(own) else own for own in by_doc]
-                groups = [p[5] for p in parts]
+                groups = parts.groups
                 sha = [hashlib.sha256(";".join([groups[i] for i in own]).encode()).hexdigest() if own else "" for own in by_doc]
                 at, doc_ends = np.array([i for own in by_doc for i in own], np.int64), _ends(list(map(len, by_doc)))
-                stats = np.array([_sums(np.array([p[k] for p in parts], np.int64)[at], doc_ends) for k in range(1, 5)], np.int64)
-                alone, pairs = (np.frombuffer(b"".join([p[k] for p in parts]), t) for k, t in ((6, np.int32), (7, np.int64)))
-                alone_ends, pair_ends = _ends([len(p[6]) // 4 for p in parts]), _ends([len(p[7]) // 8 for p in parts])
-                times = np.bincount(at, minlength=len(parts)).astype(np.float64)
-                alone_counts += np.bincount(alone, np.repeat(times, np.diff(alone_ends)), aligner.a.size)
-                if len(pairs):
-                    held.append((pairs, np.repeat(times, np.diff(pair_ends))))
+                stats = np.array([_sums(own[at], doc_ends) for own in parts.stats], np.int64)
+                times = np.bincount(at, minlength=len(index)).astype(np.float64)
+                alone_times = np.repeat(times, np.diff(parts.alone_ends))
+                alone_counts += np.bincount(parts.alone, alone_times, aligner.a.size)
+                if len(parts.pairs):
+                    held.append((parts.pairs, np.repeat(times, np.diff(parts.pair_ends))))
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD_PAIRS:
                         yield batch({"pair": held[0][0], "n": held[0][1]})
                         held.clear()
                 arrays = {
-                    "stats": stats, "at": at.astype(np.int32), "doc_ends": doc_ends, "alone": alone,
-                    "alone_ends": alone_ends, "pairs": pairs, "pair_ends": pair_ends,
+                    "stats": stats, "at": at.astype(np.int32), "doc_ends": doc_ends, "alone": parts.alone, "pairs": parts.pairs,
+                    "alone_sizes": np.diff(parts.alone_ends).astype(np.int32),
+                    "pair_sizes": np.diff(parts.pair_ends).astype(np.int32),
                 }
                 row = {c: [v.tobytes()] for c, v in arrays.items()} | {"sha": [sha], "slice": [number]}
                 yield batch(row | {id_col: pa.array([rows.column(0).to_pylist()], pa.list_(id_type))})
@@ -271,8 +298,10 @@ def _scored(id_col: str, kind: str, id_type: pa.DataType, shared):
             return found, np.where(found, counts[at], 0), np.where(found, best[at], 0)
 
         for arrow in batches:
-            for s in arrow.to_pylist():
-                read = {c: np.frombuffer(s[c], np.int64) for c in ("doc_ends", "alone_ends", "pairs", "pair_ends", "stats")}
+            for s in (arrow.slice(k, 1).to_pylist()[0] for k in range(arrow.num_rows)):
+                read = {c: np.frombuffer(s[c], np.int64) for c in ("doc_ends", "pairs", "stats")}
+                for name in ("alone", "pair"):
+                    read[f"{name}_ends"] = _ends(np.frombuffer(s[f"{name}_sizes"], np.int32))
                 at, alone = np.frombuffer(s["at"], np.int32), np.frombuffer(s["alone"], np.int32).astype(np.int64)
                 docs = len(s[id_col])
                 _, alone_n, alone_best = known(alone << B_BITS | same[alone])
@@ -321,7 +350,7 @@ def align_documents(
     kind = df.schema[id_col].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     local = Aligner(byte_path, piece_path, pattern)
-    run, schema = _counted(id_col, kind, id_type, lambda: Aligner(byte_path, piece_path, pattern))
+    run, schema = _counted(id_col, kind, id_type, lambda: Aligner.of_worker(byte_path, piece_path, pattern))
     first = pin(df.select(id_col, text_col).mapInArrow(run, schema))
 
     b = F.col("pair").bitwiseAND(F.lit((1 << B_BITS) - 1))

@@ -24,7 +24,7 @@ def worker_memo(name: str) -> dict:
     return vars(box).setdefault(name, {})
 
 
-def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with bounded text, each with its texts as strings (null as the empty text)."""
     column = batch.column(text_at)
     ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(column), 0).cast("int64"))
@@ -32,7 +32,7 @@ def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordB
     sizes = ends.to_pylist()
     while start < n:
         stop = start + 1
-        while stop < n and stop - start < SLICE_ROWS and sizes[stop] - done <= SLICE_CHARS:
+        while stop < n and stop - start < SLICE_ROWS and sizes[stop] - done <= most:
             stop += 1
         part = batch.slice(start, stop - start)
         yield part, [t or "" for t in part.column(text_at).to_pylist()]
