@@ -5,11 +5,12 @@ by their hash. For the others, strings that could repeat are found first: of the
 ``length`` bytes those with the least hash are its anchors, so equal strings have equal anchors. Anchors are sent by hash, at most
 one record for each slice of documents, and those that only one place has go no further.
 
-The surroundings of the other anchors are pieces. An anchor's pieces meet in one group, named after one document that all of
-them agree on, so the copies of a passage come together as long runs and not anchor by anchor. Groups are indexed
-(``runindex``), and matching statistics over the pieces mark the strings that start earlier in the group. A group that is
-larger than ``CHUNK`` bytes is cut into chunks; strings that come first in their chunk are then compared between
-chunks by a 128-bit hash, of which a chunk holds each once.
+The surroundings of the other anchors are cut into pieces where the text says so, at certain anchors. An anchor's pieces
+meet in one group, named after one document that all of them agree on, so the copies of a passage come together as long runs
+and not anchor by anchor. Of equal pieces the first stays and the others go whole; the different ones are indexed
+(``runindex``), and matching statistics over them mark the strings that start earlier in the group. A group whose different
+pieces have more than ``CHUNK`` bytes is cut into chunks; strings that come first in their chunk are then compared
+between chunks by a 128-bit hash, of which a chunk holds each once.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ KMER = 32
 SLICE_BYTES, SLICES_AT_ONCE = 4 << 20, 8
 #: Bytes of documents for each bucket of anchors.
 BUCKET_BYTES = 64 << 20
-#: Bytes of a group that are indexed at once, and of the longest piece.
-CHUNK, PIECE = 1_500_000, 600
+#: Bytes of a group that are indexed at once, and of the longest piece; one anchor in ``CUT`` ends a piece.
+CHUNK, PIECE, CUT = 1_500_000, 1_200, 16
+#: Bytes of groups in several chunks for each bucket of hashes.
+SHARED_BYTES = 8 << 20
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -209,19 +212,25 @@ def _pieces(id_type: pa.DataType, length: int, kmer: int):
             places, hashes = anchors(data, ends, length, kmer)
             at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
             found = known[0][at] == hashes
-            places, named = places[found], known[1][at[found]]
+            places, named, ends_here = places[found], known[1][at[found]], hashes[found] % np.uint64(CUT) == 0
             if not len(places):
                 return None
             doc = np.searchsorted(ends, places, "right") - 1
             low = np.maximum(places - (length - kmer), ends[doc])
             high = np.minimum(places + length, ends[doc + 1])
             order = np.lexsort((places, named))
-            low, high, named, doc = low[order], high[order], named[order], doc[order]
+            low, high, named, doc, places = low[order], high[order], named[order], doc[order], places[order]
+            ends_here = ends_here[order]
             first = np.ones(len(low), bool)
             first[1:] = (named[1:] != named[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])
-            starts = np.flatnonzero(first)
-            low, high = low[starts], high[np.append(starts[1:], len(high)) - 1]
-            named, doc = named[starts], doc[starts]
+            # a piece begins with a run or at an anchor that ends the one before, and goes on over the strings that begin in it
+            begins = np.flatnonzero(first | ends_here)
+            last = np.append(begins[1:], len(low)) - 1
+            run_goes_on = np.append(~first[begins[1:]], False)
+            after = np.append(places[begins[1:]], 0)
+            low = np.where(first[begins], low[begins], places[begins])
+            high = np.where(run_goes_on, np.minimum(after + length - 1, ends[doc[begins] + 1]), high[last])
+            named, doc = named[begins], doc[begins]
             step = PIECE - (length - 1)
             times = np.maximum(1, -(-(high - low - (length - 1)) // step))
             each = np.repeat(np.arange(len(low)), times)
@@ -269,30 +278,34 @@ def _pieces(id_type: pa.DataType, length: int, kmer: int):
     return run
 
 
-def _marks(id_type: pa.DataType, length: int):
+_Key = tuple[bool, object, int, int]
+
+
+def _marks(id_type: pa.DataType, length: int, buckets: int):
     """Removed runs of every piece, and for groups in several chunks the hashes of strings that come first in a chunk."""
-    types = {"id": id_type, "dk": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+    types = {"id": id_type, "dk": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "bucket": pa.int32(),
+             "ids": pa.list_(id_type)} | dict.fromkeys(("dks", "starts", "a", "b"), pa.binary())
+
+    def batch(values: dict) -> pa.RecordBatch:
+        n = len(next(iter(values.values())))
+        return pa.RecordBatch.from_pydict({c: pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in types.items()})
+
+    def marked(keys: list[_Key], stops: list[int]) -> pa.RecordBatch:
+        return batch({"id": [k[1] for k in keys], "dk": [k[2] for k in keys], "start": [k[3] for k in keys], "stop": stops})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: dict[bytes, tuple[_Key, bool]] = {}
+        copies: list[tuple[_Key, int]] = []
         size, group = 0, None
 
-        def batch(ids: list, at: np.ndarray, dk: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-            n = len(at)
-            columns = {"id": pa.array([ids[i] for i in at.tolist()], id_type), "dk": pa.array(dk[at], pa.int64())}
-            columns |= {c: pa.array(v, pa.int64()) for c, v in values.items()}
-            return pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(n, t)) for c, t in types.items()})
-
         def close() -> Iterator[pa.RecordBatch]:
-            rows.sort(key=lambda r: (r[0] is not None, r[0], r[1], r[2]))
-            ids, dk = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-            begin = np.array([r[2] for r in rows], np.int64)
-            rank, before = np.zeros(len(rows), np.int64), None
-            for i, (own, key, *_) in enumerate(rows):
-                rank[i] = rank[i - 1] + (before is not None and before != (own, key)) if i else 0
-                before = (own, key)
-            index = RunIndex([r[3] for r in rows])
-            spans = np.array([len(r[3]) + 1 for r in rows], np.int64)
+            rows = sorted((key, piece, shared) for piece, (key, shared) in held.items())
+            held.clear()
+            keys = [key for key, _, _ in rows]
+            rank = np.cumsum([i > 0 and keys[i][:3] != keys[i - 1][:3] for i in range(len(keys))])
+            begin = np.array([k[3] for k in keys], np.int64)
+            index = RunIndex([piece for _, piece, _ in rows])
+            spans = np.array([len(piece) + 1 for _, piece, _ in rows], np.int64)
             piece = np.repeat(np.arange(len(rows)), spans)
             place = np.arange(index.n) - np.repeat(index.starts, spans) + begin[piece]
             later, first = index.repeats(length, rank[piece] << 40 | place)
@@ -302,34 +315,81 @@ def _marks(id_type: pa.DataType, length: int):
                 new[1:] = (piece[later[1:]] != piece[later[:-1]]) | (np.diff(later) > length)
                 at = np.flatnonzero(new)
                 ends = later[np.append(at[1:], len(later)) - 1]
-                yield batch(ids, piece[later[at]], dk, {"start": place[later[at]], "stop": place[ends] + length})
-            shared = np.array([r[4] > 1 for r in rows])
+                of = [keys[i] for i in piece[later[at]].tolist()]
+                starts = place[later[at]].tolist()
+                yield marked([(*k[:3], s) for k, s in zip(of, starts, strict=True)], (place[ends] + length).tolist())
+            shared = np.array([s for _, _, s in rows])
             first = first[shared[piece[first]]]
             if len(first):
-                text = np.frombuffer(b"\0".join([r[3] for r in rows]) + b"\0", np.uint8)
-                words = _words(text)
-                offsets = [*range(0, length - 7, 8), length - 8]
-                for some in np.array_split(first, -(-len(first) // 200_000)):
-                    own = [words[some + k] for k in offsets]
-                    hashes = {c: _mixed(own, seed).view(np.int64) for c, seed in (("a", 0), ("b", 2))}
-                    yield batch(ids, piece[some], dk, {"start": place[some], **hashes})
-            rows.clear()
+                words = _words(np.frombuffer(b"\0".join([p for _, p, _ in rows]) + b"\0", np.uint8))
+                own = [words[first + k] for k in [*range(0, length - 7, 8), length - 8]]
+                a, b = _mixed(own, 0), _mixed(own, 2)
+                order = np.argsort(a % np.uint64(buckets), kind="stable")
+                edges = np.searchsorted((a % np.uint64(buckets))[order], np.arange(buckets + 1))
+                cut = [(k, order[x:y]) for k, (x, y) in enumerate(pairwise(edges.tolist())) if x < y]
+                dk = np.array([k[2] for k in keys], np.int64)
+                row = {"bucket": [k for k, _ in cut], "ids": [[keys[i][1] for i in piece[first[o]].tolist()] for _, o in cut]}
+                arrays = {"dks": dk[piece[first]], "starts": place[first], "a": a, "b": b}
+                yield batch(row | {c: [v[o].tobytes() for _, o in cut] for c, v in arrays.items()})
+
+        def given() -> pa.RecordBatch:
+            found = marked([k for k, _ in copies], [k[3] + n for k, n in copies])
+            copies.clear()
+            return found
 
         for arrow in batches:
-            for named, chunk, chunks, own, key, start, piece in zip(*(c.to_pylist() for c in arrow.columns), strict=True):
+            for named, chunk, chunks, own, dk, start, piece in zip(*(c.to_pylist() for c in arrow.columns), strict=True):
                 if (named, chunk) != group:
                     if size >= CHUNK:
                         yield from close()
                         size = 0
                     group = (named, chunk)
-                rows.append((own, key, start, piece, chunks))
-                size += len(piece)
-        if rows:
+                key = (own is not None, own, dk, start)
+                known = held.get(piece)
+                if known is None:
+                    held[piece] = (key, chunks > 1)
+                    size += len(piece)
+                else:  # of equal pieces the first stays
+                    held[piece] = (min(key, known[0]), chunks > 1 or known[1])
+                    if key != known[0]:
+                        copies.append((max(key, known[0]), len(piece)))
+                if len(copies) >= 10_000:
+                    yield given()
+        if copies:
+            yield given()
+        if held:
             yield from close()
 
     return run
 
 
+def _between(id_type: pa.DataType, length: int):
+    """Of one bucket of hashes, the strings that also come first, and earlier, in another chunk."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = [i for own in group.column("ids").to_pylist() for i in own]
+        order = sorted(set(ids), key=lambda i: (i is not None, i))
+        rank = {i: k for k, i in enumerate(order)}
+        dk, start, a, b = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("dks", "starts", "a", "b"))
+        own = np.array([rank[i] for i in ids], np.int64)
+        by = np.lexsort((start, dk, own, b, a))
+        same = (a[by[1:]] == a[by[:-1]]) & (b[by[1:]] == b[by[:-1]])
+        # equal keys are one place that lies in two pieces
+        moved = (own[by[1:]] != own[by[:-1]]) | (dk[by[1:]] != dk[by[:-1]]) | (start[by[1:]] != start[by[:-1]])
+        place = np.concatenate([[0], np.cumsum(moved | ~same)])
+        later = by[place > np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))]
+        return pa.table(
+            {
+                "id": pa.array([ids[i] for i in later.tolist()], id_type),
+                "dk": pa.array(dk[later], pa.int64()),
+                "start": pa.array(start[later], pa.int64()),
+                "stop": pa.array(start[later] + length, pa.int64()),
+            }
+        )
+
+    return run
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for start, stop in sorted(spans):
@@ -374,27 +434,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, chun
     ordered = together.repartition("slice").sortWithinPartitions("slice", F.col("hash").isNull())
     schema = f"named bigint, id {kind}, dk bigint, start bigint, piece binary"
     pieces = pin(ordered.mapInArrow(_pieces(id_type, length, kmer), schema))
-    large = pieces.groupBy("named").agg(F.sum(F.octet_length("piece")).alias("size")).where(F.col("size") > chunk)
-    large = large.select("named", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    different = pieces.select("named", F.xxhash64("piece").alias("h"), F.octet_length("piece").alias("size")).distinct()
+    large = different.groupBy("named").agg(F.sum("size").alias("size")).where(F.col("size") > chunk)
+    large = pin(large.select("named", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    shared = (large.agg(F.sum("chunks")).first()[0] or 0) * chunk
     dealt = join_checked(pieces, large, ["named"], "left").select(
         "named",
-        F.coalesce(F.pmod(F.xxhash64("id", "dk", "start"), F.col("chunks")), F.lit(0)).alias("chunk"),
+        F.coalesce(F.pmod(F.xxhash64("piece"), F.col("chunks")), F.lit(0)).alias("chunk"),
         F.coalesce("chunks", F.lit(1)).alias("chunks"),
         "id",
         "dk",
         "start",
         "piece",
     )
-    schema = f"id {kind}, dk bigint, start bigint, stop bigint, a bigint, b bigint"
+    schema = f"id {kind}, dk bigint, start bigint, stop bigint"
+    blobs = f"bucket int, ids array<{kind}>, dks binary, starts binary, a binary, b binary"
     grouped = dealt.repartition("named", "chunk").sortWithinPartitions("named", "chunk")
-    marked = pin(grouped.mapInArrow(_marks(id_type, length), schema))
-    key = F.struct("id", "dk", "start")
-    firsts = marked.where("stop is null")
-    several = firsts.groupBy("a", "b").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    between = firsts.join(several, ["a", "b"]).where(key > F.col("first"))
-    spans = marked.where("stop is not null").select("id", "dk", "start", "stop").unionByName(
-        between.select("id", "dk", "start", (F.col("start") + length).alias("stop"))
-    )
+    hash_buckets = max(1, -(-shared // SHARED_BYTES))
+    marked = pin(grouped.mapInArrow(_marks(id_type, length, hash_buckets), f"{schema}, {blobs}"))
+    firsts = marked.where("bucket is not null").select("bucket", "ids", "dks", "starts", "a", "b")
+    between = firsts.groupBy("bucket").applyInArrow(_between(id_type, length), schema)
+    spans = marked.where("bucket is null").select("id", "dk", "start", "stop").unionByName(between)
     by_doc = spans.groupBy("id", "dk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return by_doc.mapInArrow(_joined_spans, f"id {kind}, dk bigint, spans array<struct<start:bigint,stop:bigint>>")
 

@@ -29,23 +29,29 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key = key << bits | np.where(left > k, padded[k : k + n], 0)
-    classes, longest = 0, int(left.max(initial=0))
+    order = np.argsort(key)
+    open_rows, ranked, rank = np.arange(n), key[order], np.empty(n, np.int64)
+    groups, longest = 0, int(left.max(initial=0))
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.empty(n, bool)
+        # rows of equal keys are one group, ranked by the first of them; only groups of several rows are sorted again
+        new = np.empty(len(ranked), bool)
         new[:1] = True
         np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        found = int(new.sum())
-        if depth > longest or found in (classes, n):
-            return np.argsort(rank, kind="stable")
-        classes = found
-        after = np.zeros(n, np.int64)
-        inside = np.flatnonzero(left >= depth)
-        after[inside] = rank[inside + depth]
-        key = rank * (n + 1) + after
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(ranked)))
+        rank[order[open_rows]] = np.repeat(open_rows[starts], sizes)
+        settled = len(starts) == groups
+        several = sizes > 1
+        open_rows, groups = open_rows[np.repeat(several, sizes)], int(several.sum())
+        places = order[open_rows]
+        if settled or not groups or depth > longest:
+            order[open_rows] = places[np.argsort(rank[places] * (n + 1) + places)]
+            return order
+        inside = left[places] >= depth
+        after = np.where(inside, rank[np.where(inside, places + depth, 0)] + 1, 0)
+        key = rank[places] * (n + 1) + after
+        by_key = np.argsort(key)
+        order[open_rows], ranked = places[by_key], key[by_key]
         depth *= 2
 
 
