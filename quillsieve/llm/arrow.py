@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -24,6 +26,14 @@ def worker_memo(name: str) -> dict:
     return vars(box).setdefault(name, {})
 
 
+def give_back() -> None:
+    """Hands memory that a task no longer uses back to the system: workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with bounded text, each with its texts as strings (null as the empty text)."""
     column = batch.column(text_at)
@@ -50,5 +60,6 @@ def map_texts(df: DataFrame, columns: list, work: Callable[[], Callable[..., dic
         for batch in batches:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_pydict({batch.schema.names[0]: part.column(0)} | step(texts, part))
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)

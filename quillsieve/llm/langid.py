@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm.arrow import slices
+from quillsieve.llm.arrow import give_back, slices
 from quillsieve.session import pin
 
 #: Labelled texts of a language that the model is counted from (expected number; every text if there are fewer).
@@ -197,6 +197,23 @@ def language_column(spark: SparkSession, model: Backoff, text: Column) -> Column
     return F.pandas_udf(detect, "lang_pred string, score double")(text)
 
 
+def in_known_language(docs: DataFrame, model: Backoff, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in one of the model's languages with a score of ``least`` or more, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.known))
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Backoff(*shared.value).scorer()
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                found = [score(t) for t in texts]
+                yield part.filter(pa.array([lang != NO_LANGUAGE and value >= least for lang, value in found], pa.bool_()))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id, lang_pred, score`` of every row, by a model of the rows that are not held out.
 

@@ -152,9 +152,9 @@ def test_tokens_equal_the_library(docs):
     ranges = [(1, 0x7F), (0x80, 0x24F), (0x300, 0x36F), (0x2000, 0x206F), (0x1F00, 0x1FFF), (0x1F600, 0x1F64F), (0xAC00, 0xAC20)]
     mixed = ["".join(chr(rnd.randint(*rnd.choice(ranges))) for _ in range(rnd.randint(1, 30))) for _ in range(500)]
     fixed = ["", " ", "Σίσυφος ΣΑΣ", "<|endoftext|>a<|startoftext|>", "a\x1cb\x1f\x85c", "I'LL don't 'S's", "ab" * 4000, "!" * 999]
-    for text in [*docs.text, *mixed, *fixed]:
+    texts = [*docs.text, *mixed, *fixed]
+    for text, (found, decoded) in zip(texts, encode(texts), strict=True):
         ids = library.encode(text, add_special_tokens=False).ids
-        found, decoded = encode(text)
         assert np.frombuffer(found, "<u4").tolist() == ids
         assert decoded == library.decode(ids, skip_special_tokens=False) == own.decode(ids)
 
