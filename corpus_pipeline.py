@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillsieve.llm.bpe import encode_documents
 from quillsieve.llm.exact_dedup import exact_groups
-from quillsieve.llm.langid import NO_LANGUAGE, fit, held_out, language_column
+from quillsieve.llm.langid import fit, held_out, in_known_language
 from quillsieve.llm.minhash import near_duplicates, text_key
 from quillsieve.llm.mixing import mix_sources
 from quillsieve.session import scratch_table
@@ -24,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A text whose best language has a lower posterior is in no language that is known.
 LEAST_SCORE = 0.5
 #: Names of columns that stand beside those of the documents for a while.
-_ID, _TEXT, _TIMES, _FOUND = "__row_id", "__row_text", "__row_times", "__row_language"
+_ID, _NONE, _TEXT, _TIMES, _FOUND = "__row_id", "__row_null", "__row_text", "__row_times", "__row_place"
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -35,19 +36,26 @@ def _decided(docs: DataFrame, decisions: DataFrame, hashed: Column) -> DataFrame
     """Rows of ``docs`` that ``decisions`` (``doc_id, key, times``) keeps, with ``__times``.
 
     The names of its columns do not meet those of the documents, ids and texts may be null, and of rows that repeat both
-    id and text one stays.
+    id and text the one whose other columns come first stays. The join and the choice deal texts out by the same columns,
+    so they are shuffled once.
     """
-    renamed = decisions.groupBy(F.col("doc_id").alias(_ID), F.col("key").alias(_TEXT)).agg(F.sum("times").alias(_TIMES))
-    same = docs["doc_id"].eqNullSafe(renamed[_ID]) & hashed.eqNullSafe(renamed[_TEXT])
-    return docs.join(renamed, same).dropDuplicates([_ID, _TEXT])
+    keys = [_ID, _NONE, _TEXT]
+
+    def keyed(df: DataFrame, key: Column) -> DataFrame:
+        own = F.col("doc_id")
+        return df.withColumns({_ID: F.coalesce(own.cast("string"), F.lit("")), _NONE: own.isNull(), _TEXT: key})
+
+    wanted = keyed(decisions, F.col("key")).groupBy(*keys).agg(F.sum("times").alias(_TIMES))
+    joined = keyed(docs, hashed).join(wanted, keys)
+    others = [F.col(f"`{name}`") for name in docs.columns if name not in ("doc_id", "text")]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*others or [F.lit(0)]))
+    return joined.withColumn(_FOUND, place).where(F.col(_FOUND) == 1)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or with no clear language go."""
     model = fit(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
-    found = docs.withColumn(_FOUND, language_column(spark, model, docs["text"]))
-    known = (F.col(f"{_FOUND}.lang_pred") != NO_LANGUAGE) & (F.col(f"{_FOUND}.score") >= LEAST_SCORE)
-    return found.where(known).select(*_columns(docs))
+    return in_known_language(docs, model, LEAST_SCORE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,13 +85,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that the mixture holds, with what they decode to."""
-    encoded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return encoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
