@@ -22,19 +22,11 @@ TASK_METRICS = {
 }
 # Fixed value: the metric of every other task.
 DEFAULT_METRIC = "acc,none"
-# Sizes in model names, the last parts of key layers' names, and names as they are shown.
+# Sizes in model names, and the last parts of key layers' names.
 SIZE_TAGS = ("70B", "8B", "3B")
 KEY_LAYERS = (
     r"\.(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj|query|key|value|dense|fc1|fc2|c_attn|c_proj|w1|w2|w3)$"
 )
-DISPLAY_NAMES = {
-    "random": "Random",
-    "words_dataset": "ZipCal",
-    "cola": "COLA",
-    "winogrande": "WinoGrande",
-    "gsm8k": "GSM8K",
-    "hellaswag": "HellaSwag",
-}
 
 
 def _cases(value: Column, table: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
@@ -98,12 +90,12 @@ def short_model(model: Column) -> Column:
     return F.element_at(F.split(model, "/"), -1)
 
 
-def display_name(name: Column) -> Column:
-    """The name a method or dataset is shown under; unknown ones keep their own."""
-    rule = None
-    for key, shown in DISPLAY_NAMES.items():
-        rule = F.when(name == key, shown) if rule is None else rule.when(name == key, shown)
-    return rule.otherwise(name)
+def display_name(name: Column, shown: dict[str, str]) -> Column:
+    """The name that ``shown`` has for a method or dataset; others keep their own."""
+    rule = F.lit(None)
+    for key, label in shown.items():
+        rule = F.when(name == key, label).otherwise(rule)
+    return F.coalesce(rule, name)
 
 
 def size_tag(model: Column) -> Column:

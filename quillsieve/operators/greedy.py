@@ -3,8 +3,8 @@
 Every greedy step needs the best row under a score that changes with each pick. One pass over the table
 finds, in every dataset at once, the best ``pool`` rows under the present score; picks are then made from
 that pool alone for as long as no row outside it can be better, which the last row of the pool bounds. Then
-the next pass runs. The driver holds pools and picks only, never the table, and a pass keeps no state that
-a lost executor could take with it.
+the next pass runs. No table comes to the driver, and a pass keeps no state that a lost executor could take with it:
+what picks change is written as a table (coverage, matching), or is a pool of vectors (farthest point, herding).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as tx
@@ -22,12 +23,13 @@ from quillsieve.operators import counts as ct
 from quillsieve.operators.ordering import top_n
 from quillsieve.operators.overlap import ngram_sets, token_sets
 from quillsieve.operators.selection import DIGITS
-from quillsieve.operators.skew import join_counts
+from quillsieve.operators.skew import join_checked, join_counts
 from quillsieve.session import pin
 
 VECTOR_POOL = 512
 MERGE_AT_ONCE = 256
 SET_POOL = 128
+SETTLED_POOL = 1024
 
 
 def _best_rows(
@@ -205,58 +207,103 @@ def _found(items: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == items
 
 
-def select_unique_tokens(docs: DataFrame, n: int, words: Column | None = None, pool: int = SET_POOL) -> DataFrame:
-    """Per dataset, picks that each add the most words not covered yet; ties go to the larger word set.
+def _left_to_pick(rows: DataFrame, picks: DataFrame, n: int) -> DataFrame:
+    """``dataset, left``: how many picks each dataset still lacks; finished ones are left out."""
+    done = picks.groupBy("dataset").agg(F.count(F.lit(1)).alias("done"))
+    left = rows.select("dataset").distinct().join(done, "dataset", "left")
+    return left.select("dataset", (F.lit(n) - F.coalesce("done", F.lit(0))).cast("int").alias("left")).where("left > 0")
 
-    Gains only shrink as words get covered, so a gain from an earlier pass bounds the present one.
-    """
-    sized = pin(token_sets(docs, words, ["dataset"]).withColumn("size", F.size("items").cast("bigint")))
-    picks: dict[str, list[tuple[int, float]]] = {}
-    covered: dict[str, np.ndarray] = {}
-    finished: set[str] = set()
-    while n > 0:
-        state = {d: (covered[d], [i for i, _ in picks[d]]) for d in picks}
 
-        def gain(dataset: str, group: pd.DataFrame, state: dict = state, done: frozenset = frozenset(finished)) -> np.ndarray:
-            if dataset in done:
-                return np.full(len(group), np.nan)
-            known, used = state.get(dataset, (np.empty(0, np.int64), []))
-            lengths, items = _lengths_and_items(group["items"])
-            new = _sum_by_row(lengths, (~_found(items, known)).astype(float))
-            return np.where(group["doc_id"].isin(used), np.nan, new)
+class _Index:
+    """Which rows of a group hold which items."""
 
-        pools = _best_rows(sized, ["items"], gain, pool)
-        if not pools:
+    def __init__(self, sets: pd.Series):
+        self.lengths, flat = _lengths_and_items(sets)
+        self.ends = np.concatenate([[0], np.cumsum(self.lengths)])
+        _, self.item = np.unique(flat, return_inverse=True)
+        by_item = np.argsort(self.item, kind="stable")
+        self.holder = np.repeat(np.arange(len(self.lengths)), self.lengths)[by_item]
+        self.place = by_item
+        self.item_ends = np.concatenate([[0], np.cumsum(np.bincount(self.item))]).astype(np.int64)
+
+    def items_of(self, row: int) -> np.ndarray:
+        return self.item[self.ends[row] : self.ends[row + 1]]
+
+    def occurrences(self, items: np.ndarray) -> np.ndarray:
+        """Places in the inverted index where ``items`` stand, one item after the other."""
+        sizes = self.item_ends[items + 1] - self.item_ends[items]
+        starts = np.repeat(self.item_ends[items] - (np.cumsum(sizes) - sizes), sizes)
+        return starts + np.arange(sizes.sum())
+
+
+def _cover(group: pd.DataFrame, pool: int) -> pd.DataFrame:
+    """Greedy picks among the ``pool`` rows of one dataset with the largest gains, as long as no other row can be better.
+
+    ``items`` are a row's words that were not covered before; a pick lowers the gains of the rows that hold its words.
+    """
+    group = group.sort_values(["gain", "size", "doc_id"], ascending=[False, False, True], ignore_index=True)
+    ids, sizes, gains = (group[c].to_numpy() for c in ("doc_id", "size", "gain"))
+    gains, index = gains.astype(np.int64).copy(), _Index(group["items"])
+    covered = np.zeros(len(index.item_ends) - 1, dtype=bool)
+    bound = _key(gains[-1], sizes[-1], ids[-1]) if len(ids) >= pool else _key(-np.inf, 0, 0)
+    open_rows, found = np.ones(len(ids), dtype=bool), []
+    while open_rows.any() and len(found) < group["left"].iloc[0]:
+        best = np.lexsort((ids, -sizes, -np.where(open_rows, gains, -1)))[0]
+        if _key(gains[best], sizes[best], ids[best]) < bound:
             break
-        for dataset, found in pools.items():
-            chosen = picks.setdefault(dataset, [])
-            known = covered.get(dataset, np.empty(0, np.int64))
-            ids, sizes = found["doc_id"].to_numpy(), found["size"].to_numpy()
-            lengths, items = _lengths_and_items(found["items"])
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            gains = found["score"].to_numpy().copy()
-            open_rows = np.ones(len(ids), dtype=bool)
-            full = len(ids) == pool
-            bound = _key(gains[-1], sizes[-1], ids[-1]) if full else _key(-np.inf, 0, 0)
-            while open_rows.any() and len(chosen) < n:
-                best = np.lexsort((ids, -sizes, -np.where(open_rows, gains, -np.inf)))[0]
-                if _key(gains[best], sizes[best], ids[best]) < bound:
-                    break
-                chosen.append((ids[best], gains[best]))
-                open_rows[best] = False
-                known = np.union1d(known, items[starts[best] : starts[best + 1]])
-                gains = _sum_by_row(lengths, (~_found(items, known)).astype(float))
-            covered[dataset] = known
-            if len(chosen) >= n or (not full and not open_rows.any()):
-                finished.add(dataset)
-    return _as_frame(docs, picks, "gain")
+        found.append((group["dataset"].iloc[0], ids[best], len(found), gains[best]))
+        open_rows[best] = False
+        own = index.items_of(best)
+        own = own[~covered[own]]
+        covered[own] = True
+        gains -= np.bincount(index.holder[index.occurrences(own)], minlength=len(ids))
+    return pd.DataFrame(found, columns=["dataset", "doc_id", "nth", "gain"])
+
+
+def select_unique_tokens(docs: DataFrame, n: int, words: Column | None = None, pool: int = SETTLED_POOL) -> DataFrame:
+    """Per dataset, picks that each add the most words not covered yet; ties go to the larger word set, then the smaller id.
+
+    The state is a table of (row, word) pairs whose word is not covered. A pass counts gains from it, takes the best ``pool``
+    rows of every dataset, settles the picks among those that no other row can beat (gains only shrink), and drops the pairs of
+    newly covered words, so the table shrinks and each word is dropped once. Neither the covered words nor the pool
+    leave Spark; a dataset's pool is settled in one task and holds ``pool`` rows at most.
+    """
+    sized = token_sets(docs, words, ["dataset"]).withColumn("size", F.size("items").cast("bigint"))
+    sized = pin(sized)
+    rows = sized.select("dataset", "doc_id", "size")
+    pairs = sized.select("dataset", "doc_id", F.explode("items").alias("item"))
+    picks = docs.sparkSession.createDataFrame([], "dataset string, doc_id bigint, turn int, nth int, gain bigint")
+    by = ["dataset", "doc_id"]
+    turn, left = 0, pin(_left_to_pick(rows, picks, n))
+    while not left.isEmpty():
+        gains = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("gain"))
+        active = join_checked(rows, left, ["dataset"], pinned=True).join(picks.select(*by), by, "left_anti")
+        active = active.join(gains, by, "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+        order = [F.col("gain").desc(), F.col("size").desc(), F.col("doc_id")]
+        best = pin(top_n(active, order, pool, ["dataset"]).drop("rank"))
+        held = join_checked(pairs, best.select(*by), by, pinned=True).groupBy(*by).agg(F.collect_list("item").alias("items"))
+        empty = F.array().cast("array<bigint>")
+        group = best.join(held, by, "left").withColumn("items", F.coalesce("items", empty))
+        found = group.groupBy("dataset").applyInPandas(lambda g: _cover(g, pool), "dataset string, doc_id bigint, nth int, gain bigint")
+        found = pin(found.withColumn("turn", F.lit(turn)).select(*picks.columns))
+        if found.isEmpty():
+            break
+        picks, turn = picks.unionByName(found), turn + 1
+        left = pin(_left_to_pick(rows, picks, n))
+        if left.isEmpty():
+            break
+        new = join_checked(pairs, found.select(*by), by, pinned=True).select("dataset", "item").distinct()
+        rest = join_checked(pairs, new.withColumn("covered", F.lit(True)), ["dataset", "item"], "left")
+        pairs = pin(join_checked(rest.where("covered is null").drop("covered"), left.select("dataset"), ["dataset"], pinned=True))
+    rank = F.row_number().over(W.partitionBy("dataset").orderBy("turn", "nth"))
+    return picks.select("dataset", "doc_id", rank.alias("rank"), F.col("gain").cast("double").alias("gain"))
 
 
 def select_unique_tokens_shuffled(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The coverage picks with the words of each text in random order."""
     chosen = select_unique_tokens(docs, n)
     words = tx.shuffle_words(tx.zipf_words(F.col("text")), F.col("doc_id"), seed)
-    rows = docs.join(F.broadcast(chosen), ["dataset", "doc_id"])
+    rows = join_checked(docs, chosen, ["dataset", "doc_id"])
     return rows.withColumn("text", F.array_join(words, " "))
 
 
@@ -297,74 +344,92 @@ def _rarest_first_picks(pairs: DataFrame, counts: DataFrame, n: int) -> dict[str
     return picks
 
 
-def select_tail_then_match(docs: DataFrame, n: int, words: Column | None = None) -> DataFrame:
+def _match(group: pd.DataFrame, pool: int) -> pd.DataFrame:
+    """Picks among the ``pool`` best rows of one dataset, as long as no other row can be better.
+
+    A row's score is ``base - pull / total``: ``pull`` adds up its counts times those of all picks, ``total`` counts the words of
+    the picks. Later picks only add to a pull, so another row's score cannot exceed its base less its present pull over
+    the new total; that is bounded by the last score of the pool and the largest base outside it.
+    """
+    group = group.sort_values(["score", "doc_id"], ascending=[False, True], ignore_index=True)
+    ids, base, pull = (group[c].to_numpy() for c in ("doc_id", "base", "pull"))
+    index, pull = _Index(group["items"]), pull.astype(np.int64).copy()
+    weight = np.concatenate([np.asarray(c, dtype=np.int64) for c in group["counts"]]) if len(index.item) else np.empty(0, np.int64)
+    began = total = int(group["total"].iloc[0])
+    outside, last = group["outside"].iloc[0], group["score"].iloc[-1]
+    more = len(ids) >= pool and outside == outside
+    open_rows, found = np.ones(len(ids), dtype=bool), []
+    while open_rows.any() and len(found) < group["left"].iloc[0]:
+        scores = np.where(open_rows, np.round(base - pull / max(total, 1), DIGITS), -np.inf)
+        best = np.lexsort((ids, -scores))[0]
+        if more and found:
+            share = max(began, 1) / max(total, 1)
+            if scores[best] <= outside * (1 - share) + last * share + 10.0**-DIGITS:
+                break
+        found.append((group["dataset"].iloc[0], ids[best], len(found), scores[best]))
+        open_rows[best] = False
+        own, counts = index.items_of(best), weight[index.ends[best] : index.ends[best + 1]]
+        total += int(counts.sum())
+        at = index.occurrences(own)
+        gained = np.repeat(counts, index.item_ends[own + 1] - index.item_ends[own]) * weight[index.place[at]]
+        pull += np.bincount(index.holder[at], weights=gained, minlength=len(ids)).astype(np.int64)
+    return pd.DataFrame(found, columns=["dataset", "doc_id", "nth", "score"])
+
+
+def select_tail_then_match(docs: DataFrame, n: int, words: Column | None = None, pool: int = SETTLED_POOL) -> DataFrame:
     """Half of the picks cover the rarest words; the others pull the picks' word frequencies to the dataset's.
 
-    A row scores the sum over its words of count times (share in the dataset - share in the picks). The
-    first part does not change and is computed once; the second only concerns words of picked rows.
+    A row scores the sum over its words of count times (share in the dataset - share in the picks). The first part is
+    computed once. The second is kept as a whole number for each row: a pick adds the products of its counts with those of
+    the rows that share its words, which is one join a pass, and a bound on all rows outside the pool lets a pass make
+    several picks. Picks, pulls and word counts stay in Spark.
     """
-    tokens = ct.token_rows(docs, words, keep=("dataset", "doc_id"))
-    pairs = pin(tokens.groupBy("dataset", "doc_id", "token").agg(F.count(F.lit(1)).alias("c")))
+    by = ["dataset", "doc_id"]
+    tokens = ct.token_rows(docs, words, keep=tuple(by))
+    pairs = pin(tokens.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("c")))
     counts = pin(pairs.groupBy("dataset", "token").agg(F.sum("c").alias("n")))
     probs = pin(ct.token_probs(counts, ["dataset"]).select("dataset", "token", "n", "p"))
-    tail = _rarest_first_picks(pairs.select("dataset", "doc_id", "token"), counts, n // 2)
+    tail = _rarest_first_picks(pairs.select(*by, "token"), counts, n // 2)
+    schema = "dataset string, doc_id bigint, turn int, nth int, score double"
+    first = [(d, int(i), 0, k, 0.0) for d, ids in tail.items() for k, i in enumerate(ids)]
+    picks = found = docs.sparkSession.createDataFrame(first, schema)
     scored = join_counts(pairs, probs, ["dataset", "token"])
     rows = pin(
-        scored.groupBy("dataset", "doc_id").agg(
-            F.sum(F.col("c") * F.col("p")).alias("base"),
-            F.sort_array(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "c"))).alias("bag"),
-        )
-    ).select(
-        "dataset",
-        "doc_id",
-        F.lit(0).cast("bigint").alias("size"),
-        "base",
-        F.transform("bag", lambda e: e["h"]).alias("items"),
-        F.transform("bag", lambda e: e["c"]).alias("counts"),
+        scored.groupBy(*by).agg(F.sum(F.col("c") * F.col("p")).alias("base")).withColumn("pull", F.lit(0).cast("bigint"))
     )
-    picks: dict[str, list[tuple[int, float]]] = {d: [(i, 0.0) for i in ids] for d, ids in tail.items()}
-    bags: dict[str, dict[int, int]] = {d: {} for d in picks}
-
-    def add(dataset: str, items: Sequence[int], amounts: Sequence[int]) -> None:
-        bag = bags.setdefault(dataset, {})
-        for item, count in zip(items, amounts, strict=True):
-            bag[int(item)] = bag.get(int(item), 0) + int(count)
-
-    if tail:
-        flat = [(d, int(i)) for d, ids in tail.items() for i in ids]
-        taken = docs.sparkSession.createDataFrame(flat, "dataset string, doc_id bigint")
-        for row in rows.join(F.broadcast(taken), ["dataset", "doc_id"]).select("dataset", "items", "counts").collect():
-            add(row["dataset"], row["items"], row["counts"])
-    finished: set[str] = set()
-    while n > 0:
-        state = {}
-        for d, bag in bags.items():
-            items = np.array(sorted(bag), dtype=np.int64)
-            share = np.array([bag[int(i)] for i in items], dtype=float)
-            state[d] = (items, share / max(share.sum(), 1.0), [i for i, _ in picks[d]])
-        done = frozenset(d for d in picks if len(picks[d]) >= n) | frozenset(finished)
-
-        def fit(dataset: str, group: pd.DataFrame, state: dict = state, done: frozenset = done) -> np.ndarray:
-            if dataset in done:
-                return np.full(len(group), np.nan)
-            base = group["base"].to_numpy(dtype=float)
-            items, share, used = state.get(dataset, (np.empty(0, np.int64), np.empty(0), []))
-            if len(items):
-                lengths, flat = _lengths_and_items(group["items"])
-                weights = np.concatenate([np.asarray(c, dtype=float) for c in group["counts"]])
-                at = np.minimum(np.searchsorted(items, flat), len(items) - 1)
-                weights = np.where(items[at] == flat, weights * share[at], 0.0)
-                base = base - _sum_by_row(lengths, weights)
-            return np.where(group["doc_id"].isin(used), np.nan, np.round(base, DIGITS))
-
-        pools = _best_rows(rows, ["base", "items", "counts"], fit, 1)
-        if not pools:
+    totals = pin(rows.select("dataset").distinct().withColumn("total", F.lit(0).cast("bigint")))
+    turn, left = 1, pin(_left_to_pick(rows, picks, n))
+    while not left.isEmpty():
+        if turn > 1 or tail:
+            # what the latest picks add to the counts of the picks, and so to every row that shares their words
+            taken = join_checked(pairs, found.select(*by), by, pinned=turn > 1)
+            added = pin(taken.groupBy("dataset", "token").agg(F.sum("c").alias("d")))
+            pulled = join_checked(pairs, added, ["dataset", "token"], pinned=True)
+            pulled = pulled.groupBy(*by).agg(F.sum(F.col("c") * F.col("d")).alias("x"))
+            kept = rows.join(found.select(*by), by, "left_anti").join(pulled, by, "left")
+            rows = pin(kept.select(*by, "base", (F.col("pull") + F.coalesce("x", F.lit(0))).alias("pull")))
+            grown = added.groupBy("dataset").agg(F.sum("d").alias("x"))
+            totals = pin(
+                totals.join(grown, "dataset", "left").select("dataset", (F.col("total") + F.coalesce("x", F.lit(0))).alias("total"))
+            )
+        left = pin(left.join(totals, "dataset"))
+        score = F.round(F.col("base") - F.col("pull") / F.greatest("total", F.lit(1)), DIGITS)
+        active = join_checked(rows, left, ["dataset"], pinned=True).withColumn("score", score)
+        best = pin(top_n(active, [F.col("score").desc(), F.col("doc_id")], pool, ["dataset"]).drop("rank"))
+        outside = active.join(best.select(*by), by, "left_anti").groupBy("dataset").agg(F.max("base").alias("outside"))
+        bags = join_checked(pairs, best.select(*by), by, pinned=True).groupBy(*by).agg(
+            F.collect_list(F.struct(F.xxhash64("token").alias("h"), "c")).alias("bag")
+        )
+        group = best.join(bags, by).join(outside, "dataset", "left")
+        group = group.withColumns({"items": F.col("bag.h"), "counts": F.col("bag.c")}).drop("bag")
+        found = group.groupBy("dataset").applyInPandas(lambda g: _match(g, pool), "dataset string, doc_id bigint, nth int, score double")
+        found = pin(found.withColumn("turn", F.lit(turn)).select(*picks.columns))
+        if found.isEmpty():
             break
-        for dataset, found in pools.items():
-            best = found.iloc[0]
-            picks.setdefault(dataset, []).append((int(best["doc_id"]), float(best["score"])))
-            add(dataset, best["items"], best["counts"])
-    return _as_frame(docs, picks, "score")
+        picks, turn = picks.unionByName(found), turn + 1
+        left = pin(_left_to_pick(rows, picks, n))
+    rank = F.row_number().over(W.partitionBy("dataset").orderBy("turn", "nth"))
+    return picks.select(*by, rank.alias("rank"), "score")
 
 
 def select_decoupled(

@@ -22,15 +22,20 @@ def stored_bytes(pinned: DataFrame) -> int:
 
 
 def join_checked(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    pinned: bool = False,
 ) -> DataFrame:
     """Join with a side that is expected to be small: broadcast if its measured rows and bytes allow it.
 
     A larger side is repeated once per salt and joined on key and salt, which splits a hot key of ``big``
-    over many tasks.
+    over many tasks. A small side that is a written table already (``pinned``) is not written again.
     """
     on = list(on)
-    small = pin(small)
+    small = small if pinned else pin(small)
     if stored_bytes(small) <= BROADCAST_BYTES and small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

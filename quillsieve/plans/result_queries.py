@@ -115,7 +115,7 @@ def q_unpivot_stats(spark, sf):
 
 @query(
     "relabel",
-    "select p_partkey, case p_partkey % 4 when 0 then 'Random' when 1 then 'ZipCal' when 2 then 'GSM8K' else 'other' end as shown, "
+    "select p_partkey, case p_partkey % 4 when 0 then 'Random' when 1 then 'Bag of words' when 2 then 'GSM8K' else 'other' end as shown, "
     "split_part('org/' || p_brand || case p_partkey % 4 when 0 then '-70B' when 1 then '-8B' when 2 then '-3B' else '' end, "
     "'/', -1) as short_name, case p_partkey % 4 when 0 then '70B' when 1 then '8B' when 2 then '3B' else 'org/' || p_brand end as size from part",
 )
@@ -123,7 +123,8 @@ def q_relabel(spark, sf):
     tail = F.element_at(F.array(F.lit("-70B"), F.lit("-8B"), F.lit("-3B"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
     model = F.concat(F.lit("org/"), F.col("p_brand"), tail)
     names = F.array(*[F.lit(n) for n in ("random", "words_dataset", "gsm8k", "other")])
-    shown = lb.display_name(F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("shown")
+    labels = {"random": "Random", "words_dataset": "Bag of words", "gsm8k": "GSM8K"}
+    shown = lb.display_name(F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int")), labels).alias("shown")
     return load(spark, sf, "part").select("p_partkey", shown, lb.short_model(model).alias("short_name"), lb.size_tag(model).alias("size"))
 
 
