@@ -227,14 +227,16 @@ def subsample_values(rows: DataFrame, n: int, key: str, row_id: Sequence[str], s
 def sample_pairs(weights: DataFrame, scales: DataFrame, m: int, seed: int = 42) -> DataFrame:
     """``m`` seeded random cells of a matrix, with replacement, with the scale of their column.
 
-    ``weights``: row, col, w with consecutive indices from 0; ``scales``: col, s.
+    ``weights``: row, col, w with indices from 0; ``scales``: col, s. Every draw gives a row: ``w`` is null where the matrix has
+    no such cell, ``s`` where the column has no scale. An empty matrix gives no rows.
     """
     spark = weights.sparkSession
     size = weights.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
-    cells = (size["r"] + 1) * (size["c"] + 1)
-    draws = spark.range(min(m, cells)).select(
+    rows, columns = (0 if size[c] is None else size[c] + 1 for c in ("r", "c"))
+    draws = spark.range(min(m, rows * columns)).select(
         F.col("id").alias("draw"),
-        tx.seeded_int(seed, size["r"] + 1, F.lit("r"), F.col("id")).alias("row"),
-        tx.seeded_int(seed, size["c"] + 1, F.lit("c"), F.col("id")).alias("col"),
+        tx.seeded_int(seed, max(rows, 1), F.lit("r"), F.col("id")).alias("row"),
+        tx.seeded_int(seed, max(columns, 1), F.lit("c"), F.col("id")).alias("col"),
     )
-    return draws.join(weights, ["row", "col"]).join(scales, "col").select("draw", "row", "col", "w", "s")
+    found = draws.join(weights, ["row", "col"], "left").join(scales, "col", "left")
+    return found.select("draw", "row", "col", "w", "s")

@@ -320,7 +320,7 @@ def q_subsample_values(spark, sf):
     "s as (select col, sqrt(avg(w * w)) as s from w group by col), size as (select max(row) + 1 as r, max(col) + 1 as c from w), "
     "draws as (select i as draw, ('0x' || substr(md5('42:r:' || i), 1, 15))::bigint % r as row, "
     "('0x' || substr(md5('42:c:' || i), 1, 15))::bigint % c as col from size, range(100000) t(i) where i < least(100000, r * c)) "
-    "select draw, row, col, round(w, 9) as w, round(s, 9) as s from draws join w using (row, col) join s using (col)",
+    "select draw, row, col, round(w, 9) as w, round(s, 9) as s from draws left join w using (row, col) left join s using (col)",
 )
 def q_sample_pairs(spark, sf):
     cells = vectors(spark, sf).select(F.col("doc_id").alias("row"), F.posexplode("embedding").alias("col", "x"))

@@ -8,12 +8,15 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from quillsieve.session import build_session
 
-    session = build_session(
-        "local[8]", "quillsieve-tests", **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
-    )
+    settings = {
+        "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+    }
+    session = build_session("local[8]", "quillsieve-tests", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
