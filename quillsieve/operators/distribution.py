@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
@@ -17,6 +18,7 @@ from quillsieve.session import pin
 
 EPSILON = 1e-10
 SAMPLE_CELLS = 16_000_000
+EXACT_ROWS = 10_000
 
 
 def kl_divergence(
@@ -74,11 +76,14 @@ def _merged(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def two_sample_distances(values: DataFrame, keys: Sequence[str] = ("layer",)) -> DataFrame:
-    """Wasserstein distance, Kolmogorov-Smirnov statistic and its asymptotic p-value per group.
+def two_sample_distances(
+    values: DataFrame, keys: Sequence[str] = ("layer",), exact_rows: int = EXACT_ROWS
+) -> DataFrame:
+    """Wasserstein distance, Kolmogorov-Smirnov statistic and its p-value per group.
 
     ``values``: keys..., x, side ('a' or 'b'). Samples are counted by distinct value first; running counts
-    are summed per range of values. A group that holds one of the samples only has no distance (null).
+    are summed per range of values. A group that holds one of the samples only has no distance (null). The p-value is exact
+    if both samples have at most ``exact_rows`` values, else asymptotic.
     """
     gap = F.abs(F.col("cdf_a") - F.col("cdf_b"))
     found = _merged(values, keys).groupBy(*keys).agg(
@@ -87,7 +92,49 @@ def two_sample_distances(values: DataFrame, keys: Sequence[str] = ("layer",)) ->
         F.max("total_a").alias("n_a"),
         F.max("total_b").alias("n_b"),
     )
-    return found.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_a"), F.col("n_b")))
+    asymptotic = kolmogorov_p(F.col("ks"), F.col("n_a"), F.col("n_b"))
+    if exact_rows <= 0:
+        return found.withColumn("p_value", asymptotic)
+    small = F.greatest("n_a", "n_b") <= exact_rows  # false for a large group, whose paths are not counted
+    reach = F.when(small, F.round(F.col("ks") * F.col("n_a") * F.col("n_b")).cast("bigint"))
+    exact = _exact_p(reach, F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
+    return found.withColumn("p_value", F.when(small, exact).otherwise(asymptotic))
+
+
+def exact_p(reach: int, n_a: int, n_b: int) -> float:
+    """Chance that two samples of one distribution, without ties, are at least ``reach / (n_a * n_b)`` apart.
+
+    Every order of the united sample is equally likely and is a path from (0, 0) to (n_a, n_b). The chance of being at
+    each point without having been ``reach`` apart goes diagonal by diagonal; what steps over the edge is summed, so
+    small values keep their digits. Only the lanes between the edges are touched.
+    """
+    if reach <= 0:
+        return 1.0
+    m, n = sorted((int(n_a), int(n_b)))
+    inside = np.zeros(m + 2)  # one lane more than there are points, always zero
+    inside[0] = 1.0
+    over = 0.0
+    for step in range(m + n):
+        low = max(0, (step * m - reach) // (m + n) - 1)
+        high = min(m, (step * m + reach) // (m + n) + 2)
+        i = np.arange(low, high + 1)
+        here = inside[low : high + 1]
+        left = m + n - step
+        moved = np.zeros(len(i) + 1)
+        moved[:-1] = here * (n - step + i) / left
+        moved[1:] += here * (m - i) / left
+        lanes = np.arange(low, high + 2)
+        out = np.abs(lanes * n - (step + 1 - lanes) * m) >= reach
+        over += moved[out].sum()
+        moved[out] = 0.0
+        inside[low : high + 2] = moved
+    return float(min(over, 1.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(reach: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    known = reach.notna()
+    return pd.Series([exact_p(int(r), a, b) if k else None for r, a, b, k in zip(reach, n_a, n_b, known)], dtype=float)
 
 
 def kolmogorov_p(ks: Column, n_a: Column, n_b: Column) -> Column:

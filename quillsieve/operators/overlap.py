@@ -6,7 +6,7 @@ with the smallest id and a number of copies first, so a large group of copies co
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 from quillsieve.functions import text as tx
 from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
-from quillsieve.operators.blocks import overlaps, pair_blocks
+from quillsieve.operators.blocks import BLOCK_ROWS, overlaps, pair_blocks
 from quillsieve.operators.selection import DIGITS, select_by_score
 from quillsieve.operators.skew import join_checked, join_counts
 from quillsieve.session import pin
 
 MULTISET_UNION = 4096.0
 HOT_GROUP = 2048
+# Vectors: rows a cell is meant to have, most pivots, rows they are chosen from, allowance for rounded angles.
+# None of these changes which pairs are found.
+CELL_ROWS = 512
+MAX_PIVOTS = 4096
+PIVOT_POOL = 16_384
+ANGLE_ERROR = 1e-6
 
 
 def token_sets(docs: DataFrame, words: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -177,27 +183,168 @@ def similar_ngram_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def similar_vector_pairs(rows: DataFrame, threshold: float = 0.9, vector: str = "embedding") -> DataFrame:
-    """Pairs of distinct vectors with a cosine above ``threshold``, with the copies of each side."""
+def _units(rows: DataFrame, vector: str) -> DataFrame:
     units = rows.select("doc_id", vx.l2_normalize(vx.as_doubles(F.col(vector))).alias("unit"))
-    distinct = pin(units.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    return pin(units.where(F.col("unit").isNotNull()))
+
+
+def _distinct_units(units: DataFrame) -> DataFrame:
+    return pin(units.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+
+
+def _matches(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return pd.DataFrame({"id_a": [], "id_b": [], "copies_a": [], "copies_b": [], "similarity": []})
+    cos = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+    i, j = np.nonzero(cos > threshold)
+    if same:
+        i, j = i[i < j], j[i < j]
+    ids = np.stack([left["doc_id"].to_numpy()[i], right["doc_id"].to_numpy()[j]])
+    copies = np.stack([left["copies"].to_numpy()[i], right["copies"].to_numpy()[j]])
+    swap = ids[0] > ids[1]
+    ids[:, swap], copies[:, swap] = ids[::-1, swap], copies[::-1, swap]
+    return pd.DataFrame(
+        {"id_a": ids[0], "id_b": ids[1], "copies_a": copies[0], "copies_b": copies[1], "similarity": cos[i, j]}
+    )
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id_a": [], "id_b": [], "copies_a": [], "copies_b": [], "similarity": []})
-        cos = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
-        i, j = np.nonzero(cos > threshold)
-        if same:
-            i, j = i[i < j], j[i < j]
-        ids = np.stack([left["doc_id"].to_numpy()[i], right["doc_id"].to_numpy()[j]])
-        copies = np.stack([left["copies"].to_numpy()[i], right["copies"].to_numpy()[j]])
-        swap = ids[0] > ids[1]
-        ids[:, swap], copies[:, swap] = ids[::-1, swap], copies[::-1, swap]
-        return pd.DataFrame(
-            {"id_a": ids[0], "id_b": ids[1], "copies_a": copies[0], "copies_b": copies[1], "similarity": cos[i, j]}
-        )
 
-    found = pair_blocks(
-        distinct, "doc_id", kernel, "id_a bigint, id_b bigint, copies_a bigint, copies_b bigint, similarity double"
+def similar_vector_pairs(
+    rows: DataFrame, threshold: float = 0.9, vector: str = "embedding", cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Pairs of distinct vectors with a cosine above ``threshold``, with the copies of each side.
+
+    Every vector belongs to the cell of its nearest pivot and is also sent to the later cells that the triangle inequality
+    on angles cannot rule out; a pair is found in the later of its two cells. No pair is lost, whatever the pivots.
+    Rows without a vector are left out; zero vectors are similar to nothing.
+    """
+    return _similar_units(_distinct_units(_units(rows, vector)), threshold, cell_rows)
+
+
+def _similar_units(distinct: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    placed = pin(place_in_cells(distinct, threshold, cell_rows))
+    parts = pin(cell_loads(placed))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group["a"].iat[0], group["b"].iat[0]
+        left = group[group["at"] == a].sort_values("doc_id", ignore_index=True)
+        if a == b:
+            return _matches(left, left, True, threshold)
+        return _matches(left, group[group["at"] == b].sort_values("doc_id", ignore_index=True), False, threshold)
+
+    # Members and visitors of a cell are cut into blocks, so neither a hot cell nor a hot visitor list is one group.
+    sized = F.broadcast(parts.select("cell", "own_blocks", "visit_blocks"))  # one row a pivot
+    blocks, chunks = F.col("own_blocks"), F.col("visit_blocks")
+    own = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), blocks).cast("int")
+    chunk = blocks + F.pmod(F.xxhash64(F.lit("block"), "doc_id"), chunks).cast("int")
+    columns = ["doc_id", "copies", "unit", "cell", "at"]
+    members = placed.join(sized, "cell").withColumn("at", own)
+    members = members.select(*columns, F.explode(F.sequence(F.lit(0), blocks + chunks - 1)).alias("to"))
+    members = members.select(*columns, F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"))
+    visitors = placed.select("doc_id", "copies", "unit", F.explode("visits").alias("cell")).join(sized, "cell")
+    visitors = visitors.withColumn("at", chunk).select(
+        *columns, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("a"), F.col("at").alias("b")
+    )
+    found = members.unionByName(visitors).groupBy("cell", "a", "b").applyInPandas(
+        run, "id_a bigint, id_b bigint, copies_a bigint, copies_b bigint, similarity double"
     )
     return found.withColumn("similarity", F.round("similarity", DIGITS))
+
+
+def _pivots(distinct: DataFrame, cell_rows: int) -> np.ndarray:
+    """Vectors far from each other, out of a seeded sample of bounded size; one for each ``cell_rows`` rows."""
+    count = distinct.count()
+    wanted = min(MAX_PIVOTS, max(1, -(-count // cell_rows)))
+    pool = distinct.select("doc_id", "unit", tx.seeded_key(42, F.col("doc_id")).alias("key"))
+    pool = pool.orderBy("key", "doc_id").limit(PIVOT_POOL).select("unit").toPandas()
+    if not len(pool):
+        return np.empty((0, 0))
+    units = np.stack(pool["unit"].to_numpy())
+    chosen, nearest = [0], units @ units[0]
+    for _ in range(min(wanted, len(units)) - 1):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, units @ units[chosen[-1]])
+    return units[chosen]
+
+
+def place_in_cells(distinct: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``cell``, the nearest pivot's number, and ``visits``, the later cells that may hold a similar vector.
+
+    A vector at angle r or less from its pivot and one within the threshold's angle t of it are at most t + r from
+    that pivot, so a cell of radius r that is further away than t + r holds no partner.
+    """
+    pivots = distinct.sparkSession.sparkContext.broadcast(_pivots(distinct, cell_rows))
+    reach = np.arccos(min(threshold, 1.0)) if threshold >= 0 else np.inf  # below 0 a zero vector would have partners
+
+    def angles(batch: pd.DataFrame) -> np.ndarray:
+        cos = np.nan_to_num(np.stack(batch["unit"].to_numpy()) @ pivots.value.T)
+        return np.arccos(np.clip(cos, -1.0, 1.0))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                away = angles(batch)
+                yield batch.assign(cell=away.argmin(axis=1).astype(np.int32), angle=away.min(axis=1))
+
+    near = pin(
+        distinct.select("doc_id", "copies", "unit").mapInPandas(
+            nearest, "doc_id bigint, copies bigint, unit array<double>, cell int, angle double"
+        )
+    )
+    # at most one row a pivot
+    radius = np.full(len(pivots.value), -np.inf)
+    for row in near.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
+        radius[row["cell"]] = row["radius"]
+
+    def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                open_cells = angles(batch) <= reach + radius + ANGLE_ERROR
+                later = np.arange(len(radius)) > batch["cell"].to_numpy()[:, None]
+                lists = [np.flatnonzero(row).astype(np.int32) for row in open_cells & later & np.isfinite(radius)]
+                yield batch.drop(columns="angle").assign(visits=lists)
+
+    return near.mapInPandas(
+        visiting, "doc_id bigint, copies bigint, unit array<double>, cell int, visits array<int>"
+    )
+
+
+def cell_loads(placed: DataFrame) -> DataFrame:
+    """Members, visitors and compared pairs of every cell, and the blocks that both are cut into."""
+    members = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
+    visitors = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
+    loads = members.join(visitors, "cell", "left").fillna({"visitors": 0})
+    own = F.col("members")
+    return loads.select(
+        "*",
+        (own * (own - 1) / 2 + own * F.col("visitors")).cast("bigint").alias("compared"),
+        F.ceil(own / BLOCK_ROWS).cast("int").alias("own_blocks"),
+        F.ceil(F.col("visitors") / BLOCK_ROWS).cast("int").alias("visit_blocks"),
+    )
+
+
+def similar_vector_links(
+    rows: DataFrame, threshold: float = 0.9, vector: str = "embedding", cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """``doc_id, rep_id, links``: the smallest row with the same vector, and how many other rows have a cosine above
+    ``threshold``. One row per row with a vector, copies included, however many pairs they would make."""
+    units = _units(rows, vector)
+    distinct = _distinct_units(units)
+    pairs = pin(_similar_units(distinct, threshold, cell_rows))
+    both = pairs.select(F.col("id_a").alias("rep_id"), F.col("copies_b").alias("n")).unionByName(
+        pairs.select(F.col("id_b").alias("rep_id"), F.col("copies_a").alias("n"))
+    )
+    linked = both.groupBy("rep_id").agg(F.sum("n").alias("others"))
+    own = F.when(vx.dot(F.col("unit"), F.col("unit")) > threshold, F.col("copies") - 1).otherwise(F.lit(0))
+    reps = distinct.select(F.col("doc_id").alias("rep_id"), F.col("copies"), own.alias("own"), _unit_key().alias("key"))
+    counted = pin(
+        reps.join(linked, "rep_id", "left").select(
+            "key", "rep_id", "copies", (F.col("own") + F.coalesce("others", F.lit(0))).alias("links")
+        )
+    )
+    keyed = units.select("doc_id", _unit_key().alias("key"))
+    return join_counts(keyed, counted, ["key"], n="copies").select("doc_id", "rep_id", "links")
+
+
+def _unit_key() -> Column:
+    # zeros of either sign are one value in a grouping
+    return F.md5(F.concat_ws(",", F.transform("unit", lambda x: (x + F.lit(0.0)).cast("string"))))

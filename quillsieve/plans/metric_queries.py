@@ -63,10 +63,11 @@ _SQL_MERGED = (
 )
 
 
-def _values(spark, sf):
+def _values(spark, sf, layer=None):
     rows = load(spark, sf, "events")
     side = F.when(F.col("event_type") == "click", "a").otherwise("b")
-    return rows.select((F.col("user_id") % 5).alias("layer"), F.col("value").alias("x"), side.alias("side"))
+    layer = F.col("user_id") % 5 if layer is None else layer
+    return rows.select(layer.alias("layer"), F.col("value").alias("x"), side.alias("side"))
 
 
 @query("wasserstein_1d", f"with {_SQL_MERGED} select layer, round(sum(gap * coalesce(dx, 0)), 9) as wasserstein from m group by layer")
@@ -88,7 +89,31 @@ _P_VALUE = (
     f"round({_P_VALUE}, 9) as p_value from z",
 )
 def q_ks_two_sample(spark, sf):
-    found = dist.two_sample_distances(_values(spark, sf))
+    found = dist.two_sample_distances(_values(spark, sf), exact_rows=0)
+    return _rounded(found, 9, "ks", "p_value").select("layer", "ks", "n_a", "n_b", "p_value")
+
+
+# Lane i of a list is the chance of having taken i - 1 values of the smaller sample after t steps, with the edge never reached.
+_SQL_PATHS = (
+    "k as (select layer, max(gap) as ks, max(ta)::bigint as n_a, max(tb)::bigint as n_b from m group by layer having max(gap) is not null), "
+    "p as (select layer, least(n_a, n_b) as m, greatest(n_a, n_b) as n, round(ks * n_a * n_b)::bigint as reach from k), "
+    "walk as (select layer, m, n, reach, 0::bigint as t, list_transform(range(m + 1), lambda i: case when i = 0 then 1.0::double else 0.0::double end) "
+    "as inside, 0.0::double as past from p union all select layer, m, n, reach, t + 1, list_transform(moved, lambda x, i: case when "
+    "abs((i - 1) * n - (t + 2 - i) * m) >= reach then 0.0::double else x end), past + list_sum(list_transform(moved, lambda x, i: case when "
+    "abs((i - 1) * n - (t + 2 - i) * m) >= reach then x else 0.0::double end)) from (select *, list_transform(list_zip(inside, "
+    "list_prepend(0.0::double, inside[:-2])), lambda z, i: (z[1] * (n - t + i - 1) + z[2] * (m - i + 2)) / (m + n - t)) as moved from walk "
+    "where t < m + n))"
+)
+
+
+@query(
+    "ks_exact",
+    f"with recursive {_SQL_MERGED.replace('user_id % 5', 'user_id')}, {_SQL_PATHS} select k.layer, round(ks, 9) as ks, n_a, n_b, "
+    "round(case when reach = 0 then 1.0::double else least(past, 1.0::double) end, 9) as p_value from k join walk w on w.layer = k.layer and w.t = w.m + w.n",
+)
+def q_ks_exact(spark, sf):
+    values = _values(spark, sf, F.col("user_id"))
+    found = dist.two_sample_distances(values).where(F.col("ks").isNotNull())
     return _rounded(found, 9, "ks", "p_value").select("layer", "ks", "n_a", "n_b", "p_value")
 
 
