@@ -14,6 +14,7 @@ from quillsieve.functions import text as tx
 from quillsieve.operators import generation as gen
 from quillsieve.operators import greedy, overlap, perplexity
 from quillsieve.operators import selection as sel
+from quillsieve.operators.ordering import global_index
 from quillsieve.session import pin
 
 ALIASES = {"most_similar": "prototype", "most_dissimilar": "most_different", "random": "random_sample"}
@@ -131,8 +132,7 @@ def _least_perplexity(r: Request) -> DataFrame:
 
 @strategy("zipf")
 def _zipf(r: Request) -> DataFrame:
-    chosen = sel.select_zipf(r.docs, r.per_dataset, r.words)
-    return _ids(sel.with_rows(chosen, r.docs.select("dataset", "doc_id")))
+    return _ids(sel.select_zipf(r.docs, r.per_dataset, r.words))
 
 
 STRATEGIES["shuffled_zipf"] = _zipf
@@ -160,6 +160,22 @@ def _generated(r: Request, name: str) -> DataFrame:
     return rows.select(F.lit(name).alias("dataset"), F.col("row_id").alias("doc_id"), F.col("row_id").cast("int").alias("rank"), "text")
 
 
+def _surrogates(docs: DataFrame) -> DataFrame:
+    """``dataset, doc_id, _row``: consecutive numbers in the order of ids, then datasets."""
+    named = docs.select("dataset", "doc_id").distinct()
+    return pin(global_index(named, [F.col("doc_id"), F.col("dataset")], name="_row"))
+
+
+def _with_surrogates(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``df`` with row numbers as ids and datasets that are never null."""
+    named = keys.select(F.col("dataset").alias("_dataset"), F.col("doc_id").alias("_doc_id"), "_row")
+    same = F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    joined = df.join(named, same)
+    # no name is like that of rows without one
+    known = F.when(F.col("dataset").isNull(), F.lit("none")).otherwise(F.concat(F.lit("in:"), F.col("dataset")))
+    return joined.withColumns({"dataset": known, "doc_id": F.col("_row")}).select(*df.columns)
+
+
 def prepare_selection(
     docs: DataFrame,
     name: str,
@@ -172,9 +188,9 @@ def prepare_selection(
 ) -> DataFrame:
     """``n`` rows (``dataset, doc_id, rank, text``) of a corpus of one or more datasets by a named strategy.
 
-    Each dataset has ids of its own: within the strategies a row's id is its id times the number of datasets plus its
-    dataset's place, so equal ids of different datasets stay apart and ties still go to the smaller id. Hooks are given
-    and give back the ids of the corpus.
+    Each dataset has ids of its own: within the strategies a row's id is its place in the order of ids and datasets, so
+    equal ids of different datasets stay apart and ties still go to the smaller id. Ids may be negative or of any size,
+    and rows without a dataset or an id count as those of one more. Hooks are given and give back the ids of the corpus.
 
     With several datasets every dataset gives ``n`` rows and a coreset of their union is kept: by herding
     for the strategies that match distributions, by farthest points otherwise.
@@ -187,26 +203,24 @@ def prepare_selection(
     # Generated rows are of plain words unless the caller names others.
     hooked = words
     words = tx.zipf_words(F.col("text")) if words is None else words
-    names = sorted(r[0] for r in docs.select("dataset").distinct().collect())
-    places = F.create_map(*[F.lit(x) for place, name in enumerate(names) for x in (name, place)]) if names else None
-
-    def packed(df: DataFrame) -> DataFrame:
-        return df.withColumn("doc_id", F.col("doc_id") * len(names) + places[F.col("dataset")]) if len(names) > 1 else df
+    seen = docs.select("dataset").distinct().limit(2).collect()
+    several = len(seen) > 1
+    keys = _surrogates(docs) if several or any(r[0] is None for r in seen) else None
 
-    def unpacked(df: DataFrame) -> DataFrame:
-        return df.withColumn("doc_id", F.expr(f"doc_id div {len(names)}")) if len(names) > 1 else df
+    def inner(df: DataFrame) -> DataFrame:
+        return df if keys is None else _with_surrogates(df, keys)
 
     if vectors is None:
         vectors = (embedder or (lambda d: hashed_vectors(d, words)))(docs)
     score = scorer or lm_scorer(words)
-    corpus, vectors = docs, packed(vectors)
-    docs = packed(docs)
+    corpus, vectors = docs, inner(vectors)
+    docs = inner(docs)
     if kind in GENERATED:
         bag = tx.plain_words(F.col("text")) if hooked is None and kind == "words_dataset" else words
         return _generated(Request(docs, n, n, bag, vectors, score, seed), kind)
-    request = Request(docs, n, n, words, vectors, lambda _: packed(score(corpus)), seed)
+    request = Request(docs, n, n, words, vectors, lambda _: inner(score(corpus)), seed)
     chosen = pin(STRATEGIES[kind](request))
-    if len(names) > 1:
+    if several:
         pool = sel.join_checked(vectors.select("dataset", "doc_id", "embedding"), chosen.select("dataset", "doc_id"), ["dataset", "doc_id"])
         core = greedy.resample(pool, n, kind in BY_HERDING)
         chosen = core.select("doc_id", "rank")
@@ -214,4 +228,7 @@ def prepare_selection(
     if kind in ("shuffled_zipf", "unique_tokens_shuffled"):
         shuffled = F.array_join(tx.shuffle_words(words, F.col("doc_id"), seed), " ")
         rows = rows.withColumn("text", shuffled)
-    return unpacked(rows.select("dataset", "doc_id", "rank", "text"))
+    if keys is None:
+        return rows.select("dataset", "doc_id", "rank", "text")
+    picked = rows.select(F.col("doc_id").alias("_row"), "rank", "text")
+    return sel.join_checked(keys, picked, ["_row"]).select("dataset", "doc_id", "rank", "text")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from quillsieve.operators.skew import join_checked, join_counts
 from quillsieve.session import pin
 
 DIGITS = 9
+LLOYD_STEPS = 20
 
 
 def with_rows(chosen: DataFrame, docs: DataFrame, on: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -44,7 +44,13 @@ def select_by_score(
 ) -> DataFrame:
     """The ``n`` highest (or lowest) scores, overall or per dataset; rows without a score are left out."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    return top_n(scored.where(F.col(score).isNotNull()), [order, F.col("doc_id")], n, keys)
+    ties = [F.col("doc_id"), *[F.col(c) for c in _dataset(scored) if c not in keys]]
+    return top_n(scored.where(F.col(score).isNotNull()), [order, *ties], n, keys)
+
+
+def _dataset(rows: DataFrame) -> list[str]:
+    """The dataset column, if there is one: ids are unique within it only."""
+    return [c for c in ("dataset",) if c in rows.columns]
 
 
 def mean_similarity(rows: DataFrame, keys: Sequence[str] = ("dataset",), vector: str = "embedding") -> DataFrame:
@@ -104,11 +110,15 @@ def select_distribution_matching(
 
 
 def rarity_of_rows(docs: DataFrame, words: Column | None = None) -> DataFrame:
-    """Sum over the distinct words of each document of one over the word's corpus count."""
+    """Sum over the distinct words of each document of one over the word's corpus count.
+
+    With a dataset column, equal ids of different datasets are different documents.
+    """
+    keys = [*_dataset(docs), "doc_id"]
     counts = pin(ct.rarity_scores(ct.word_counts(ct.token_rows(docs, words, keep=()))))
-    pairs = ct.token_rows(docs, words, distinct=True)
+    pairs = ct.token_rows(docs, words, keep=keys, distinct=True)
     scored = join_counts(pairs, counts, ["token"])
-    return scored.groupBy("doc_id").agg(F.round(F.sum("rarity"), DIGITS).alias("score"))
+    return scored.groupBy(*keys).agg(F.round(F.sum("rarity"), DIGITS).alias("score"))
 
 
 def select_zipf(docs: DataFrame, n: int, words: Column | None = None) -> DataFrame:
@@ -118,7 +128,7 @@ def select_zipf(docs: DataFrame, n: int, words: Column | None = None) -> DataFra
 
 def select_shuffled_zipf(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The rarity selection with the words of each chosen text in random order."""
-    chosen = with_rows(select_zipf(docs, n), docs)
+    chosen = with_rows(select_zipf(docs, n), docs, [*_dataset(docs), "doc_id"])
     words = tx.shuffle_words(tx.zipf_words(F.col("text")), F.col("doc_id"), seed)
     return chosen.withColumn("text", F.array_join(words, " "))
 
@@ -172,49 +182,91 @@ def centroid_split(rows: DataFrame, chosen: DataFrame, vector: str = "embedding"
     return ranked.withColumn("rank", F.when(F.col("part") == "tail", F.col("rank")))
 
 
-def incremental_sets(split: DataFrame, rows: DataFrame, step: int, seed: int = 42) -> DataFrame:
-    """Labelled growing sets: the inside rows alone, with the farthest tail rows, and with random rows.
+def incremental_intervals(split: DataFrame, rows: DataFrame, step: int, seed: int = 42) -> DataFrame:
+    """Growing sets as ``doc_id, series, added``: each row once with the size of the first set of a series that has it.
 
-    Both series grow by ``step`` rows until they have added as many as there are tail rows; the last step may be
-    smaller. Random rows are drawn from those that are not inside, so equal steps give sets of equal size.
+    Inside rows have no series and belong to all sets. The series ``tail`` adds the farthest tail rows, ``random`` seeded
+    random ones of the rows that are not inside, ``step`` rows at a time until as many are added as there are tail rows; the
+    last step may be smaller. ``set_members`` reads one set.
     """
     inside = split.where("part = 'inside'").select("doc_id")
-    tail = pin(split.where(F.col("part") == "tail").select("doc_id", "rank"))
+    tail = pin(split.where(F.col("part") == "tail").select("doc_id", F.col("rank").cast("bigint").alias("rank")))
     size = tail.count()
-    outside = rows.join(inside, "doc_id", "left_anti").withColumn("dataset", F.lit("all"))
-    chance = select_random(outside, size, seed).select("doc_id", "rank")
-    steps = -(-size // step)
-    grown = F.explode(F.sequence(F.ceil(F.col("rank") / step).cast("int"), F.lit(steps))).alias("_i")
+    keyed = rows.join(inside, "doc_id", "left_anti").select("doc_id", tx.seeded_key(seed, F.col("doc_id")).alias("_key"))
+    chance = global_index(keyed, [F.col("_key"), F.col("doc_id")], name="rank", start=1).where(F.col("rank") <= size)
 
-    def added(i: Column) -> Column:
-        return F.least(i * step, F.lit(size)).cast("string")
+    def series(extra: DataFrame, name: str) -> DataFrame:
+        added = F.least(F.ceil(F.col("rank") / step) * step, F.lit(size)).cast("bigint")
+        return extra.select("doc_id", F.lit(name).alias("series"), added.alias("added"))
 
-    def labelled(extra: DataFrame, name: str) -> DataFrame:
-        return extra.select("doc_id", grown).select("doc_id", F.concat(F.lit(f"{name}_add_"), added(F.col("_i"))).alias("label"))
+    base = inside.select("doc_id", F.lit(None).cast("string").alias("series"), F.lit(0).cast("bigint").alias("added"))
+    return base.unionByName(series(tail, "tail")).unionByName(series(chance, "random"))
 
-    def names(name: str) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.concat(F.lit(f"{name}_add_"), added(i)))
+
+def set_members(intervals: DataFrame, series: str | None = None, added: int = 0) -> DataFrame:
+    """The rows of one set: the inside rows and those that ``series`` has added up to this size."""
+    held = (F.col("series") == series) & (F.col("added") <= added) if series else F.lit(False)
+    return intervals.where(F.col("series").isNull() | held).select("doc_id")
+
+
+def incremental_sets(split: DataFrame, rows: DataFrame, step: int, seed: int = 42) -> DataFrame:
+    """The sets of ``incremental_intervals`` written out: ``doc_id, label`` with a row for every set that has the row.
+
+    That is every inside row once per set, so the output grows with the number of sets; the intervals do not.
+    """
+    held = pin(incremental_intervals(split, rows, step, seed))
+    size = held.where("series = 'tail'").count()
+    steps = -(-size // step)
+
+    def labels(name: str, first: Column | int) -> Column:
+        grown = F.sequence(F.lit(first) if isinstance(first, int) else first, F.lit(steps))
+        added = F.transform(grown, lambda i: F.least(i * step, F.lit(size)).cast("string"))
+        return F.transform(added, lambda a: F.concat(F.lit(f"{name}_add_"), a))
 
     alone = F.array(F.lit("intersection"))
-    labels = F.concat(alone, names("tail"), names("random")) if steps else alone
-    base = inside.select("doc_id", F.explode(labels).alias("label"))
-    return base.union(labelled(tail, "tail")).union(labelled(chance, "random"))
-
-
-def cluster_representatives(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
-    """One row per k-means cluster: the one nearest to its center."""
-    narrow = pin(rows.select("doc_id", vector))  # each iteration of the fit reads it again
-    featured = narrow.withColumn("features", array_to_vector(vx.as_doubles(F.col(vector))))
-    model = KMeans(k=k, seed=seed).fit(featured)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    assigned = model.transform(featured).select(
-        "doc_id",
-        "prediction",
-        F.round(vx.squared_distance(F.col(vector), F.element_at(centers, F.col("prediction") + 1)), DIGITS).alias("d"),
-    )
+    every = F.concat(alone, labels("tail", 1), labels("random", 1)) if steps else alone
+    whole = held.where("series is null").select("doc_id", F.explode(every).alias("label"))
+    for name in ("tail", "random") if steps else ():
+        first = F.ceil(F.col("added") / step).cast("int")
+        whole = whole.union(held.where(F.col("series") == name).select("doc_id", F.explode(labels(name, first))))
+    return whole
+
+
+def cluster_representatives(
+    rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding", steps: int = LLOYD_STEPS
+) -> DataFrame:
+    """One row per k-means cluster: the one nearest to its center, and the cluster's size.
+
+    The first centers are ``k`` distinct vectors in seeded order. Each step reads the rows once: they go to the nearest
+    center (ties to the smaller number) and sums per center are shuffled, nothing else. Centers and distances are rounded
+    to ``DIGITS``, so the result does not depend on partitions. It ends early when no center moves; a center that lost
+    all its rows stays where it is and has no representative. Rows without a vector are left out.
+    """
+    narrow = pin(rows.select("doc_id", vx.as_doubles(F.col(vector)).alias("v")).where(F.col("v").isNotNull()))
+    firsts = narrow.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+    firsts = firsts.orderBy(tx.seeded_key(seed, F.col("doc_id")), "doc_id").limit(k).select("v")
+    centers = [list(r["v"]) for r in firsts.collect()]
+    if not centers:
+        return narrow.select(F.lit(0).cast("bigint").alias("cluster"), "doc_id", F.lit(0).cast("bigint").alias("members"))
+
+    def assigned() -> DataFrame:
+        # k centers as one constant instead of an expression per number
+        fixed = F.from_json(F.lit(json.dumps(centers)), "array<array<double>>")
+        away = F.transform(fixed, lambda c: F.round(vx.squared_distance(F.col("v"), c), DIGITS))
+        near = narrow.withColumn("_away", away).withColumn("d", F.array_min("_away"))
+        return near.withColumn("cluster", F.array_position("_away", F.col("d")) - 1).drop("_away")
+
+    for _ in range(steps):
+        means = assigned().groupBy("cluster").agg(vx.mean_vector(F.col("v")).alias("m"))
+        rounded = means.select("cluster", F.transform("m", lambda x: F.round(x, DIGITS)).alias("m"))
+        moved = {r["cluster"]: list(r["m"]) for r in rounded.collect()}
+        after = [moved.get(c, center) for c, center in enumerate(centers)]
+        if after == centers:
+            break
+        centers = after
     nearest = F.min(F.struct("d", "doc_id"))
-    return assigned.groupBy("prediction").agg(nearest.alias("m"), F.count(F.lit(1)).alias("members")).select(
-        F.col("prediction").alias("cluster"), F.col("m.doc_id").alias("doc_id"), "members"
+    return assigned().groupBy("cluster").agg(nearest.alias("m"), F.count(F.lit(1)).alias("members")).select(
+        "cluster", F.col("m.doc_id").alias("doc_id"), "members"
     )
 
 

@@ -16,6 +16,7 @@ from quillsieve.plans.tables import (
     SQL_COUNTS,
     SQL_TOKENS,
     SQL_UNITS,
+    SQL_VECTORS,
     documents,
     sql_plain_words,
     vectors,
@@ -296,9 +297,45 @@ def q_incremental_sets(spark, sf):
     return sel.incremental_sets(pin(split), rows, 25)
 
 
-@query("cluster_representatives")
+@query(
+    "incremental_intervals",
+    f"with {_SQL_SPLIT}, size as (select count(*) as t from ranked where part = 'tail'), chance as (select doc_id, row_number() over (order by "
+    "md5('42:' || doc_id), doc_id) as rank from ranked where part = 'tail'), grown as (select doc_id, 'tail' as series, rank from ranked where "
+    "part = 'tail' union all select doc_id, 'random', rank from chance) select doc_id, null::varchar as series, 0::bigint as added from ranked "
+    "where part = 'inside' union all select doc_id, series, least((rank + 24) // 25 * 25, t)::bigint from grown, size",
+)
+def q_incremental_intervals(spark, sf):
+    split, rows = _split(spark, sf)
+    return sel.incremental_intervals(pin(split), rows, 25)
+
+
+def _sql_clusters(k: int, steps: int) -> str:
+    parts = [
+        SQL_VECTORS,
+        "firsts as (select embedding as v, min(doc_id) as doc_id from vecs group by embedding)",
+        "c0 as materialized (select row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as c, v from firsts qualify c "
+        f"< {k})",
+    ]
+    distance = "round(list_sum(list_transform(list_zip(embedding, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+    for i in range(steps + 1):
+        parts.append(
+            f"a{i} as materialized (select doc_id, embedding, c, d from (select doc_id, embedding, c, {distance} as d from vecs, c{i}) "
+            "qualify row_number() over (partition by doc_id order by d, c) = 1)"
+        )
+        parts.append(
+            f"m{i} as (select c, list(m order by dim) as m from (select c, dim, round(avg(x), 9) as m from (select c, unnest(range(len("
+            f"embedding))) as dim, unnest(embedding) as x from a{i}) group by c, dim) group by c)"
+        )
+        parts.append(f"c{i + 1} as materialized (select c, coalesce(m, v) as v from c{i} left join m{i} using (c))")
+    return (
+        "with " + ", ".join(parts) + f", sizes as (select c, count(*) as members from a{steps} group by c) select c::bigint as cluster, doc_id, "
+        f"members::bigint as members from a{steps} join sizes using (c) qualify row_number() over (partition by c order by d, doc_id) = 1"
+    )
+
+
+@query("cluster_representatives", _sql_clusters(10, 4))
 def q_cluster_representatives(spark, sf):
-    return sel.cluster_representatives(vectors(spark, sf), 10)
+    return sel.cluster_representatives(vectors(spark, sf), 10, steps=4)
 
 
 @query(

@@ -43,6 +43,55 @@ def test_equal_ids_stay_apart(two_sets, name):
         assert r.text == texts[r.dataset, r.doc_id] or shuffled and sorted(r.text.split()) == sorted(texts[r.dataset, r.doc_id].split())
 
 
+@pytest.mark.parametrize("name", ["random_sample", "most_similar", "herding", "zipf", "unique_tokens", "least_perplexity"])
+def test_ids_of_any_size_and_rows_without_a_dataset(spark, name):
+    ids = [-(2**63), -3, 0, 2**63 - 1]
+    rows = [(d, i, f"{d} {i} shared words w{i % 7}") for d in ("first", None) for i in ids]
+    docs = spark.createDataFrame(rows, "dataset string, doc_id bigint, text string")
+    out = dispatch.prepare_selection(docs, name, 8).collect()
+    assert {(r.dataset, r.doc_id, r.text) for r in out} <= {tuple(r) for r in rows}
+    assert len(out) == 8
+    alone = docs.where("dataset is null")
+    found = dispatch.prepare_selection(alone, name, 3).collect()
+    assert len(found) == 3 and all(r.dataset is None and r.doc_id in ids for r in found)
+
+
+def test_rarity_keeps_datasets_apart(two_sets):
+    found = sel.select_zipf(two_sets, 100).collect()
+    assert len(found) == len({(r.dataset, r.doc_id) for r in found}) == two_sets.count()
+    shuffled = sel.select_shuffled_zipf(two_sets, 100).collect()
+    texts = {(r.dataset, r.doc_id): sorted(r.text.lower().split()) for r in two_sets.collect()}
+    assert {(r.dataset, r.doc_id): sorted(r.text.split()) for r in shuffled} == texts
+
+
+def test_clusters_do_not_depend_on_partitions(spark):
+    rows = [(i, [float(i % 3) * 10 + i / 100, float(i % 3)]) for i in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    one = sorted(sel.cluster_representatives(docs.coalesce(1), 3).collect())
+    assert one == sorted(sel.cluster_representatives(docs.repartition(7, "doc_id"), 3).collect())
+    assert sorted(r.members for r in one) == [20, 20, 20]
+    assert sorted(r.doc_id % 3 for r in one) == [0, 1, 2]
+    assert all(27 <= r.doc_id <= 32 for r in one)
+    assert len(sel.cluster_representatives(docs.where("doc_id < 2"), 3).collect()) == 2
+    assert sel.cluster_representatives(docs.where("doc_id < 0"), 3).count() == 0
+
+
+def test_sets_read_from_intervals(spark):
+    split = spark.createDataFrame(
+        [(i, "inside" if i < 4 else "tail", None if i < 4 else i - 3) for i in range(11)], "doc_id bigint, part string, rank bigint"
+    )
+    held = sel.incremental_intervals(split, split, 3)
+    assert held.count() == 4 + 2 * 7
+    labelled = {}
+    for r in sel.incremental_sets(split, split, 3).collect():
+        labelled.setdefault(r.label, set()).add(r.doc_id)
+    for label, members in labelled.items():
+        series, _, added = label.partition("_add_")
+        got = sel.set_members(held, series, int(added)) if added else sel.set_members(held)
+        assert {r.doc_id for r in got.collect()} == members
+    assert set(labelled) == {"intersection", *[f"{s}_add_{n}" for s in ("tail", "random") for n in (3, 6, 7)]}
+
+
 def test_words_hook_reaches_generated_rows(two_sets):
     letters = F.filter(F.split("text", ""), lambda c: F.trim(c) != "")
     for name in ("random_words", "words_dataset", "dictionary"):
