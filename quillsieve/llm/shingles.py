@@ -1,14 +1,48 @@
-"""Word shingles as 64-bit hashes, over many texts at once with numpy."""
+"""Word shingles as 64-bit hashes, over many texts at once with numpy.
+
+A word is a run of Unicode letters, digits and the marks that combine with them, lower case; everything else parts words. In
+scripts that are written without spaces every letter, with its marks, is a word.
+"""
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 import numpy as np
+import regex
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Bytes that belong to a word: letters and digits, and every byte of a character beyond ASCII.
-_WORD_BYTE = np.array([bytes([b]).isalnum() or b >= 0x80 for b in range(256)])
+# Scripts written without spaces between words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_LETTER, _SINGLE, _MARK = 1, 2, 3
+
+
+@cache
+def _classes() -> np.ndarray:
+    """By code point: 0 parts words, else a letter or digit, a letter that is a word, or a mark."""
+    out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    points = "".join(chr(c) for c in range(sys.maxunicode + 1))
+    scripts = "".join(rf"\p{{{script}}}" for script in UNSPACED)
+    for kind, pattern in ((_LETTER, r"[\p{L}\p{N}]+"), (_SINGLE, rf"(?V1)[[\p{{L}}\p{{N}}]&&[{scripts}]]+"), (_MARK, r"\p{M}+")):
+        for found in regex.finditer(pattern, points):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def _word_edges(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop in a stream of code points."""
+    kind = _classes()[stream]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]]) if len(kind) else kind
+    # the kind of the last character before that is not a mark tells whether a word of one letter has just ended
+    place = np.where(before != _MARK, np.arange(len(kind)), 0)
+    base = before[np.maximum.accumulate(place)] if len(kind) else kind
+    starts = (kind > 0) & ((before == 0) | (kind == _SINGLE) | ((kind == _LETTER) & (base == _SINGLE)))
+    after = np.concatenate([kind[1:], np.zeros(1, np.uint8)]) if len(kind) else kind
+    follows = np.concatenate([starts[1:], np.zeros(1, bool)]) if len(kind) else starts
+    return np.flatnonzero(starts), np.flatnonzero((kind > 0) & ((after == 0) | follows)) + 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +70,12 @@ class Words:
 
     def __init__(self, texts: list[str]):
         # a line feed ends each text, so no word reaches into the next one
-        data = [t.lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
-        stream = np.frombuffer(b"".join(data), dtype=np.uint8)
+        data = [t.lower() + "\n" for t in texts]
+        stream = np.frombuffer("".join(data).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum([len(d) for d in data])
-        inside = _WORD_BYTE[stream]
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
-        starts, stops = edge[0::2], edge[1::2]
+        starts, stops = _word_edges(stream)
         with np.errstate(over="ignore"):
-            # hash of a word: the sum of byte * odd ** (place in the word), from sums over the whole stream
+            # hash of a word: the sum of code point * odd ** (place in the word), from sums over the whole stream
             up = _powers(int(_ODD), len(stream))
             total = np.zeros(len(stream) + 1, dtype=np.uint64)
             np.cumsum((stream.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+
+
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+WORD = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]&&{UNSPACED}]\p{{M}}*|(?:\p{{M}}|[[\p{{L}}\p{{N}}]--{UNSPACED}])+")
+
 
 def runs(text: str, width: int = 5) -> Counter:
-    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())
+    words = WORD.findall(text.lower())
     if not words:
         return Counter()
     if len(words) < width:
