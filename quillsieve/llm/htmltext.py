@@ -74,6 +74,9 @@ MARKS = frozenset(
     "copyright legal tags skip hidden".split()
 )
 MARK_STARTS = ("advert", "sponsor", "comment", "sidebar", "navig", "breadcrumb", "cookie", "newsletter", "related")
+# Names of the readers' part of a page, and words beside them that only tell a setting of the page.
+COMMENTS = re.compile(r"comments?|comment(list|area|section|box|thread|threads|form|body|wrapper|container|block)|disqus|responses|replies|respond")
+SETTINGS = frozenset("has no with without open closed enabled disabled allowed allow off on show hide status count page".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_MARKS = frozenset("article articlebody content post entry story maincontent".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -123,12 +126,15 @@ class _Element:
 
 
 class _Doubt:
-    """A marked element: ``whole`` if a class or id is nothing but the mark, ``holds`` with an article, main or h1 in it."""
+    """A marked element: ``whole`` if a class or id is nothing but the mark, ``holds`` with an article, main or h1 in it.
 
-    __slots__ = ("holds", "whole")
+    ``comments`` are the readers', however long, unless nothing outside of them holds an article.
+    """
+
+    __slots__ = ("comments", "holds", "whole")
 
-    def __init__(self, whole: bool):
-        self.whole, self.holds = whole, False
+    def __init__(self, whole: bool, comments: bool):
+        self.whole, self.comments, self.holds = whole, comments, False
 
 
 class _Block:
@@ -143,6 +149,15 @@ def _marked(token: str) -> bool:
     return token != "header" and (token in MARKS or (token.isalnum() and token.startswith(MARK_STARTS)))
 
 
+def _comments(tokens: list[str]) -> bool:
+    """Whether a class or id names readers' comments and not a setting of the page."""
+    for token in tokens:
+        parts = _WORDS.findall(token)
+        if any(COMMENTS.fullmatch(p) for p in parts) and not SETTINGS.intersection(parts):
+            return True
+    return False
+
+
 def _opened(name: str, attributes: dict[str, str], above: _Element) -> _Element:
     """The element that an opening tag makes below ``above``."""
     named = _CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
@@ -167,9 +182,11 @@ def _opened(name: str, attributes: dict[str, str], above: _Element) -> _Element:
         for doubt in doubts:
             doubt.holds = True
     signs = any((m in MARKS and m != "header") or m.startswith(MARK_STARTS) for m in marks)
-    if name == "form" or (signs and name not in ("body", "html")):
-        whole = any(_marked(t) for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
-        doubt = _Doubt(whole)
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    comments = _comments(_CAMEL.sub("-", tokens).lower().split())
+    if name == "form" or ((signs or comments) and name not in ("body", "html")):
+        whole = any(_marked(t) for t in tokens.lower().split())
+        doubt = _Doubt(whole, comments and name not in ("body", "html"))
         doubt.holds = name in ("article", "main")
         doubts = (*doubts, doubt)
     inline = name in INLINE
@@ -183,6 +200,7 @@ def page_blocks(page: str) -> list[_Block]:
     stack, blocks = [root], []
     pieces: list[str] = []
     linked = 0
+    outside = False  # an article, main or h1 that no comments hold
     quotes = _Quotes(page)
 
     def text_of(piece: str) -> None:
@@ -276,6 +294,8 @@ def page_blocks(page: str) -> list[_Block]:
                 lowest -= 1
             close(lowest)
         element = _opened(name, _attributes(source), stack[-1])
+        if name in ("article", "main", "h1") and not element.out:
+            outside = outside or not any(d.comments for d in element.doubts)
         if not element.inline:
             flush()
         if name in RAW:
@@ -289,6 +309,7 @@ def page_blocks(page: str) -> list[_Block]:
             stack.append(element)
     del stack[1:]
     flush()
+    blocks = [b for b in blocks if not any(d.comments and (outside or not d.holds) for d in b.doubts)]
     return _undoubted(_undoubted(blocks, True), False)
 
 
