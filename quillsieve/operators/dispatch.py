@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text as tx
 from quillsieve.operators import generation as gen
-from quillsieve.operators import greedy, overlap, perplexity
+from quillsieve.operators import greedy, overlap, perplexity, set_bounds
 from quillsieve.operators import selection as sel
 from quillsieve.operators.ordering import global_index
 from quillsieve.session import pin
@@ -112,12 +112,12 @@ def _decoupled(r: Request) -> DataFrame:
 
 @strategy("prototype_iou")
 def _iou(r: Request) -> DataFrame:
-    return _ids(overlap.select_iou(r.docs, r.per_dataset, False, r.words, ["dataset"]))
+    return _ids(set_bounds.select_iou(r.docs, r.per_dataset, False, r.words, ["dataset"]))
 
 
 @strategy("most_different_iou")
 def _different_iou(r: Request) -> DataFrame:
-    return _ids(overlap.select_iou(r.docs, r.per_dataset, True, r.words, ["dataset"]))
+    return _ids(set_bounds.select_iou(r.docs, r.per_dataset, True, r.words, ["dataset"]))
 
 
 # Vectors here are pooled already, so the pooled variants select as the plain ones do.

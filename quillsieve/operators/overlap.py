@@ -125,18 +125,11 @@ def mean_multiset_overlap(
     return scored.select("doc_id", *by, F.round(ratio, DIGITS).alias("score"))
 
 
-def select_iou(
-    docs: DataFrame, n: int, different: bool = False, words: Column | None = None, keys: Sequence[str] = ()
-) -> DataFrame:
-    """The rows whose word sets overlap most (or least) with the corpus, or with their dataset."""
-    return select_by_score(mean_overlap(token_sets(docs, words, keys), None, keys), n, different, keys)
-
-
 def select_iou_multiset(
     docs: DataFrame, n: int, different: bool = False, union: float = MULTISET_UNION,
     words: Column | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The same by word occurrences, over a fixed union size."""
+    """The rows whose word occurrences overlap most (or least) with the corpus, or their dataset, over a fixed union size."""
     return select_by_score(mean_multiset_overlap(docs, union, words, keys), n, different, keys)
 
 
