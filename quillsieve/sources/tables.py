@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillsieve.operators.skew import join_checked
+from quillsieve.session import pin
+
 # Column names of result files that come without a header.
 BASELINE_COLUMNS = ("task", "metric", "value", "model", "pruning_type", "sampling", "nsamples", "sparsity", "datasets")
 RESULT_PATH = r"/([^/]+)/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+# A field of a line and what ends it; quoted fields may hold commas and quotes after a backslash.
+FIELD = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"(?=,|$)|[^,]*+)(?:,|$)'
 PATH_COLUMNS = ("model", "method", "nsamples", "dataset")
 
 
@@ -28,45 +33,43 @@ def read_results_csv(spark: SparkSession, path: str, names: Sequence[str] | None
     return rows.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
+def _fields(line: Column) -> Column:
+    """The fields of a line, without quotes and blanks around them; what is empty and not quoted is null."""
+
+    def value(field: Column) -> Column:
+        quoted = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('\\"'), F.lit('"'))
+        return F.trim(F.when(field.startswith('"'), quoted).otherwise(F.nullif(field, F.lit(""))))
+
+    return F.transform(F.regexp_extract_all(line, F.lit(FIELD), F.lit(1)), value)
+
+
 def scan_result_tree(
     spark: SparkSession, root: str, needed: Sequence[str] = ("model", "task", "metric", "original_value")
 ) -> DataFrame:
     """First value of every (model, task, metric) over all result files below ``root`` that have the columns.
 
-    Files come in order of their path, rows in order of their place in the file. One pass finds the header
-    of each file; files with the same header are read together.
+    Files come in order of their path, rows in order of their place in the file. Each file's first line says where its columns
+    are; lines are split into fields and meet the places of their file in a join, so files of any number of layouts take
+    one plan, and no header or path reaches the driver. A file that lacks a column is left out.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-        .where("start = 0")
         .withColumn("line", F.monotonically_increasing_id())
     )
-    headers = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    known: dict[str, list[str]] = {}
-    for row in headers.collect():
-        known.setdefault(row["header"], []).append(row["path"])
-    parts = []
-    for header, paths in sorted(known.items()):
-        names = [c.strip().strip('"') for c in header.split(",")]
-        if not set(needed) <= set(names):
-            continue
-        rows = spark.read.schema(_strings(names)).option("header", "true").option("enforceSchema", "true").csv(sorted(paths))
-        rows = rows.select(
-            *[F.trim(F.col(f"`{c}`")).alias(c) for c in needed],
-            F.struct(
-                F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias("place"),
-        )
-        parts.append(rows)
-    if not parts:
+    headers = pin(lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header")))
+    named = headers.select("path", _fields(F.col("header")).alias("names"))
+    places = named.select("path", *[F.array_position("names", c).cast("int").alias(f"at{i}") for i, c in enumerate(needed)])
+    places = pin(places.where(F.least(*[F.coalesce(f"at{i}", F.lit(0)) for i in range(len(needed))], F.lit(1)) > 0))
+    if places.isEmpty():
         raise FileNotFoundError(f"no result file below {root} has the columns {list(needed)}")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    found = join_checked(lines.withColumn("fields", _fields(F.col("value"))), places, ["path"], pinned=True)
+    whole = found.select(
+        *[F.get("fields", F.col(f"at{i}") - 1).alias(c) for i, c in enumerate(needed)],
+        F.struct("path", "start", "line").alias("place"),
+    )
     value = needed[-1]
+    # a header's own last name is no number, so header lines go with the rows without one
     kept = whole.withColumn(value, F.col(value).try_cast("double")).dropna(subset=[value])
     return kept.groupBy(*needed[:-1]).agg(F.min_by(value, "place").alias(value))
 
