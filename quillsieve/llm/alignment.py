@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.arrow import slices, worker_memo
+from quillsieve.llm.arrow import give_back, slices, worker_memo
 from quillsieve.llm.bpe import byte_letters
 from quillsieve.operators.skew import join_checked
 from quillsieve.session import pin
@@ -35,7 +35,7 @@ from quillsieve.session import pin
 #: Pairs beside those of the same bytes whose counts are broadcast: 24 bytes each.
 HEAVY = 500_000
 #: Code points of documents whose parts are aligned together.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Different pairs that a task holds before it passes them on.
 HELD_PAIRS = 2_000_000
 #: A pair of ids is one number: A's id above, B's id in the low bits.
@@ -144,6 +144,7 @@ class Aligner:
             of_a, of_b = ([own if ok else [] for own, ok in zip(of, good, strict=True)] for of in (of_a, of_b))
         n_a, n_b = (np.array([len(own) for own in of], np.int64) for of in (of_a, of_b))
         ids_a, ids_b = (np.array([i for own in of for i in own], np.int64) for of in (of_a, of_b))
+        del data, of_a, of_b
         # the parts lie one after the other, so a token's last byte tells its part and its group
         ends_a, ends_b = np.cumsum(self.bytes_a[ids_a]), np.cumsum(self.bytes_b[ids_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -265,12 +266,17 @@ def _counted(id_col: str, kind: str, id_type: pa.DataType, make: Callable[[], Al
                 row = {c: [v.tobytes()] for c, v in arrays.items()} | {"sha": [sha], "slice": [number]}
                 yield batch(row | {id_col: pa.array([rows.column(0).to_pylist()], pa.list_(id_type))})
                 number += 1
+                # what a slice needed goes back before the next one, so that peaks do not stay with the worker
+                del index, by_doc, parts, groups, sha, at, doc_ends, stats, alone_times, arrays, row
+                give_back()
         pairs, n = merged()
         ids = np.flatnonzero(alone_counts)
         pairs = np.concatenate([pairs, ids << B_BITS | aligner.same[ids]])
         n = np.concatenate([n, alone_counts[ids].astype(np.int64)])
         keep = n > 0
         yield batch({"pair": pairs[keep], "n": n[keep]})
+        held.clear()
+        give_back()
 
     schema = [f"`{id_col}` array<{kind}>", "pair bigint", "n bigint", "slice bigint", *[f"{c} {t}" for c, t in _SLICE.items()]]
     order = ["pair", "n", "slice", id_col, *_SLICE]
@@ -323,6 +329,9 @@ def _scored(id_col: str, kind: str, id_type: pa.DataType, shared):
                     which = number[np.repeat(ends[at], times) + within]
                     each, n = np.unique(np.repeat(doc, times) * len(pairs) + which, return_counts=True)
                     yield batch({"row": row[each // len(pairs)], "pair": pairs[each % len(pairs)], "times": n})
+                    del number, doc, times, within, which, each, n
+                del s, read, at, alone, alone_n, alone_best, found, pair_n, pair_best, total, highest, row, values
+                give_back()
 
     types = {"row": "bigint", "pair": "bigint", "times": "bigint", id_col: kind, "groups_sha256": "string"}
     return run, ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in columns)

@@ -7,6 +7,7 @@ import ctypes.util
 import sys
 import types
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import Any
 
 import pyarrow as pa
@@ -26,11 +27,15 @@ def worker_memo(name: str) -> dict:
     return vars(box).setdefault(name, {})
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
+
+
 def give_back() -> None:
     """Hands memory that a task no longer uses back to the system: workers live on beside those of later stages."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
-    if trim is not None:
+    if (trim := _trim()) is not None:
         trim(0)
 
 
