@@ -107,8 +107,8 @@ def q_decode_ids(spark, sf):
     "md5(string_agg(gram, '|' order by gram)) as digest from grams group by doc_id",
 )
 def q_ngrams(spark, sf):
-    grams = tx.ngrams(tx.zipf_words(F.col("text")), 3)
-    listed = documents(spark, sf).select("doc_id", grams.alias("grams"))
+    docs = documents(spark, sf).select("doc_id", tx.once(tx.zipf_words(F.col("text"))).alias("words"))
+    listed = docs.select("doc_id", tx.once(tx.ngrams(F.col("words"), 3)).alias("grams"))
     return listed.where(F.size("grams") > 0).select(
         "doc_id",
         F.size("grams").cast("bigint").alias("n_grams"),
@@ -123,7 +123,7 @@ def q_ngrams(spark, sf):
 )
 def q_shuffle_words(spark, sf):
     words = tx.shuffle_words(tx.zipf_words(F.col("text")), F.col("doc_id"))
-    docs = documents(spark, sf).select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    docs = documents(spark, sf).select("doc_id", tx.once(words).alias("words")).where(F.size("words") > 0)
     return docs.select("doc_id", F.size("words").cast("bigint").alias("n_words"), _digest(F.col("words")).alias("digest"))
 
 
