@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillsieve.operators.selection import DIGITS
-from quillsieve.operators.skew import join_counts
+from quillsieve.operators.skew import BROADCAST_ROWS, HOT_SHARE, join_counts
 from quillsieve.session import pin
 
 
+# Words with fewer than one in this many occurrences are joined by a shuffle; the others, at most so many, are broadcast.
+WORD_SHARE = 200_000
+
+
 @dataclass
 class BigramModel:
-    """Counts of a training corpus: bigrams (``a, b, n_ab``), followed words (``a, n_a``) and distinct words."""
+    """A training corpus: its bigrams (``pair_counts``), how often words stand (``n``) and are followed (``n_a``), distinct words."""
 
     pairs: DataFrame
     starts: DataFrame
@@ -23,39 +28,83 @@ class BigramModel:
 
 
 def pair_counts(rows: DataFrame, keys: Sequence[str] = ("doc_id",), words: str = "words") -> DataFrame:
-    """``keys, a, b, c``: each row's bigrams with how often they occur; its last word has a null neighbour.
+    """``keys, a, b, c``: each row's bigrams in order, ``c`` is 1; its last word has a null neighbour.
 
-    The texts are read once: the model and the scores of the same rows both come from this table.
+    The texts are read once and kept as arrays of 64-bit hashes of their words, from which the model and the scores of the
+    same rows are made. Hashes that are given as ``words`` are taken as they are.
     """
-    shifted = F.slice(F.col(words), 2, F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    flat = rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.a", "p.b")
-    return pin(flat.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("c")))
+    hashed = F.col(words)
+    if not rows.schema[words].dataType.simpleString() == "array<bigint>":
+        hashed = F.transform(hashed, lambda w: F.xxhash64(w))
+    kept = pin(rows.select(*keys, hashed.alias("words")))
+    shifted = F.slice("words", 2, F.greatest(F.size("words"), F.lit(1)))
+    flat = kept.select(*keys, F.explode(F.arrays_zip(F.col("words").alias("a"), shifted.alias("b"))).alias("p"))
+    return flat.select(*keys, "p.a", "p.b", F.lit(1).cast("bigint").alias("c"))
 
 
 def train(pairs: DataFrame) -> BigramModel:
     """The model of the rows whose ``pair_counts`` are given."""
-    counted = pin(pairs.groupBy("a", "b").agg(F.sum("c").alias("n_ab")))
-    followed = F.when(F.col("b").isNotNull(), F.col("n_ab")).otherwise(0)
-    starts = pin(counted.groupBy("a").agg(F.sum(followed).alias("n_a")))
-    return BigramModel(counted.where("b is not null"), starts, starts.count())
+    followed = F.when(F.col("b").isNotNull(), F.col("c")).otherwise(0)
+    starts = pin(pairs.groupBy("a").agg(F.sum("c").alias("n"), F.sum(followed).alias("n_a")))
+    return BigramModel(pairs, starts, starts.count())
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.where("b is not null").groupBy("a", "b").agg(F.sum("c").alias("n_ab"))
 
 
 def pair_nll(pairs: DataFrame, model: BigramModel) -> DataFrame:
     """``a, b, n, nll`` of the distinct bigrams of ``pairs``; ``n`` is how many rows of ``pairs`` have it.
 
-    A bigram that the model has not seen counts as seen zero times, and so does its first word.
+    A bigram that the model has not seen counts as seen zero times, and so does its first word. Only these bigrams are
+    counted in the model's corpus if they are few enough to be broadcast.
     """
     own = pin(pairs.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    firsts = own.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(model.starts, "a", "left")
-    known = own.join(model.pairs, ["a", "b"], "left")
+    trained = model.pairs
+    if own.count() <= BROADCAST_ROWS:
+        trained = trained.join(F.broadcast(own.select("a", "b")), ["a", "b"], "left_semi")
+    firsts = own.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(model.starts.select("a", "n_a"), "a", "left")
+    known = own.join(_counted(trained), ["a", "b"], "left")
     with_starts = join_counts(known, pin(firsts.select("a", F.col("n").alias("m"), "n_a")), ["a"], n="m")
     seen, after = F.coalesce("n_ab", F.lit(0)) + 1, F.coalesce("n_a", F.lit(0)) + F.lit(model.vocabulary)
     return pin(with_starts.select("a", "b", "n", (-F.log(F.try_divide(seen, after))).alias("nll")))
 
 
+def _own_nll(model: BigramModel, keys: Sequence[str]) -> DataFrame:
+    """``mean_nll`` of the model's own rows.
+
+    A row's sum falls into logarithms of counts of its bigrams and of counts of their first words. Each bigram is shuffled
+    once, by its words, and counted where it arrives; frequent ones, and frequent words, are looked up in a broadcast.
+    """
+    pairs = model.pairs.where("b is not null")
+    total = model.starts.agg(F.sum("n")).first()[0] or 0
+    # a bigram is as frequent as its words at most; no more than HOT_SHARE are left
+    often = model.starts.where(F.col("n") * HOT_SHARE >= total)
+    both = pairs.join(F.broadcast(often.select("a")), "a", "left_semi")
+    both = both.join(F.broadcast(often.select(F.col("a").alias("b"))), "b", "left_semi")
+    hot = pin(_counted(both).where(F.col("n_ab") * HOT_SHARE >= total))
+    frequent = model.starts.where(F.col("n") * WORD_SHARE >= total)
+    rare = model.starts.where(F.col("n") * WORD_SHARE < total)
+    seen, after = F.log(F.col("n_ab") + 1), F.log(F.col("n_a") + F.lit(model.vocabulary))
+
+    def part(rows: DataFrame, value: Column, count: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(F.col("c") * value).alias("s"), F.sum(count).alias("n"))
+
+    near = pairs.join(F.broadcast(hot), ["a", "b"], "left").join(F.broadcast(frequent.select("a", "n_a")), "a", "left")
+    zero = F.lit(0.0)
+    known = part(near, F.coalesce(after, zero) - F.coalesce(seen, zero), F.col("c"))
+    others = pairs.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti")
+    others = others.withColumn("n_ab", F.sum("c").over(W.partitionBy("a", "b")))
+    cold = pairs.join(F.broadcast(frequent.select("a")), "a", "left_anti").join(rare.select("a", "n_a"), "a")
+    none = F.lit(0).cast("bigint")
+    whole = known.unionByName(part(others, -seen, none)).unionByName(part(cold, after, none))
+    return whole.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("nll"), F.sum("n").alias("n"))
+
+
 def mean_nll(pairs: DataFrame, model: BigramModel, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Mean negative log likelihood of each row's bigrams, seen or not; rows without bigrams have none."""
+    if pairs is model.pairs:
+        return _own_nll(model, keys)
     scored = join_counts(pairs.where("b is not null"), pair_nll(pairs, model), ["a", "b"])
     weighted = F.sum(F.col("c") * F.col("nll")) / F.sum("c")
     return scored.groupBy(*keys).agg(weighted.alias("nll"), F.sum("c").alias("n"))
