@@ -13,6 +13,7 @@ from quillsieve.operators import selection as sel
 from quillsieve.plans.registry import load, query
 from quillsieve.plans.select_queries import _SQL_ZIPF
 from quillsieve.plans.tables import SQL_CENTROIDS, SQL_COUNTS, SQL_DOCS, SQL_UNITS, documents, sql_zipf_words, vectors
+from quillsieve.session import pin
 
 
 def _rounded(df, digits, *names):
@@ -272,7 +273,8 @@ def q_select_lowest_score(spark, sf):
     "count(*)::bigint as windows from per",
 )
 def q_corpus_perplexity(spark, sf):
-    rows = documents(spark, sf).select("doc_id", tx.zipf_words(F.col("text")).alias("words"))
+    words = F.transform(tx.zipf_words(F.col("text")), lambda w: F.xxhash64(w))
+    rows = pin(documents(spark, sf).select("doc_id", words.alias("words")))
     pairs = perplexity.pair_counts(packing.pack_windows(rows, 512), ("window",))
     found = perplexity.corpus_perplexity(pairs, perplexity.train(pairs))
     return _rounded(found, 6, "perplexity", "weighted_perplexity")
