@@ -17,6 +17,8 @@ from quillsieve.session import pin
 
 DIGITS = 9
 LLOYD_STEPS = 20
+# Words that at least one in this many occurrences has are broadcast, at most so many.
+WORD_SHARE = 200_000
 
 
 def with_rows(chosen: DataFrame, docs: DataFrame, on: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -112,12 +114,15 @@ def select_distribution_matching(
 def rarity_of_rows(docs: DataFrame, words: Column | None = None) -> DataFrame:
     """Sum over the distinct words of each document of one over the word's corpus count.
 
-    With a dataset column, equal ids of different datasets are different documents.
+    With a dataset column, equal ids of different datasets are different documents. Texts are split once and kept as arrays of
+    64-bit hashes of their words; frequent words are looked up in a broadcast.
     """
     keys = [*_dataset(docs), "doc_id"]
-    counts = pin(ct.rarity_scores(ct.word_counts(ct.token_rows(docs, words, keep=()))))
-    pairs = ct.token_rows(docs, words, keep=keys, distinct=True)
-    scored = join_counts(pairs, counts, ["token"])
+    words = tx.zipf_words(F.col("text")) if words is None else words
+    kept = pin(docs.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_words")))
+    counts = pin(ct.rarity_scores(ct.word_counts(ct.token_rows(kept, F.col("_words"), keep=()))))
+    pairs = ct.token_rows(kept, F.col("_words"), keep=keys, distinct=True)
+    scored = join_counts(pairs, counts, ["token"], share=WORD_SHARE)
     return scored.groupBy(*keys).agg(F.round(F.sum("rarity"), DIGITS).alias("score"))
 
 
