@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Hashable, Sequence
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -28,7 +29,10 @@ STRATEGIES: dict[str, Strategy] = {}
 
 @dataclass
 class Request:
-    """What a strategy is given: the documents, the budget per dataset and overall, and the hooks."""
+    """What a strategy is given: the documents, the budget per dataset and overall, and the hooks.
+
+    ``shared`` keeps what several strategies of the same corpus have in common.
+    """
 
     docs: DataFrame
     per_dataset: int
@@ -37,6 +41,16 @@ class Request:
     vectors: DataFrame
     scorer: Callable[[DataFrame], DataFrame]
     seed: int = 42
+    shared: dict[Hashable, Any] = field(default_factory=dict)
+
+    def common(self, key: Hashable, make: Callable[[], Any]) -> Any:
+        return _common(self.shared, key, make)
+
+
+def _common(shared: dict[Hashable, Any], key: Hashable, make: Callable[[], Any]) -> Any:
+    if key not in shared:
+        shared[key] = make()
+    return shared[key]
 
 
 def strategy(name: str) -> Callable[[Strategy], Strategy]:
@@ -110,14 +124,20 @@ def _decoupled(r: Request) -> DataFrame:
     return _ids(greedy.select_decoupled(rows, r.per_dataset, words=r.words))
 
 
+def _bounds(r: Request) -> set_bounds.Bounds:
+    """Overlap bounds of both ends."""
+    by = ["dataset"]
+    return r.common("bounds", lambda: set_bounds.bound_overlap(overlap.token_sets(r.docs, r.words, by), by))
+
+
 @strategy("prototype_iou")
 def _iou(r: Request) -> DataFrame:
-    return _ids(set_bounds.select_iou(r.docs, r.per_dataset, False, r.words, ["dataset"]))
+    return _ids(set_bounds.refine(_bounds(r), r.per_dataset, False)[0])
 
 
 @strategy("most_different_iou")
 def _different_iou(r: Request) -> DataFrame:
-    return _ids(set_bounds.select_iou(r.docs, r.per_dataset, True, r.words, ["dataset"]))
+    return _ids(set_bounds.refine(_bounds(r), r.per_dataset, True)[0])
 
 
 # Vectors here are pooled already, so the pooled variants select as the plain ones do.
@@ -195,6 +215,36 @@ def prepare_selection(
     With several datasets every dataset gives ``n`` rows and a coreset of their union is kept: by herding
     for the strategies that match distributions, by farthest points otherwise.
     """
+    return prepare_selections(docs, [name], n, vectors, words, embedder, scorer, seed)[name]
+
+
+def prepare_selections(
+    docs: DataFrame,
+    names: Sequence[str],
+    n: int = 128,
+    vectors: DataFrame | None = None,
+    words: Column | None = None,
+    embedder: Callable[[DataFrame], DataFrame] | None = None,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    seed: int = 42,
+) -> dict[str, DataFrame]:
+    """``prepare_selection`` by several strategies of one corpus, by name. What they have in common is made once: row numbers,
+    bounds of overlaps, and the picks of names that stand for one strategy."""
+    shared: dict[Hashable, Any] = {}
+    return {name: _prepared(docs, name, n, vectors, words, embedder, scorer, seed, shared) for name in names}
+
+
+def _prepared(
+    docs: DataFrame,
+    name: str,
+    n: int,
+    vectors: DataFrame | None,
+    words: Column | None,
+    embedder: Callable[[DataFrame], DataFrame] | None,
+    scorer: Callable[[DataFrame], DataFrame] | None,
+    seed: int,
+    shared: dict[Hashable, Any],
+) -> DataFrame:
     kind = ALIASES.get(name, name)
     if kind == "concat":
         return docs.select("dataset", "doc_id", F.lit(None).cast("int").alias("rank"), "text")
@@ -203,9 +253,11 @@ def prepare_selection(
     # Generated rows are of plain words unless the caller names others.
     hooked = words
     words = tx.zipf_words(F.col("text")) if words is None else words
-    seen = docs.select("dataset").distinct().limit(2).collect()
+    seen = _common(shared, "seen", lambda: docs.select("dataset").distinct().limit(2).collect())
     several = len(seen) > 1
-    keys = _surrogates(docs) if several or any(r[0] is None for r in seen) else None
+    corpus = docs
+    numbered = several or any(r[0] is None for r in seen)
+    keys = _common(shared, "keys", lambda: _surrogates(corpus)) if numbered else None
 
     def inner(df: DataFrame) -> DataFrame:
         return df if keys is None else _with_surrogates(df, keys)
@@ -213,13 +265,13 @@ def prepare_selection(
     if vectors is None:
         vectors = (embedder or (lambda d: hashed_vectors(d, words)))(docs)
     score = scorer or lm_scorer(words)
-    corpus, vectors = docs, inner(vectors)
+    vectors = inner(vectors)
     docs = inner(docs)
     if kind in GENERATED:
         bag = tx.plain_words(F.col("text")) if hooked is None and kind == "words_dataset" else words
         return _generated(Request(docs, n, n, bag, vectors, score, seed), kind)
-    request = Request(docs, n, n, words, vectors, lambda _: inner(score(corpus)), seed)
-    chosen = pin(STRATEGIES[kind](request))
+    request = Request(docs, n, n, words, vectors, lambda _: inner(score(corpus)), seed, shared)
+    chosen = request.common(STRATEGIES[kind], lambda: pin(STRATEGIES[kind](request)))
     if several:
         pool = sel.join_checked(vectors.select("dataset", "doc_id", "embedding"), chosen.select("dataset", "doc_id"), ["dataset", "doc_id"])
         core = greedy.resample(pool, n, kind in BY_HERDING)

@@ -384,7 +384,7 @@ def q_strategy_registry(spark, sf):
     docs = documents(spark, sf).select(F.lit("documents").alias("dataset"), "doc_id", "text")
     hashed = sel.pin(dispatch.hashed_vectors(docs))
     whole = None
-    for name in sorted({*dispatch.STRATEGIES, *dispatch.GENERATED}):
-        part = dispatch.prepare_selection(docs, name, 4, vectors=hashed).select(F.lit(name).alias("strategy"), "doc_id")
+    for name, rows in dispatch.prepare_selections(docs, sorted({*dispatch.STRATEGIES, *dispatch.GENERATED}), 4, vectors=hashed).items():
+        part = rows.select(F.lit(name).alias("strategy"), "doc_id")
         whole = part if whole is None else whole.union(part)
     return whole.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
