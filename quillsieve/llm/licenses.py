@@ -1,11 +1,12 @@
 """Licence scans by conditional compression.
 
-Runs of neighbouring lines around lines that speak of rights are candidate blocks. Licences are confirmed by their exact
-wording: the name (with version), the standard header or the first sentence of the text must stand in the block word for
-word, over as many lines as it takes; the words that differ from the closest wording are given. Every licence of a block
-counts. The BSD licences, whose texts begin alike, are told apart by the clauses that follow. The text
-around the name, a window of bounded size, is compressed by itself and with each licence's wordings as a raw zstandard
-dictionary, under the same parameters and in lower case; licences are ranked by the reduction. The rank rejects nothing.
+Runs of neighbouring lines around lines that speak of rights are candidate blocks. A block is read in windows of bounded size that
+overlap by half. Each is compressed by itself and with each licence's wordings as a raw zstandard dictionary, under the same
+parameters and in lower case; licences that make it smaller lead, and no other is looked for in that window. Leading licences are
+confirmed by their wording: the name (with version) or the standard header must stand in the window word for word, over as
+many lines as it takes, the first sentence of a text with few words changed; the words that differ from the closest wording are
+given. Every licence of a block counts. The BSD licences, whose texts begin alike, are told apart by the clauses that follow.
+Confirmed licences are ranked by the reduction of the text around them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,18 @@ COVERAGE = 0.6
 #: Letters on either side of a name that are compressed with it, and words there that are compared with a wording.
 WINDOW = 256
 REACH = 12
+#: Letters from one window in which licences are looked for to the next; a window has twice as many.
+STRIDE = 128
+#: Bytes that a licence must save in a window to lead there, by itself or more than half of the licences.
+GAIN = 2
+#: Plain prose before every window: short windows alone are too small for a compressor to save anything.
+FILLER = (
+    b"in the morning the old man took his boat down to the river and looked for a quiet place under the trees. he had bread, "
+    b"cheese and a bottle of cold tea with him, and by noon he had caught seven fish, three of them too small to keep. "
+)
+#: Bytes saved from which a first sentence is looked for that does not stand word for word, and its share of changed words.
+SENTENCE_GAIN = 40
+CHANGED = 0.16
 #: A name counts if a line that speaks of rights is at most so many lines away.
 NEIGHBOURS = 4
 LEVEL = 19
@@ -173,6 +186,7 @@ REST = {
     "BSD-3-Clause": ": " + " ".join([*CLAUSES[:2], CLAUSES[3], WARRANTY]),
     "BSD-4-Clause": ": " + " ".join([*CLAUSES, WARRANTY]),
 }
+NONE: dict[int, int] = {}
 #: Words after a first sentence in which its text is looked for.
 TEXT_WORDS = 400
 
@@ -249,17 +263,62 @@ class Scanner:
         self.memo: dict[str, list[int]] = {}
         self.near: dict[tuple, tuple | None] = {}
 
-    def finds(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """``first word, word after the last, template`` of the names; one inside a longer one is a part of it."""
+    def savings(self, window: str) -> list[int]:
+        """Bytes that each template saves."""
+        saved = self.memo.get(window)
+        if saved is None:
+            if len(self.memo) >= MEMO_BLOCKS:
+                self.memo.clear()
+            data = FILLER + window.lower().encode("utf-8", "surrogatepass")
+            alone = len(self.alone.compress(data))
+            saved = self.memo[window] = [alone - t.size(data) for t in self.known]
+        return saved
+
+    def leads(self, text: str, cues: list[tuple[int, int]]) -> dict[int, dict[int, int]]:
+        """By number of the window, the templates that save enough in it and how much, for all windows near the cues."""
+        numbers = {k for a, b in cues for k in range(max(0, a - STRIDE) // STRIDE, max(a, b - 1) // STRIDE + 1)}
+        return {k: self.leading(text[k * STRIDE : (k + 2) * STRIDE]) for k in numbers}
+
+    def leading(self, window: str) -> dict[int, int]:
+        saved = self.savings(window)
+        # a dictionary costs some bytes where it does not help
+        usual = min(0, sorted(saved)[len(saved) // 2])
+        return {at: gain - usual for at, gain in enumerate(saved) if gain - usual >= GAIN}
+
+    def changed_sentences(self, words: list[str], leads: list[dict[int, int]]) -> list[tuple[int, int, int]]:
+        """``first word, word after the last, template`` of first sentences with few words changed, where their template saves much.
+        ``leads``: those of the window of each word."""
         found = []
+        first = 0
+        while first < len(words):
+            until = first + 1
+            while until < len(words) and leads[until] is leads[first]:
+                until += 1
+            for at, gain in leads[first].items() if leads[first] else ():
+                for sentence in self.known[at].sentences if gain >= SENTENCE_GAIN else ():
+                    near = words[first : until + len(sentence) + REACH]
+                    match = difflib.SequenceMatcher(None, sentence, near, autojunk=False)
+                    blocks = [b for b in match.get_matching_blocks() if b.size > 1 or b.size == len(sentence)]
+                    if blocks and blocks[0].b < until - first:
+                        begin, end = blocks[0].b, blocks[-1].b + blocks[-1].size
+                        same = sum([b.size for b in blocks])
+                        if len(sentence) + end - begin - 2 * same <= CHANGED * len(sentence):
+                            found.append((first + begin, first + end, at))
+            first = until
+        return found
+
+    def finds(self, words: list[str], leads: list[dict[int, int]]) -> list[tuple[int, int, int]]:
+        """``first word, word after the last, template`` of the names of leading templates; one inside a longer one is a part of
+        it. ``leads``: those of the window of each word."""
+        found = self.changed_sentences(words, leads)
         for i, word in enumerate(words):
-            for at, name in self.starts.get(word, ()):
-                if words[i : i + len(name)] == name:
+            for at, name in self.starts.get(word, ()) if leads[i] else ():
+                if at in leads[i] and words[i : i + len(name)] == name:
                     found.append((i, i + len(name), at))
             if word == SPDX_TAG:
                 at = i + 1
                 while at < len(words):
-                    if words[at] in self.spdx:
+                    if self.spdx.get(words[at], -1) in leads[at]:
                         found.append((at, at + 1, self.spdx[words[at]]))
                     at += 3 if words[at + 1 : at + 2] == ["with"] else 1
                     if at >= len(words) or words[at] not in SPDX_JOINS:
@@ -284,13 +343,7 @@ class Scanner:
 
     def ranked(self, at: int, window: str) -> tuple[int, int]:
         """The template's place by the reduction of the window, and the bytes that it saves."""
-        saved = self.memo.get(window)
-        if saved is None:
-            if len(self.memo) >= MEMO_BLOCKS:
-                self.memo.clear()
-            data = window.lower().encode("utf-8", "surrogatepass")
-            alone = len(self.alone.compress(data))
-            saved = self.memo[window] = [alone - t.size(data) for t in self.known]
+        saved = self.savings(window)
         return 1 + sum([s > saved[at] for s in saved]), saved[at]
 
     def text_at(self, at: int, words: list[str]) -> tuple[int, tuple[int, float, str] | None, int]:
@@ -327,8 +380,11 @@ class Scanner:
         breaks = [m.start() for m in re.finditer("\n", text)]
         lines = [bisect.bisect_left(breaks, a) for a, _ in places]
         cues = [n for n, line in enumerate(text.split("\n")) if speaks(line.lower())] if cued else []
-        found = self.finds(words)
-        anchors = [f[0] for f in found if (f[2], tuple(words[f[0] : f[1]])) in self.sentences]
+        ends = [-1, *breaks, len(text)]
+        near = [(ends[max(0, n - NEIGHBOURS)] + 1, ends[min(len(ends) - 1, n + NEIGHBOURS + 1)]) for n in cues]
+        leads = self.leads(text, near if cued else [(0, len(text))])
+        found = self.finds(words, [leads.get(a // STRIDE, NONE) for a, _ in places])
+        anchors = [f[0] for f in found if (f[2], tuple(words[f[0] : f[1]])) not in self.wordings]
         best: dict[tuple[int, str], tuple] = {}
         for first, after, at in found:
             line, last = lines[first], lines[after - 1]
@@ -337,7 +393,7 @@ class Scanner:
                 if next_cue == len(cues) or cues[next_cue] > last + NEIGHBOURS:
                     continue
             name = tuple(words[first:after])
-            if (at, name) in self.sentences:
+            if (at, name) not in self.wordings:  # a first sentence
                 follows = bisect.bisect_right(anchors, first)
                 until = min(first + TEXT_WORDS, anchors[follows] if follows < len(anchors) else len(words))
                 at, close, size = self.text_at(at, words[first:until])

@@ -81,3 +81,39 @@ def test_blocks(spark, text, want):
     rows = licenses.scan_licenses(df).collect()
     assert {r.licence for r in rows} == want and len(rows) == len(want)
     assert all(r.coverage >= licenses.COVERAGE and r["line"] >= 1 for r in rows)
+
+
+@pytest.mark.parametrize(
+    "text, licence, differs",
+    [
+        (MIT.replace("hereby ", ""), "MIT", "-hereby"),
+        (MIT.replace("free of charge, ", ""), "MIT", "-free -of -charge"),
+        (BSD_3.replace("modification,", "modifications,"), "BSD-3-Clause", "-modification +modifications"),
+    ],
+)
+def test_compression_finds_texts_with_changed_words(text, licence, differs):
+    for block in (text, wrapped(text)):
+        found = licenses.identify_all(block, KNOWN)
+        assert [(f[0], f[4]) for f in found] == [(licence, differs)]
+    other = "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is granted"
+    assert licenses.identify(other, KNOWN) is None
+
+
+def test_only_licences_that_save_bytes_are_looked_for(monkeypatch):
+    scanner = licenses.Scanner(KNOWN)
+    line = "Released under the MIT License."
+    assert [f[0] for *_, f in scanner.scan(line)] == ["MIT"]
+    monkeypatch.setattr(scanner, "leading", lambda window: {})
+    assert scanner.scan(line) == []
+
+
+def test_every_name_saves_bytes_in_short_and_long_windows():
+    scanner = licenses.Scanner(KNOWN)
+    rnd = random.Random(5)
+    for at, template in enumerate(KNOWN):
+        for size, letters in ((0, "a"), (40, "abcdefghijklmnopqrstuvwxyz"), (160, "abcdefghijklmnopqrstuvwxyz"), (160, "etaoinsréèçüöä")):
+            words = ["".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(size // 6)]
+            for name in licenses.NAMES[template.licence]:
+                half = len(words) // 2
+                window = " ".join([*words[:half], name, *words[half:]])
+                assert at in scanner.leading(window), window
