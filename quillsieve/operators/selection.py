@@ -12,13 +12,11 @@ from quillsieve.functions import text as tx
 from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
 from quillsieve.operators.ordering import global_index, top_n
-from quillsieve.operators.skew import join_checked, join_counts
+from quillsieve.operators.skew import WORD_SHARE, join_checked, join_counts
 from quillsieve.session import pin
 
 DIGITS = 9
 LLOYD_STEPS = 20
-# Words that at least one in this many occurrences has are broadcast, at most so many.
-WORD_SHARE = 200_000
 
 
 def with_rows(chosen: DataFrame, docs: DataFrame, on: Sequence[str] = ("doc_id",)) -> DataFrame:
