@@ -1,7 +1,13 @@
-"""Column functions over texts and token arrays; all of them stay in the JVM."""
+"""Column functions over texts and token arrays. All but the random order of words stay in the JVM."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,15 +113,38 @@ def seeded_int(seed: int, bound: Column | int, *parts: Column) -> Column:
     return F.conv(F.substring(seeded_key(seed, *parts), 1, 15), 16, 10).cast("bigint") % limit
 
 
+def place_names(n: int) -> list[bytes]:
+    """The last part of a ``seeded_key``, for each place below ``n``."""
+    return [b":%d" % place for place in range(n)]
+
+
+def place_keys(prefix: str, names: Sequence[bytes]) -> np.ndarray:
+    """``seeded_key`` of the parts in ``prefix`` and of each named place, as two numbers a row that sort as it does."""
+    begin = prefix.encode()
+    digests = b"".join([hashlib.md5(begin + name, usedforsecurity=False).digest() for name in names])
+    return np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def key_prefix(seed: int, *parts: Column) -> Column:
+    """What comes before the last part of a ``seeded_key`` and its colon."""
+    return F.concat_ws(":", F.lit(str(seed)), *[part.cast("string") for part in parts])
+
+
+def _shuffled(words: pa.Array, prefixes: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    names = place_names(sizes.max(initial=0))
+    order = np.empty(ends[-1], dtype=np.int32)
+    for prefix, begin, end in zip(prefixes.to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+        keys = place_keys(prefix, names[: end - begin])
+        order[begin:end] = begin + np.lexsort((keys[:, 1], keys[:, 0]))
+    missing = words.is_null() if words.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends), words.flatten().take(pa.array(order)), mask=missing)
+
+
 def shuffle_words(words: Column, row_id: Column, seed: int = 42) -> Column:
-    """The same words of a row in a seeded random order."""
-    keyed = F.transform(
-        words,
-        lambda word, place: F.struct(
-            seeded_key(seed, row_id, place).alias("key"), place.alias("place"), word.alias("word")
-        ),
-    )
-    return F.transform(F.sort_array(keyed), lambda entry: entry["word"])
+    """The same words of a row in a seeded random order: that of the keys of their places. Words are split once."""
+    return F.arrow_udf(_shuffled, "array<string>")(words, key_prefix(seed, row_id))
 
 
 def encode_padded(ids: Column, max_length: int, pad_id: int = 0) -> tuple[Column, Column]:
