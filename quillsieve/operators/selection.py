@@ -12,7 +12,7 @@ from quillsieve.functions import text as tx
 from quillsieve.functions import vectors as vx
 from quillsieve.operators import counts as ct
 from quillsieve.operators.ordering import global_index, top_n
-from quillsieve.operators.skew import WORD_SHARE, join_checked, join_counts
+from quillsieve.operators.skew import join_checked
 from quillsieve.session import pin
 
 DIGITS = 9
@@ -109,19 +109,26 @@ def select_distribution_matching(
     return pick_quantiles(mean_similarity(rows, keys), n, trim, keys)
 
 
+def word_rarity(docs: DataFrame, words: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bags of word hashes of the rows that have words, and ``token, n, rarity`` of every word's hash; both are written."""
+    words = tx.zipf_words(F.col("text")) if words is None else words
+    bags = pin(ct.word_bags(docs, words, [*_dataset(docs), "doc_id"]))
+    return bags, pin(ct.rarity_scores(ct.bag_counts(bags)))
+
+
+def rarity_of_bags(bags: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rarity_of_rows`` from what ``word_rarity`` gives."""
+    summed = ct.sum_of_items(bags, counts, "rarity", [*_dataset(bags), "doc_id"], "score")
+    return summed.withColumn("score", F.round("score", DIGITS))
+
+
 def rarity_of_rows(docs: DataFrame, words: Column | None = None) -> DataFrame:
     """Sum over the distinct words of each document of one over the word's corpus count.
 
-    With a dataset column, equal ids of different datasets are different documents. Texts are split once and kept as arrays of
-    64-bit hashes of their words; frequent words are looked up in a broadcast.
+    With a dataset column, equal ids of different datasets are different documents. Texts are split once and kept as bags of
+    64-bit hashes of their words; frequent words are looked up where a bag is read.
     """
-    keys = [*_dataset(docs), "doc_id"]
-    words = tx.zipf_words(F.col("text")) if words is None else words
-    kept = pin(docs.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_words")))
-    counts = pin(ct.rarity_scores(ct.word_counts(ct.token_rows(kept, F.col("_words"), keep=()))))
-    pairs = ct.token_rows(kept, F.col("_words"), keep=keys, distinct=True)
-    scored = join_counts(pairs, counts, ["token"], share=WORD_SHARE)
-    return scored.groupBy(*keys).agg(F.round(F.sum("rarity"), DIGITS).alias("score"))
+    return rarity_of_bags(*word_rarity(docs, words))
 
 
 def select_zipf(docs: DataFrame, n: int, words: Column | None = None) -> DataFrame:
