@@ -33,13 +33,12 @@ def _rounded(df, digits, *names):
 )
 def q_kl_divergence(spark, sf):
     docs = documents(spark, sf)
-    tokens = ct.token_rows(docs)
-    chosen = sel.select_zipf(docs, 64).select(F.lit("zipf").alias("method"), "doc_id").union(
+    bags, counts = sel.word_rarity(docs)
+    chosen = sel.select_by_score(sel.rarity_of_bags(bags, counts), 64).select(F.lit("zipf").alias("method"), "doc_id").union(
         sel.select_random(docs, 8).select(F.lit("random_sample"), "doc_id")
     )
-    picked = sel.join_checked(docs.select("doc_id", "text"), chosen, ["doc_id"])
-    subsets = ct.word_counts(ct.token_rows(picked, keep=("method",)), ["method"])
-    return _rounded(dist.kl_divergence(ct.word_counts(tokens), subsets), 7, "kl")
+    picked = sel.join_checked(bags.select("doc_id", "items", "counts"), chosen, ["doc_id"])
+    return _rounded(dist.kl_divergence(counts, ct.bag_counts(picked, ["method"])), 7, "kl")
 
 
 @query(

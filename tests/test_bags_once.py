@@ -10,7 +10,7 @@ from quillsieve.plans import all_queries  # noqa: F401 - importing registers the
 from quillsieve.plans.registry import QUERIES
 
 
-@pytest.mark.parametrize("name", ["select_iou_multiset"])
+@pytest.mark.parametrize("name", ["kl_divergence", "select_iou_multiset"])
 def test_no_word_occurrence_is_a_row_of_its_own(spark, sf_dir, monkeypatch, name):
     made, bags = [], ct.word_bags
 
