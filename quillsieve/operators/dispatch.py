@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import text as tx
 from quillsieve.operators import generation as gen
-from quillsieve.operators import greedy, overlap, perplexity, set_bounds
+from quillsieve.operators import counts, greedy, overlap, perplexity, set_bounds
 from quillsieve.operators import selection as sel
 from quillsieve.operators.ordering import global_index
 from quillsieve.session import pin
@@ -39,7 +39,7 @@ class Request:
     n: int
     words: Column
     vectors: DataFrame
-    scorer: Callable[[DataFrame], DataFrame]
+    scorer: Callable[[DataFrame], DataFrame] | None
     seed: int = 42
     shared: dict[Hashable, Any] = field(default_factory=dict)
 
@@ -72,12 +72,12 @@ def hashed_vectors(docs: DataFrame, words: Column | None = None, dimensions: int
     return counted.select("dataset", "doc_id", vector_to_array("_tf").alias("embedding"))
 
 
-def lm_scorer(words: Column) -> Callable[[DataFrame], DataFrame]:
-    """Scores by the perplexity of a bigram model of the same documents."""
+def lm_scorer(words: Column, pinned: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Scores by the perplexity of a bigram model of the same documents, or of a written table of their words' hashes."""
 
     def score(docs: DataFrame) -> DataFrame:
         key = ("dataset", "doc_id")
-        pairs = perplexity.pair_counts(docs.select(*key, words.alias("words")), key)
+        pairs = perplexity.pair_counts(docs.select(*key, words.alias("words")), key, pinned=pinned)
         return perplexity.ngram_perplexity(pairs, perplexity.train(pairs), key)
 
     return score
@@ -87,6 +87,25 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select("dataset", "doc_id", "rank")
 
 
+def _hashes(r: Request) -> DataFrame:
+    """The hashes of each row's words in order, as ``words``: texts are split once for all strategies that only compare words."""
+    hashes = F.transform(r.words, lambda w: F.xxhash64(w))
+    return r.common("hashes", lambda: pin(r.docs.select("dataset", "doc_id", hashes.alias("words"))))
+
+
+def _bags(r: Request) -> DataFrame:
+    return r.common("bags", lambda: pin(counts.word_bags(_hashes(r), F.col("words"), ["dataset", "doc_id"], hashed=True)))
+
+
+def _tokens(r: Request) -> DataFrame:
+    """The words of every dataset with their counts."""
+    return r.common("tokens", lambda: pin(counts.word_counts(counts.token_rows(r.docs, r.words, keep=("dataset",)), ["dataset"])))
+
+
+def _similarity(r: Request) -> DataFrame:
+    return r.common("similarity", lambda: pin(sel.mean_similarity(r.vectors).select("dataset", "doc_id", "score")))
+
+
 @strategy("random_sample")
 def _random(r: Request) -> DataFrame:
     return _ids(sel.select_random(r.docs, r.per_dataset, r.seed))
@@ -94,22 +113,22 @@ def _random(r: Request) -> DataFrame:
 
 @strategy("prototype")
 def _prototype(r: Request) -> DataFrame:
-    return _ids(sel.select_most_similar(r.vectors, r.per_dataset))
+    return _ids(sel.select_most_similar(r.vectors, r.per_dataset, scored=_similarity(r)))
 
 
 @strategy("most_different")
 def _different(r: Request) -> DataFrame:
-    return _ids(sel.select_most_different(r.vectors, r.per_dataset))
+    return _ids(sel.select_most_different(r.vectors, r.per_dataset, scored=_similarity(r)))
 
 
 @strategy("distribution_matching")
 def _matching(r: Request) -> DataFrame:
-    return _ids(sel.select_distribution_matching(r.vectors, r.per_dataset))
+    return _ids(sel.select_distribution_matching(r.vectors, r.per_dataset, scored=_similarity(r)))
 
 
 @strategy("distribution_matching_no_outliers")
 def _matching_trimmed(r: Request) -> DataFrame:
-    return _ids(sel.select_distribution_matching(r.vectors, r.per_dataset, trim=0.05))
+    return _ids(sel.select_distribution_matching(r.vectors, r.per_dataset, trim=0.05, scored=_similarity(r)))
 
 
 @strategy("herding")
@@ -119,15 +138,14 @@ def _herding(r: Request) -> DataFrame:
 
 @strategy("decoupled")
 def _decoupled(r: Request) -> DataFrame:
-    scored = sel.mean_similarity(r.vectors).select("dataset", "doc_id", "score")
-    rows = scored.join(r.docs.select("dataset", "doc_id", "text"), ["dataset", "doc_id"])
+    rows = _similarity(r).join(r.docs.select("dataset", "doc_id", "text"), ["dataset", "doc_id"])
     return _ids(greedy.select_decoupled(rows, r.per_dataset, words=r.words))
 
 
 def _bounds(r: Request) -> set_bounds.Bounds:
     """Overlap bounds of both ends."""
     by = ["dataset"]
-    return r.common("bounds", lambda: set_bounds.bound_overlap(overlap.token_sets(r.docs, r.words, by), by))
+    return r.common("bounds", lambda: set_bounds.bound_overlap(overlap.token_sets(_hashes(r), F.col("words"), by, hashed=True), by))
 
 
 @strategy("prototype_iou")
@@ -147,12 +165,13 @@ STRATEGIES["most_different_st"] = _different
 
 @strategy("least_perplexity")
 def _least_perplexity(r: Request) -> DataFrame:
-    return _ids(sel.select_by_score(r.scorer(r.docs), r.per_dataset, True, ["dataset"]))
+    score = r.scorer or (lambda _: lm_scorer(F.col("words"), pinned=True)(_hashes(r)))
+    return _ids(sel.select_by_score(score(r.docs), r.per_dataset, True, ["dataset"]))
 
 
 @strategy("zipf")
 def _zipf(r: Request) -> DataFrame:
-    return _ids(sel.select_zipf(r.docs, r.per_dataset, r.words))
+    return _ids(sel.select_zipf(r.docs, r.per_dataset, r.words, _bags(r)))
 
 
 STRATEGIES["shuffled_zipf"] = _zipf
@@ -160,7 +179,7 @@ STRATEGIES["shuffled_zipf"] = _zipf
 
 @strategy("unique_tokens")
 def _unique(r: Request) -> DataFrame:
-    return _ids(greedy.select_unique_tokens(r.docs, r.per_dataset, r.words))
+    return _ids(greedy.select_unique_tokens(_hashes(r), r.per_dataset, F.col("words"), hashed=True))
 
 
 STRATEGIES["unique_tokens_shuffled"] = _unique
@@ -168,14 +187,14 @@ STRATEGIES["unique_tokens_shuffled"] = _unique
 
 @strategy("tail_then_match")
 def _tail(r: Request) -> DataFrame:
-    return _ids(greedy.select_tail_then_match(r.docs, r.per_dataset, r.words))
+    return _ids(greedy.select_tail_then_match(r.docs, r.per_dataset, r.words, bags=_bags(r), tokens=_tokens(r)))
 
 
 def _generated(r: Request, name: str) -> DataFrame:
     if name == "words_dataset":
         rows = gen.gen_bag_of_words(r.docs, r.n, seed=r.seed, words=r.words)
     else:
-        words = gen.word_list(r.docs, r.words)
+        words = r.common("list", lambda: pin(gen.word_list(r.docs, r.words, _tokens(r))))
         rows = gen.gen_dictionary(words) if name == "dictionary" else gen.gen_random_words(words, r.n, seed=r.seed)
     return rows.select(F.lit(name).alias("dataset"), F.col("row_id").alias("doc_id"), F.col("row_id").cast("int").alias("rank"), "text")
 
@@ -229,7 +248,7 @@ def prepare_selections(
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """``prepare_selection`` by several strategies of one corpus, by name. What they have in common is made once: row numbers,
-    bounds of overlaps, and the picks of names that stand for one strategy."""
+    hashes, bags and counts of words, mean similarities, bounds of overlaps, and the picks of names that stand for one strategy."""
     shared: dict[Hashable, Any] = {}
     return {name: _prepared(docs, name, n, vectors, words, embedder, scorer, seed, shared) for name in names}
 
@@ -264,13 +283,14 @@ def _prepared(
 
     if vectors is None:
         vectors = (embedder or (lambda d: hashed_vectors(d, words)))(docs)
-    score = scorer or lm_scorer(words)
     vectors = inner(vectors)
     docs = inner(docs)
     if kind in GENERATED:
         bag = tx.plain_words(F.col("text")) if hooked is None and kind == "words_dataset" else words
-        return _generated(Request(docs, n, n, bag, vectors, score, seed), kind)
-    request = Request(docs, n, n, words, vectors, lambda _: inner(score(corpus)), seed, shared)
+        return _generated(Request(docs, n, n, bag, vectors, None, seed, shared), kind)
+    # a hook is given the corpus as it is
+    score = None if scorer is None else lambda _: inner(scorer(corpus))
+    request = Request(docs, n, n, words, vectors, score, seed, shared)
     chosen = request.common(STRATEGIES[kind], lambda: pin(STRATEGIES[kind](request)))
     if several:
         pool = sel.join_checked(vectors.select("dataset", "doc_id", "embedding"), chosen.select("dataset", "doc_id"), ["dataset", "doc_id"])

@@ -14,11 +14,12 @@ from quillsieve.operators.skew import join_checked
 from quillsieve.session import pin
 
 HEX_DIGITS = 12
+LETTERS = 8  # of a word and its blank, when words are guessed
 
 
-def word_list(docs: DataFrame, words: Column | None = None) -> DataFrame:
-    """The distinct words of the corpus in order, numbered from 0."""
-    words = ct.token_rows(docs, words, keep=()).distinct()
+def word_list(docs: DataFrame, words: Column | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """The distinct words of the corpus in order, numbered from 0; of ``tokens``, if its words are known already."""
+    words = (ct.token_rows(docs, words, keep=()) if tokens is None else tokens.select("token")).distinct()
     return global_index(words, [F.col("token")], name="idx")
 
 
@@ -50,24 +51,28 @@ def gen_bag_of_words(docs: DataFrame, n: int, length: int = 128, seed: int = 42,
 
     Only the ``n * length`` smallest random keys are needed. Keys are uniform, so nearly all other
     occurrences are dropped in the scan by a bound far above the expected cut; should the bound ever be too
-    low, it is doubled until the pool is whole.
+    low, it is raised until the pool is whole. The cut is guessed from the lengths of the texts, which are split only once
+    unless they have far fewer words; only a pool that is everything needs the exact number of words.
     """
-    words = tx.plain_words(F.col("text")) if words is None else words
-    total = docs.agg(F.sum(F.size(words))).first()[0] or 0
     need = n * length
-    if total == 0:
-        return docs.sparkSession.createDataFrame([], "row_id bigint, text string, n_words int")
+    if words is None or "text" in docs.columns:
+        guess = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // LETTERS
+    else:
+        guess = docs.agg(F.sum(F.size(words))).first()[0] or 0
+    words = tx.plain_words(F.col("text")) if words is None else words
     keyed = docs.select("doc_id", F.posexplode(words).alias("pos", "token")).withColumn(
         "_key", tx.seeded_key(seed, F.col("doc_id"), F.col("pos"))
     )
-    wanted = min(need, total)
-    share = (wanted + 10 * math.sqrt(wanted) + 100) / total
+    share = (need + 10 * math.sqrt(need) + 100) / max(guess, 1)
     while True:
         bound = format(int(share * 16**HEX_DIGITS), f"0{HEX_DIGITS}x")
         kept = pin(keyed.where(F.col("_key") < bound) if share < 1 else keyed)
-        if share >= 1 or kept.count() >= wanted:
+        total = kept.count()
+        if share >= 1 or total >= need:
             break
-        share *= 2
+        share *= 8
+    if total == 0:
+        return docs.sparkSession.createDataFrame([], "row_id bigint, text string, n_words int")
     pool = pin(global_index(kept, [F.col("_key"), F.col("doc_id"), F.col("pos")], name="place"))
     pool = pool.where(F.col("place") < need).select("place", "token")
     if total < need:

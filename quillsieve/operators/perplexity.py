@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillsieve.operators.selection import DIGITS
@@ -16,6 +17,7 @@ from quillsieve.session import pin
 
 # Words with fewer than one in this many occurrences are joined by a shuffle; the others, at most so many, are broadcast.
 WORD_SHARE = 200_000
+COUNTED_ROWS = 4_000_000  # bigrams that a task is meant to count at once
 
 
 @dataclass
@@ -27,16 +29,18 @@ class BigramModel:
     vocabulary: int
 
 
-def pair_counts(rows: DataFrame, keys: Sequence[str] = ("doc_id",), words: str = "words") -> DataFrame:
+def pair_counts(rows: DataFrame, keys: Sequence[str] = ("doc_id",), words: str = "words", pinned: bool = False) -> DataFrame:
     """``keys, a, b, c``: each row's bigrams in order, ``c`` is 1; its last word has a null neighbour.
 
     The texts are read once and kept as arrays of 64-bit hashes of their words, from which the model and the scores of the
-    same rows are made. Hashes that are given as ``words`` are taken as they are.
+    same rows are made. Hashes that are given as ``words`` are taken as they are, and not written again if they are a written table
+    (``pinned``).
     """
     hashed = F.col(words)
     if not rows.schema[words].dataType.simpleString() == "array<bigint>":
         hashed = F.transform(hashed, lambda w: F.xxhash64(w))
-    kept = pin(rows.select(*keys, hashed.alias("words")))
+    kept = rows.select(*keys, hashed.alias("words"))
+    kept = kept if pinned else pin(kept)
     shifted = F.slice("words", 2, F.greatest(F.size("words"), F.lit(1)))
     flat = kept.select(*keys, F.explode(F.arrays_zip(F.col("words").alias("a"), shifted.alias("b"))).alias("p"))
     return flat.select(*keys, "p.a", "p.b", F.lit(1).cast("bigint").alias("c"))
@@ -94,13 +98,39 @@ def _own_nll(model: BigramModel, keys: Sequence[str]) -> DataFrame:
     zero = F.lit(0.0)
     known = part(near, F.coalesce(after, zero) - F.coalesce(seen, zero), F.col("c"))
     others = pairs.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti")
-    others = others.withColumn("n_ab", F.sum("c").over(W.partitionBy("a", "b")))
+    schema = ", ".join(f"{name} {kind}" for name, kind in pairs.select(*keys).dtypes) + ", s double, n bigint"
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED_ROWS))
+    others = others.select(*keys, "a", "b", "c").repartition(parts, "a", "b")
     cold = pairs.join(F.broadcast(frequent.select("a")), "a", "left_anti").join(rare.select("a", "n_a"), "a")
     none = F.lit(0).cast("bigint")
-    whole = known.unionByName(part(others, -seen, none)).unionByName(part(cold, after, none))
+    met = others.mapInArrow(lambda batches: _seen_where_met(batches, list(keys)), schema)
+    whole = known.unionByName(met).unionByName(part(cold, after, none))
     return whole.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("nll"), F.sum("n").alias("n"))
 
 
+def _seen_where_met(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """``keys, s, n``: for each row less the logarithms of one more than the counts of its bigrams, all of which are in this task.
+
+    None of the bigrams is frequent, so a task holds about as many as it is meant to.
+    """
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    part = pa.Table.from_batches(held)
+    del held
+    a, b, c = (part.column(name).to_numpy() for name in ("a", "b", "c"))
+    order = np.lexsort((b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    seen = np.empty(len(a))
+    seen[order] = -c * np.log(np.add.reduceat(c, first) + 1.0)[np.cumsum(new) - 1]
+    summed = part.select(keys).append_column("s", pa.array(seen)).group_by(keys).aggregate([("s", "sum")])
+    out = summed.rename_columns([{"s_sum": "s"}.get(name, name) for name in summed.column_names])
+    yield from out.select([*keys, "s"]).append_column("n", pa.array(np.zeros(len(out), dtype=np.int64))).combine_chunks().to_batches()
+
+
 def mean_nll(pairs: DataFrame, model: BigramModel, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Mean negative log likelihood of each row's bigrams, seen or not; rows without bigrams have none."""
     if pairs is model.pairs:
