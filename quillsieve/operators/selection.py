@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from quillsieve.session import pin
 
 DIGITS = 9
 LLOYD_STEPS = 20
+LABELLED_ROWS = 4_000_000  # rows of growing sets that a task writes
 
 
 def with_rows(chosen: DataFrame, docs: DataFrame, on: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -225,24 +227,22 @@ def set_members(intervals: DataFrame, series: str | None = None, added: int = 0)
 def incremental_sets(split: DataFrame, rows: DataFrame, step: int, seed: int = 42) -> DataFrame:
     """The sets of ``incremental_intervals`` written out: ``doc_id, label`` with a row for every set that has the row.
 
-    That is every inside row once per set, so the output grows with the number of sets; the intervals do not.
+    That is every inside row once per set, so the output grows with the number of sets; the intervals do not. Rows are dealt out
+    evenly to as many tasks as the output needs, and take their labels as a slice of one constant list.
     """
     held = pin(incremental_intervals(split, rows, step, seed))
-    size = held.where("series = 'tail'").count()
+    found = {r["series"]: r["n"] for r in held.groupBy("series").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = found.get("tail", 0)
     steps = -(-size // step)
-
-    def labels(name: str, first: Column | int) -> Column:
-        grown = F.sequence(F.lit(first) if isinstance(first, int) else first, F.lit(steps))
-        added = F.transform(grown, lambda i: F.least(i * step, F.lit(size)).cast("string"))
-        return F.transform(added, lambda a: F.concat(F.lit(f"{name}_add_"), a))
-
-    alone = F.array(F.lit("intersection"))
-    every = F.concat(alone, labels("tail", 1), labels("random", 1)) if steps else alone
-    whole = held.where("series is null").select("doc_id", F.explode(every).alias("label"))
-    for name in ("tail", "random") if steps else ():
-        first = F.ceil(F.col("added") / step).cast("int")
-        whole = whole.union(held.where(F.col("series") == name).select("doc_id", F.explode(labels(name, first))))
-    return whole
+    labels = [f"{name}_add_{min(i * step, size)}" for name in ("tail", "random") for i in range(1, steps + 1)]
+    every = F.split(F.lit(",".join(["intersection", *labels])), ",")
+    nth = F.ceil(F.col("added") / step)
+    own = F.when(F.col("series") == "tail", nth + 1).otherwise(nth + 1 + steps)
+    first = F.when(F.col("series").isNull(), 1).otherwise(own).cast("int")
+    length = F.when(F.col("series").isNull(), 1 + 2 * steps).otherwise(steps + 1 - nth).cast("int")
+    written = sum(n * (1 + 2 * steps if name is None else (steps + 1) / 2) for name, n in found.items())
+    dealt = held.repartition(max(1, math.ceil(written / LABELLED_ROWS)))
+    return dealt.select("doc_id", F.explode(F.slice(every, first, length)).alias("label"))
 
 
 def cluster_representatives(

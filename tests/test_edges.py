@@ -228,3 +228,16 @@ def test_scope_removes_what_was_pinned(spark):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         spark.read.parquet(files[0])
     assert kept.count() == 3
+
+
+def test_growing_sets_are_written_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    split = spark.range(300, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "inside").otherwise("tail").alias("part"), F.when(F.col("id") >= 100, F.col("id") - 99).alias("rank")
+    )
+    want = sorted(sel.incremental_sets(split, split, 5).collect())
+    assert len(want) == len(set(want)) == 100 * 81 + 2 * 5 * 40 * 41 // 2
+    monkeypatch.setattr(sel, "LABELLED_ROWS", 1000)
+    sets = sel.incremental_sets(split, split, 5)
+    tasks = [len(part) for part in sets.rdd.glom().collect()]
+    assert len(tasks) == 17 and max(tasks) < 2 * len(want) / 17
+    assert sorted(sets.collect()) == want
